@@ -81,20 +81,23 @@ def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
 
 
-def ordered_prefix(df: DataFrame, order: str, cols: Sequence[str], buckets: int = 256) -> DataFrame:
+def ordered_prefix(df: DataFrame, order: str, cols: Sequence[str], buckets: int = 1024) -> DataFrame:
     """Add ``<c>_below``: sum of ``c`` over rows with a smaller ``order`` value (unique values).
 
-    Two-level scan: rows go to ``buckets`` range buckets (approximate quantile bounds; exactness does
-    not depend on them), per-bucket totals are accumulated over the small bucket table, and the
-    running sum inside each bucket is added."""
-    bounds = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("v")).scalar()
-    d = df.withColumn("_b", F.size(F.filter(bounds, lambda b: b < F.col(order))))
+    Two-level scan: rows go to ``buckets`` equal-width range buckets over [min, max] (scalar
+    subqueries), per-bucket totals are accumulated over the small bucket table, and the running sum
+    inside each bucket is added. Exact whatever the bucket bounds."""
+    lo = df.agg(F.min(order).alias("v")).scalar()
+    hi = df.agg(F.max(order).alias("v")).scalar()
+    x = F.col(order)
+    d = df.withColumn("_b", F.when(hi == lo, F.lit(0)).otherwise(
+        F.least(F.floor((x - lo) / (hi - lo) * buckets), F.lit(buckets - 1))).cast("int"))
     tot = d.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # <= `buckets` rows
     tot = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
     wi = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_i_{c}") for c in cols])
-    d = d.join(F.broadcast(tot), ["_b"])
+    d = d.join(tot, ["_b"])
     for c in cols:
         d = d.withColumn(f"{c}_below", F.col(f"_o_{c}") + F.col(f"_i_{c}"))
     return d.drop("_b", *[f"_{p}_{c}" for c in cols for p in ("o", "i")])

@@ -25,21 +25,7 @@ from ..operators import windows as W
 from . import bindings as B
 from . import oracle as O
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-    return deco
-
-
-def r6(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+from .registry import QUERIES, SQL, query, r6  # noqa: F401
 
 
 RD = O.with_(O.READINGS)
@@ -226,12 +212,12 @@ def q_composite_risk(spark, sf):
     return d.select("location", "seq", r6("risco_composto").alias("risco_composto"))
 
 
-@query("interactions", _feat_sql() + """SELECT location, seq, round(precip_48h * nivel_metros, 6) AS precip_nivel_interaction,
+@query("interactions", _feat_sql() + """SELECT location, seq, round(precip_48h * nivel_metros, 8) AS precip_nivel_interaction,
   round(humidity_pct * temperature_c, 6) AS humidade_temp_interaction FROM f""")
 def q_interactions(spark, sf):
     from ..operators import features as FE
     d = FE.interactions(_feat(spark, sf))
-    return d.select("location", "seq", r6("precip_nivel_interaction").alias("precip_nivel_interaction"),
+    return d.select("location", "seq", F.round("precip_nivel_interaction", 8).alias("precip_nivel_interaction"),
                     r6("humidade_temp_interaction").alias("humidade_temp_interaction"))
 
 
