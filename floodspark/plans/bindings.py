@@ -103,3 +103,28 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb.select(F.col("vec_id").alias("id"),
                       F.col("embedding").cast("array<double>").alias("features"),
                       F.when(F.col("label") == 0, 1).otherwise(0).alias("y"))
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device telemetry <- ``lineitem``: raw ADC readings and sensor values per device and time.
+    Device ``dev0`` gets every third supplier's rows (one device with a third of all rows)."""
+    li = table(spark, sf_dir, "lineitem")
+    return telemetry_from(li)
+
+
+def telemetry_from(li: DataFrame) -> DataFrame:
+    dev = F.when(F.col("l_suppkey") % 3 == 0, F.lit("dev0")).otherwise(F.concat(F.lit("dev"), F.col("l_suppkey").cast("string")))
+    return li.select(
+        dev.alias("device_id"),
+        (F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("l_linenumber"))).alias("ts"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        ((F.col("l_partkey") * 7) % 4096).cast("int").alias("rain_raw"),
+        ((F.col("l_orderkey") * 13 + F.col("l_linenumber") * 977) % 30000).cast("int").alias("echo_us"),
+        ((F.col("l_suppkey") * 31 + F.col("l_partkey")) % 4096).cast("int").alias("soil_raw"),
+        (F.lit(1800) + (F.col("l_partkey") * 3 + F.col("l_linenumber")) % 850).cast("int").alias("battery_raw"),
+        ((F.col("l_suppkey") * 17 + F.col("l_orderkey")) % 2500).cast("int").alias("solar_raw"),
+        F.when(F.col("l_discount") == 0, F.lit(None).cast("double")).otherwise(F.col("l_quantity") - 10).alias("temperature"),
+        F.when(F.col("l_tax") == 0, F.lit(None).cast("double")).otherwise(F.col("l_tax") * 1000).alias("humidity"),
+        (F.lit(780.0) + F.col("l_quantity") * 9).alias("pressure"),
+        (F.col("l_linestatus") == "O").alias("connected"),
+    )

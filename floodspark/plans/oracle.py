@@ -78,3 +78,35 @@ def alert_sql(score: str) -> str:
 
 def with_(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"
+
+
+TELEMETRY = """telemetry AS (
+  SELECT CASE WHEN l_suppkey % 3 = 0 THEN 'dev0' ELSE 'dev' || CAST(l_suppkey AS VARCHAR) END AS device_id,
+         l_shipdate + to_minutes(CAST(l_linenumber AS BIGINT)) AS ts,
+         l_orderkey * 8 + l_linenumber AS seq,
+         CAST((l_partkey * 7) % 4096 AS INTEGER) AS rain_raw,
+         CAST((l_orderkey * 13 + l_linenumber * 977) % 30000 AS INTEGER) AS echo_us,
+         CAST((l_suppkey * 31 + l_partkey) % 4096 AS INTEGER) AS soil_raw,
+         CAST(1800 + (l_partkey * 3 + l_linenumber) % 850 AS INTEGER) AS battery_raw,
+         CAST((l_suppkey * 17 + l_orderkey) % 2500 AS INTEGER) AS solar_raw,
+         CASE WHEN l_discount = 0 THEN NULL ELSE l_quantity - 10 END AS temperature,
+         CASE WHEN l_tax = 0 THEN NULL ELSE l_tax * 1000 END AS humidity,
+         780.0 + l_quantity * 9 AS pressure,
+         l_linestatus = 'O' AS connected
+  FROM lineitem)"""
+
+CALIBRATED = """cal AS (
+  SELECT device_id, ts, seq, connected,
+         greatest(CAST((rain_raw * 100) // 4095 AS INTEGER) / 10.0, 0.0) AS precipitation,
+         CAST(CAST((soil_raw * 100) // 4095 AS INTEGER) AS DOUBLE) AS soil_moisture,
+         CASE WHEN echo_us = 0 THEN 1.0 ELSE least(greatest((500.0 - echo_us * 0.034 / 2) / 100.0, 0.0), 10.0) END AS water_level,
+         battery_raw * 3.3 / 4095.0 * 2.0 AS battery_voltage,
+         solar_raw * 3.3 / 4095.0 * 3.0 AS solar_voltage,
+         coalesce(CASE WHEN isnan(temperature) THEN NULL ELSE temperature END, 25.0) AS temperature,
+         coalesce(CASE WHEN isnan(humidity) THEN NULL ELSE humidity END, 60.0) AS humidity,
+         CASE WHEN pressure IS NULL OR isnan(pressure) OR pressure < 800 OR pressure > 1200 THEN 1013.25 ELSE pressure END AS pressure
+  FROM telemetry)"""
+
+POWER_MODE = """CASE WHEN solar_voltage > 4.5 AND battery_voltage < 4.2 AND solar_voltage > 5.0 THEN 'NORMAL'
+  WHEN battery_voltage >= 3.8 THEN 'NORMAL' WHEN battery_voltage >= 3.6 THEN 'ECONOMY'
+  WHEN battery_voltage >= 3.3 THEN 'CRITICAL' ELSE 'EMERGENCY' END"""
