@@ -128,3 +128,54 @@ def telemetry_from(li: DataFrame) -> DataFrame:
         (F.lit(780.0) + F.col("l_quantity") * 9).alias("pressure"),
         (F.col("l_linestatus") == "O").alias("connected"),
     )
+
+
+# ---- raw station files <- orders --------------------------------------------------------------
+
+RAW_CODES = ["A801", "A803", "A827", "A832"]
+RAW_HEADER_ORDER = ["datetime", "hour", "precipitation_mm", "pressure_hpa", "temperature_c", "humidity_pct",
+                    "wind_speed_ms"]
+
+
+def comma_text(cents: F.Column) -> F.Column:
+    return F.concat(F.floor(cents / 100).cast("long").cast("string"), F.lit(","),
+                    F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
+def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw text record per order: station code, year and the text of every field."""
+    o = table(spark, sf_dir, "orders")
+    m = F.col("o_custkey") % 5
+    code = (F.when(m == 0, "A801").when(m == 1, "A803").when(m == 2, "A827").when(m == 3, "A832")
+            .otherwise("A999"))
+    k = F.col("o_orderkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long") % 5000
+    return o.select(
+        k.alias("seq"), code.alias("code"), F.year("o_orderdate").alias("yr"),
+        F.when(k % 97 == 0, "bad").otherwise(F.date_format("o_orderdate", "yyyy/MM/dd")).alias("date_text"),
+        F.when(k % 89 == 0, "xx UTC").otherwise(F.concat(((k % 25) * 100).cast("string"), F.lit(" UTC"))).alias("hour_text"),
+        F.when(k % 53 == 0, "").when(k % 59 == 0, "n/a").otherwise(comma_text(cents)).alias("precip_text"),
+        comma_text(95000 + (k * 13) % 10000).alias("pressure_text"),
+        comma_text((k * 7) % 4000).alias("temp_text"),
+        (F.col("o_custkey") % 101).cast("string").alias("humidity_text"),
+        comma_text((F.col("o_custkey") * 3) % 2000).alias("wind_text"),
+    )
+
+
+def station_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_name, line_no, line): 8 metadata lines, a header (spelling by year parity), data rows."""
+    from .. import params as P
+    r = raw_fields(spark, sf_dir)
+    fname = F.concat(F.lit("INMET_S_RS_"), F.col("code"), F.lit("_"), F.col("yr").cast("string"), F.lit(".CSV"))
+    data = r.select(fname.alias("file_name"), (F.col("seq") + 10).alias("line_no"),
+                    F.concat_ws(";", "date_text", "hour_text", "precip_text", "pressure_text", "temp_text",
+                                "humidity_text", "wind_text").alias("line"))
+    files = r.select(fname.alias("file_name"), "code", (F.col("yr") % 2).alias("variant")).distinct()
+    hdr = [F.when(F.col("variant") == 0, P.HEADER_ALIASES[t][0]).otherwise(P.HEADER_ALIASES[t][1]) for t in RAW_HEADER_ORDER]
+    header = files.select("file_name", F.lit(9).cast("long").alias("line_no"), F.concat_ws(";", *hdr).alias("line"))
+    meta = ["REGIAO:;S", "UF:;RS", F.concat(F.lit("ESTACAO:;"), F.col("code")),
+            F.concat(F.lit("CODIGO (WMO):;"), F.col("code")), "LATITUDE:;-30,05", "LONGITUDE:;-51,16",
+            "ALTITUDE:;46,97", "DATA DE FUNDACAO:;2000/09/22"]
+    pre = files.select("file_name", F.posexplode(F.array(*[F.lit(x) if isinstance(x, str) else x for x in meta])).alias("i", "line"))
+    pre = pre.select("file_name", (F.col("i") + 1).cast("long").alias("line_no"), "line")
+    return data.unionByName(header).unionByName(pre)

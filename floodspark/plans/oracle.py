@@ -110,3 +110,44 @@ CALIBRATED = """cal AS (
 POWER_MODE = """CASE WHEN solar_voltage > 4.5 AND battery_voltage < 4.2 AND solar_voltage > 5.0 THEN 'NORMAL'
   WHEN battery_voltage >= 3.8 THEN 'NORMAL' WHEN battery_voltage >= 3.6 THEN 'ECONOMY'
   WHEN battery_voltage >= 3.3 THEN 'CRITICAL' ELSE 'EMERGENCY' END"""
+
+
+def comma_sql(cents: str) -> str:
+    return f"(CAST(({cents}) // 100 AS VARCHAR) || ',' || lpad(CAST(({cents}) % 100 AS VARCHAR), 2, '0'))"
+
+
+RAW = f"""raw AS (
+  SELECT o_orderkey AS seq,
+         CASE o_custkey % 5 WHEN 0 THEN 'A801' WHEN 1 THEN 'A803' WHEN 2 THEN 'A827' WHEN 3 THEN 'A832' ELSE 'A999' END AS code,
+         year(o_orderdate) AS yr,
+         CASE WHEN o_orderkey % 97 = 0 THEN 'bad' ELSE strftime(o_orderdate, '%Y/%m/%d') END AS date_text,
+         CASE WHEN o_orderkey % 89 = 0 THEN 'xx UTC' ELSE CAST((o_orderkey % 25) * 100 AS VARCHAR) || ' UTC' END AS hour_text,
+         CASE WHEN o_orderkey % 53 = 0 THEN '' WHEN o_orderkey % 59 = 0 THEN 'n/a'
+              ELSE {comma_sql('CAST(round(o_totalprice * 100) AS BIGINT) % 5000')} END AS precip_text,
+         {comma_sql('95000 + (o_orderkey * 13) % 10000')} AS pressure_text,
+         {comma_sql('(o_orderkey * 7) % 4000')} AS temp_text,
+         CAST(o_custkey % 101 AS VARCHAR) AS humidity_text,
+         {comma_sql('(o_custkey * 3) % 2000')} AS wind_text
+  FROM orders)"""
+
+STATION_NAMES = """names AS (SELECT * FROM (VALUES ('A801', 'Porto_Alegre'), ('A803', 'Santa_Maria'),
+  ('A827', 'Caxias_do_Sul'), ('A832', 'Pelotas')) t(code, location))"""
+
+
+def hour_sql(col: str = "hour_text") -> str:
+    h = f"replace({col}, ' UTC', '')"
+    return f"(CASE WHEN length({h}) < 4 THEN lpad({h}, 4, '0') ELSE {h} END)"
+
+
+def num_sql(col: str) -> str:
+    return f"(CASE WHEN isnan(TRY_CAST(replace(nullif(trim({col}), ''), ',', '.') AS DOUBLE)) THEN NULL ELSE TRY_CAST(replace(nullif(trim({col}), ''), ',', '.') AS DOUBLE) END)"
+
+
+PARSED = f"""parsed AS (
+  SELECT n.location, 'INMET_S_RS_' || r.code || '_' || CAST(r.yr AS VARCHAR) || '.CSV' AS file_name,
+         try_strptime(r.date_text, '%Y/%m/%d') + to_hours(TRY_CAST(substr({hour_sql()}, 1, 2) AS INTEGER))
+           + to_minutes(TRY_CAST(substr({hour_sql()}, 3) AS INTEGER)) AS datetime,
+         {num_sql('precip_text')} AS precipitation_mm, {num_sql('temp_text')} AS temperature_c,
+         {num_sql('humidity_text')} AS humidity_pct, {num_sql('pressure_text')} AS pressure_hpa,
+         {num_sql('wind_text')} * 3.6 AS wind_speed_kmh
+  FROM raw r JOIN names n USING (code) WHERE r.date_text <> 'bad')"""

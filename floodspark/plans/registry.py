@@ -29,4 +29,4 @@ def r6(c) -> F.Column:
 
 def load_all() -> None:
     """Import every catalog module so that all queries are registered."""
-    from . import catalog, catalog_eval, catalog_device, catalog_ml  # noqa: F401
+    from . import catalog, catalog_eval, catalog_device, catalog_sources, catalog_ml  # noqa: F401
