@@ -1 +1,152 @@
-"""Catalog part 4: neighbours, balancing, models."""
+"""Catalog part 4: exact neighbours, Tomek links, edited neighbours (SQL-checked by brute force),
+the SMOTE family and the models (rows-only: their invariants are tested in tests/)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from ..operators import balance as BL
+from ..operators import frames as FR
+from ..operators import knn as KN
+from ..operators import labels as LB
+from ..operators import models as MD
+from ..operators import split as SP
+from ..operators import windows as W
+from ..operators import features as FE
+from ..session import scratch_path
+from . import bindings as B
+from . import oracle as O
+from .registry import query
+
+D2 = """list_reduce(list_transform(range(1, len(a.features) + 1), lambda i: (a.features[i] - b.features[i]) * (a.features[i] - b.features[i])), lambda x, z: x + z)"""
+PAIRS = O.with_(O.VECTORS) + f""", d AS (SELECT a.id, a.y, b.id AS nn_id, b.y AS nn_y, {D2} AS d2
+  FROM vectors a JOIN vectors b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nn_id) AS rank FROM d)"""
+
+
+@query("knn_join", PAIRS + " SELECT id, nn_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
+def q_knn_join(spark, sf):
+    v = B.vectors(spark, sf)
+    return KN.knn(v, v, 3).select("id", "nn_id", "rank")
+
+
+@query("tomek_links", PAIRS + """, n1 AS (SELECT id, y, nn_id, nn_y FROM r WHERE rank = 1)
+SELECT DISTINCT x.id FROM (SELECT a.id FROM n1 a JOIN n1 b ON a.nn_id = b.id AND b.nn_id = a.id WHERE a.y <> a.nn_y
+  UNION ALL SELECT a.nn_id FROM n1 a JOIN n1 b ON a.nn_id = b.id AND b.nn_id = a.id WHERE a.y <> a.nn_y) x""")
+def q_tomek_links(spark, sf):
+    return BL.tomek_links(B.vectors(spark, sf))
+
+
+@query("enn_filter", PAIRS + " SELECT DISTINCT id FROM r WHERE rank <= 3 AND y <> nn_y")
+def q_enn_filter(spark, sf):
+    return BL.enn_drop(B.vectors(spark, sf))
+
+
+def _vec(spark, sf):
+    return B.vectors(spark, sf)
+
+
+@query("repeat_minority")
+def q_repeat_minority(spark, sf):
+    return BL.repeat_minority(_vec(spark, sf))
+
+
+@query("smote")
+def q_smote(spark, sf):
+    return BL.smote(_vec(spark, sf))
+
+
+@query("adasyn")
+def q_adasyn(spark, sf):
+    return BL.adasyn(_vec(spark, sf))
+
+
+@query("smote_tomek")
+def q_smote_tomek(spark, sf):
+    return BL.smote_tomek(_vec(spark, sf))
+
+
+@query("smote_enn")
+def q_smote_enn(spark, sf):
+    return BL.smote_enn(_vec(spark, sf))
+
+
+@query("borderline_smote")
+def q_borderline_smote(spark, sf):
+    return BL.borderline_smote(_vec(spark, sf))
+
+
+@query("oversample_union")
+def q_oversample_union(spark, sf):
+    """The balanced training set chosen by the driver-side rule (default strategy)."""
+    return BL.balance(_vec(spark, sf), "smote_tomek")
+
+
+# ---- models on the labelled feature table -------------------------------------------------------
+
+ML_FEATURES = ["precipitation_mm", "temperature_c", "humidity_pct", "pressure_hpa", "wind_speed_kmh",
+               "soil_moisture_pct", "nivel_metros", "taxa_subida_m_h", "hora", "dia_semana", "mes",
+               "hora_sin", "hora_cos", "precip_24h", "precip_48h", "precip_72h",
+               "precipitation_mm_ma_12h", "nivel_metros_ma_12h", "nivel_metros_std_12h", "nivel_metros_diff"]
+
+
+def ml_table(spark, sf):
+    """Readings -> window features -> calendar -> interval labels -> id / y / split."""
+    r = B.readings(spark, sf)
+    specs = {**W.rain_window_specs(), "precipitation_mm_ma_12h": FR.rolling_mean_full("precipitation_mm", 12),
+             "nivel_metros_ma_12h": FR.rolling_mean_full("nivel_metros", 12),
+             "nivel_metros_std_12h": FR.rolling_std_full("nivel_metros", 12),
+             "nivel_metros_diff": FR.diff("nivel_metros", 1)}
+    d = FE.with_calendar(W.with_windows(r, specs))
+    d = LB.flood_label(d, B.reports(spark, sf))
+    d = d.withColumnRenamed("seq", "id").withColumnRenamed("teve_enchente", "y")
+    return SP.stratified_split(d, "y", "id")
+
+
+def _model_query(name):
+    def q(spark, sf):
+        d = ml_table(spark, sf)
+        train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
+        model = MD.fit(train, ML_FEATURES, MD.estimators("y", small=True)[name], "y")
+        return MD.score(model, test, ML_FEATURES)
+    q.__name__ = f"q_model_{name}"
+    return q
+
+
+for _key, _name in [("model_rf", "random_forest"), ("model_et", "extra_trees"), ("model_gbt", "gradient_boosting"),
+                    ("model_lr", "logistic_regression"), ("model_dt", "decision_tree"),
+                    ("model_gbt_weighted", "boosted_weighted")]:
+    query(_key)(_model_query(_name))
+
+
+@query("model_small")
+def q_model_small(spark, sf):
+    d = ml_table(spark, sf)
+    train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
+    model = MD.fit(train, ML_FEATURES, MD.small_tree("y", 8), "y")
+    return MD.score(model, test, ML_FEATURES)
+
+
+@query("batch_score")
+def q_batch_score(spark, sf):
+    """Score with a saved model (save / load round trip); a feature missing from the frame is 0.0."""
+    d = ml_table(spark, sf)
+    train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
+    model = MD.fit(train, ML_FEATURES, MD.estimators("y", small=True)["decision_tree"], "y")
+    path = scratch_path(spark, f"models/{uuid.uuid4().hex[:12]}")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    return MD.score(loaded, test.drop("nivel_metros_diff"), ML_FEATURES)
+
+
+@query("training_report")
+def q_training_report(spark, sf):
+    """Fit all models, tune thresholds on a validation split, report test metrics per model."""
+    d = ml_table(spark, sf)
+    train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
+    tv = SP.stratified_split(train.drop("split"), "y", "id", out="split2")
+    fit_part, valid = tv.filter(F.col("split2") == "train"), tv.filter(F.col("split2") == "test")
+    return MD.train_and_evaluate(fit_part, valid, test, ML_FEATURES, "y", small=True)
