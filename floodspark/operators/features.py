@@ -60,3 +60,47 @@ def interactions(df: DataFrame) -> DataFrame:
     if {"humidity_pct", "temperature_c"} <= set(df.columns):
         df = df.withColumn("humidade_temp_interaction", F.col("humidity_pct") * F.col("temperature_c"))
     return df
+
+
+def derived_features(df: DataFrame) -> DataFrame:
+    """Saturation index, pressure z-score, composite risk and interactions with all global
+    statistics from ONE aggregation pass (one row back to the driver), instead of a subquery each."""
+    have = set(df.columns)
+    aggs = {}
+    if {"soil_moisture_pct", "precip_72h"} <= have:
+        aggs["max_p72"] = F.max("precip_72h")
+    if "pressure_hpa" in have:
+        aggs["mu_p"], aggs["sd_p"] = F.avg("pressure_hpa"), F.stddev_samp("pressure_hpa")
+    for col, _ in P.RISK_WEIGHTS:
+        if col in have and col != "indice_saturacao":
+            aggs[f"max_{col}"] = F.max(col)
+    st = df.agg(*[e.alias(k) for k, e in aggs.items()]).first().asDict() if aggs else {}
+
+    def lit(k):
+        v = st.get(k)
+        return F.lit(None).cast("double") if v is None else F.lit(float(v))
+
+    if "max_p72" in st:
+        df = df.withColumn("indice_saturacao", F.col("soil_moisture_pct") * 0.5 + F.col("precip_72h") / lit("max_p72") * 50)
+    if "mu_p" in st:
+        df = df.withColumn("pressao_normalizada", (F.col("pressure_hpa") - lit("mu_p")) / lit("sd_p"))
+    parts = []
+    for col, weight in P.RISK_WEIGHTS:
+        if col not in df.columns:
+            continue
+        x = F.col(col)
+        if col == "indice_saturacao":
+            val = x / 100
+        elif col == "taxa_subida_m_h":
+            val = F.when(x.isNull(), F.lit(None)).otherwise(F.greatest(x, F.lit(0.0))) / lit(f"max_{col}")
+        else:
+            val = x / lit(f"max_{col}")
+        parts.append((val, weight))
+    if parts:
+        total = sum(w for _, w in parts)
+        expr = None
+        for val, weight in parts:
+            term = val * (weight / total)
+            expr = term if expr is None else expr + term
+        df = df.withColumn("risco_composto", expr)
+    return interactions(df)

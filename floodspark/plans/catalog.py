@@ -206,9 +206,7 @@ SELECT location, seq, round(
   + (indice_saturacao / 100) * 0.2, 6) AS risco_composto FROM g""")
 def q_composite_risk(spark, sf):
     from ..operators import features as FE
-    d = _feat(spark, sf)
-    d = FE.saturation_index(d)
-    d = FE.composite_risk(d)
+    d = FE.derived_features(_feat(spark, sf))        # one pass for all global statistics
     return d.select("location", "seq", r6("risco_composto").alias("risco_composto"))
 
 

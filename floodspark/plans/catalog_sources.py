@@ -135,3 +135,88 @@ def q_feature_target_split(spark, sf):
     r = B.readings(spark, sf).withColumn("teve_enchente", (F.col("nivel_metros") > 4).cast("int"))
     feats, target = TB.feature_target(r, "teve_enchente", id_cols=("datetime", "location", "seq"))
     return r.select("location", "datetime", "seq", *feats, target)
+
+
+# ---- the labelled feature table (the central preprocessing job) --------------------------------
+
+def _feature_sql() -> str:
+    from ..operators.windows import KEY  # noqa: F401
+    w = O.rows
+    wins = []
+    for n in P.WINDOWS:
+        wins.append(f"SUM(precipitation_mm) {w(n)} AS precip_{n}h")
+    for c in ("precipitation_mm", "nivel_metros"):
+        for n in P.MA_WINDOWS:
+            wins.append(f"CASE WHEN count({c}) {w(n)} = {n} THEN avg({c}) {w(n)} END AS {c}_ma_{n}h")
+        for n in P.STD_WINDOWS:
+            wins.append(f"CASE WHEN count({c}) {w(n)} = {n} THEN stddev_samp({c}) {w(n)} END AS {c}_std_{n}h")
+    for c in ("precipitation_mm", "nivel_metros", "temperature_c"):
+        wins.append(f"{c} - lag({c}) {O.w()} AS {c}_diff")
+        wins.append(f"{c} - lag({c}, 6) {O.w()} AS {c}_diff_6h")
+    wins.append(f"taxa_subida_m_h - lag(taxa_subida_m_h) {O.w()} AS aceleracao_nivel")
+    final_num = [c for c in P.FINAL_COLUMNS if c not in P.ID_COLUMNS]
+    past = "OVER (PARTITION BY location ORDER BY datetime, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    fut = "OVER (PARTITION BY location ORDER BY datetime, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    fills = [f"coalesce(last_value({c} IGNORE NULLS) {past}, first_value({c} IGNORE NULLS) {fut}, 0) AS {c}"
+             for c in final_num]
+    out = []
+    for c in P.FINAL_COLUMNS:
+        if c in ("datetime", "location", "teve_enchente", "nivel_alerta", "hora", "dia_semana", "mes"):
+            out.append(c if c in ("datetime", "location", "teve_enchente", "nivel_alerta") else f"CAST({c} AS INTEGER) AS {c}")
+        else:
+            out.append(f"round({c}, 6) AS {c}")
+    return O.with_(O.READINGS, O.WEATHER, O.RIVERS, O.REPORTS) + f""",
+j AS (SELECT w.*, r.nivel_metros, r.taxa_subida_m_h, r.status FROM weather w LEFT JOIN rivers r USING (datetime, location)),
+c AS (SELECT *, hour(datetime) AS hora, isodow(datetime) - 1 AS dia_semana, month(datetime) AS mes,
+        sin(2 * pi() * hour(datetime) / 24) AS hora_sin, cos(2 * pi() * hour(datetime) / 24) AS hora_cos,
+        sin(2 * pi() * month(datetime) / 12) AS mes_sin, cos(2 * pi() * month(datetime) / 12) AS mes_cos FROM j),
+f AS (SELECT *, {', '.join(wins)} FROM c),
+g AS (SELECT *, soil_moisture_pct * 0.5 + precip_72h / (SELECT max(precip_72h) FROM f) * 50 AS indice_saturacao,
+        (pressure_hpa - (SELECT avg(pressure_hpa) FROM f)) / (SELECT stddev_samp(pressure_hpa) FROM f) AS pressao_normalizada FROM f),
+h AS (SELECT *, (precip_48h / (SELECT max(precip_48h) FROM g)) * 0.3 + (nivel_metros / (SELECT max(nivel_metros) FROM g)) * 0.3
+        + (CASE WHEN taxa_subida_m_h IS NULL THEN NULL ELSE greatest(taxa_subida_m_h, 0.0) END / (SELECT max(taxa_subida_m_h) FROM g)) * 0.2
+        + (indice_saturacao / 100) * 0.2 AS risco_composto FROM g),
+m AS (SELECT e.event_no, min(n.location) AS location FROM reports e
+      JOIN (SELECT DISTINCT location FROM h) n ON contains(lower(e.location_text), lower(n.location)) GROUP BY e.event_no),
+ev AS (SELECT e.event_no, m.location, e.date, e.date - INTERVAL 72 HOUR AS s, e.date + to_days(CAST(coalesce(e.duration_days, 3) AS INTEGER)) AS t
+       FROM reports e JOIN m USING (event_no)),
+hit AS (SELECT r.location, r.seq, max_by(epoch_us(ev.date) - epoch_us(r.datetime), ev.event_no) AS us
+        FROM h r JOIN ev ON r.location = ev.location AND r.datetime BETWEEN ev.s AND ev.t GROUP BY r.location, r.seq),
+lab AS (SELECT h.*, CASE WHEN hit.us IS NULL THEN 0 ELSE 1 END AS teve_enchente,
+        CASE WHEN hit.us IS NULL THEN 0 WHEN hit.us / 3.6e9 > 48 THEN 1 WHEN hit.us / 3.6e9 > 24 THEN 2 ELSE 3 END AS nivel_alerta
+        FROM h LEFT JOIN hit USING (location, seq)),
+o AS (SELECT * FROM lab WHERE precipitation_mm BETWEEN 0 AND 500 AND temperature_c BETWEEN -10 AND 50
+        AND humidity_pct BETWEEN 0 AND 100 AND nivel_metros BETWEEN 0 AND 20),
+fl AS (SELECT datetime, location, teve_enchente, nivel_alerta, {', '.join(fills)} FROM o)
+SELECT {', '.join(out)} FROM fl"""
+
+
+@query("feature_table", _feature_sql())
+def q_feature_table(spark, sf):
+    """The feature table without the data-dependent column prune (the prune is checked on its own
+    by ``sparse_column_prune``; ``feature_table_pruned`` runs the whole job)."""
+    from .pipelines import feature_table
+    d = feature_table(B.weather(spark, sf), B.rivers(spark, sf), B.reports(spark, sf), prune=False)
+    cols = []
+    for c in d.columns:
+        t = d.schema[c].dataType.typeName()
+        cols.append(F.round(c, 6).alias(c) if t == "double" else F.col(c))
+    return d.select(*cols)
+
+
+@query("feature_table_pruned")
+def q_feature_table_pruned(spark, sf):
+    """The whole preprocessing job, including the drop of columns with more than 30 % NULL."""
+    from .pipelines import feature_table
+    return feature_table(B.weather(spark, sf), B.rivers(spark, sf), B.reports(spark, sf), prune=True)
+
+
+@query("dataset_profile_json")
+def q_dataset_profile_json(spark, sf):
+    """The profile as a JSON document, written as a JSON sink and read back."""
+    from ..operators import labels as LB
+    from ..operators import profile as PR
+    d = LB.flood_label(B.readings(spark, sf), B.reports(spark, sf)).drop("tempo_ate_enchente")
+    folder = scratch_path(spark, f"profile/{uuid.uuid4().hex[:12]}")
+    TB.write_json(PR.profile_json(PR.dataset_profile(d)), folder)
+    return spark.read.schema("json string").json(folder)
