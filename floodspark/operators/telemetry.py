@@ -13,7 +13,7 @@ from ..functions import rules as R
 from . import frames as FR
 
 DEVICE_KEY = "device_id"
-DEVICE_ORDER = ("ts", "seq")
+DEVICE_ORDER = ("ts", "seq", "seq2")
 
 SENSOR_FIELDS = ["temperature", "humidity", "pressure", "precipitation", "water_level", "water_rise_rate"]
 
@@ -34,7 +34,7 @@ TELEMETRY_SCHEMA = T.StructType([
 def calibrate(raw: DataFrame) -> DataFrame:
     """Raw ADC / echo readings -> physical values; missing or implausible sensors -> defaults."""
     d = DV.sensor_defaults("temperature", "humidity", "pressure")
-    keep = [c for c in (DEVICE_KEY, "ts", "seq", "connected") if c in raw.columns]
+    keep = [c for c in (DEVICE_KEY, "ts", "seq", "seq2", "connected") if c in raw.columns]
     return raw.select(
         *keep,
         DV.rain_from_adc("rain_raw").alias("precipitation"),

@@ -118,6 +118,7 @@ def telemetry_from(li: DataFrame) -> DataFrame:
         dev.alias("device_id"),
         (F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("l_linenumber"))).alias("ts"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        (F.col("l_partkey") * 100003 + F.col("l_suppkey")).alias("seq2"),
         ((F.col("l_partkey") * 7) % 4096).cast("int").alias("rain_raw"),
         ((F.col("l_orderkey") * 13 + F.col("l_linenumber") * 977) % 30000).cast("int").alias("echo_us"),
         ((F.col("l_suppkey") * 31 + F.col("l_partkey")) % 4096).cast("int").alias("soil_raw"),

@@ -61,11 +61,11 @@ def q_transmit_gate(spark, sf):
     return TM.transmit_gate(_pw(spark, sf)).select("device_id", "seq")
 
 
-@query("mode_transitions", TL + PW + """, t AS (SELECT device_id, seq, coalesce(lag(power_mode) OVER (PARTITION BY device_id ORDER BY ts, seq), 'NORMAL') AS old_mode,
+@query("mode_transitions", TL + PW + """, t AS (SELECT device_id, seq, coalesce(lag(power_mode) OVER (PARTITION BY device_id ORDER BY ts, seq, seq2), 'NORMAL') AS old_mode,
   power_mode AS new_mode FROM pw) SELECT * FROM t WHERE old_mode <> new_mode""")
 def q_mode_transitions(spark, sf):
-    d = W.mode_transitions(_pw(spark, sf).select("device_id", "ts", "seq", "power_mode"), "power_mode",
-                           key="device_id", order=("ts", "seq"))
+    d = W.mode_transitions(_pw(spark, sf).select("device_id", "ts", "seq", "seq2", "power_mode"), "power_mode",
+                           key="device_id", order=("ts", "seq", "seq2"))
     return d.select("device_id", "seq", "old_mode", "new_mode")
 
 
@@ -85,14 +85,14 @@ def q_telemetry_json(spark, sf):
 
 
 HIST_SQL = f""", h AS (SELECT device_id, ts, seq, water_level, precipitation, power_mode,
-  avg(precipitation) {O.rows(12, 'ts, seq', 'device_id')} AS precipitation_ma_12,
-  avg(water_level) {O.rows(12, 'ts, seq', 'device_id')} AS water_level_ma_12,
-  avg(precipitation) {O.rows(24, 'ts, seq', 'device_id')} AS precipitation_ma_24,
-  avg(water_level) {O.rows(24, 'ts, seq', 'device_id')} AS water_level_ma_24,
-  sum(precipitation) {O.rows(24, 'ts, seq', 'device_id')} AS precip_24h,
-  sum(precipitation) {O.rows(48, 'ts, seq', 'device_id')} AS precip_48h,
-  CASE WHEN row_number() {O.w('device_id', 'ts, seq')} > 2
-       THEN (water_level - lag(water_level) {O.w('device_id', 'ts, seq')}) / {INTERVAL} * 3600.0 ELSE 0.0 END AS water_rise_rate
+  avg(precipitation) {O.rows(12, 'ts, seq, seq2', 'device_id')} AS precipitation_ma_12,
+  avg(water_level) {O.rows(12, 'ts, seq, seq2', 'device_id')} AS water_level_ma_12,
+  avg(precipitation) {O.rows(24, 'ts, seq, seq2', 'device_id')} AS precipitation_ma_24,
+  avg(water_level) {O.rows(24, 'ts, seq, seq2', 'device_id')} AS water_level_ma_24,
+  sum(precipitation) {O.rows(24, 'ts, seq, seq2', 'device_id')} AS precip_24h,
+  sum(precipitation) {O.rows(48, 'ts, seq, seq2', 'device_id')} AS precip_48h,
+  CASE WHEN row_number() {O.w('device_id', 'ts, seq, seq2')} > 2
+       THEN (water_level - lag(water_level) {O.w('device_id', 'ts, seq, seq2')}) / {INTERVAL} * 3600.0 ELSE 0.0 END AS water_rise_rate
   FROM pw)"""
 HIST_COLS = ["precipitation_ma_12", "water_level_ma_12", "precipitation_ma_24", "water_level_ma_24", "precip_24h",
              "precip_48h", "water_rise_rate"]
@@ -174,7 +174,7 @@ def q_stream_alerts(spark, sf):
     return out.select("device_id", "seq", "flood_predicted", "alert_level")
 
 
-@query("stream_mode_changes", TL + PW + """, t AS (SELECT device_id, seq, coalesce(lag(power_mode) OVER (PARTITION BY device_id ORDER BY ts, seq), 'NORMAL') AS old_mode,
+@query("stream_mode_changes", TL + PW + """, t AS (SELECT device_id, seq, coalesce(lag(power_mode) OVER (PARTITION BY device_id ORDER BY ts, seq, seq2), 'NORMAL') AS old_mode,
   power_mode AS new_mode FROM pw) SELECT * FROM t WHERE old_mode <> new_mode""")
 def q_stream_mode_changes(spark, sf):
     out = ST.run_available(ST.mode_changes(ST.decode(ST.source(spark, sf))), "mode_changes")

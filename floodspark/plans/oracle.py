@@ -84,6 +84,7 @@ TELEMETRY = """telemetry AS (
   SELECT CASE WHEN l_suppkey % 3 = 0 THEN 'dev0' ELSE 'dev' || CAST(l_suppkey AS VARCHAR) END AS device_id,
          l_shipdate + to_minutes(CAST(l_linenumber AS BIGINT)) AS ts,
          l_orderkey * 8 + l_linenumber AS seq,
+         l_partkey * 100003 + l_suppkey AS seq2,
          CAST((l_partkey * 7) % 4096 AS INTEGER) AS rain_raw,
          CAST((l_orderkey * 13 + l_linenumber * 977) % 30000 AS INTEGER) AS echo_us,
          CAST((l_suppkey * 31 + l_partkey) % 4096 AS INTEGER) AS soil_raw,
@@ -96,7 +97,7 @@ TELEMETRY = """telemetry AS (
   FROM lineitem)"""
 
 CALIBRATED = """cal AS (
-  SELECT device_id, ts, seq, connected,
+  SELECT device_id, ts, seq, seq2, connected,
          greatest(CAST((rain_raw * 100) // 4095 AS INTEGER) / 10.0, 0.0) AS precipitation,
          CAST(CAST((soil_raw * 100) // 4095 AS INTEGER) AS DOUBLE) AS soil_moisture,
          CASE WHEN echo_us = 0 THEN 1.0 ELSE least(greatest((500.0 - echo_us * 0.034 / 2) / 100.0, 0.0), 10.0) END AS water_level,

@@ -68,7 +68,7 @@ def rain_windows(df: DataFrame, size: str = "24 hours", slide: str = "1 hour") -
 
 HISTORY_OUT = T.StructType([
     T.StructField("device_id", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("seq", T.LongType()), T.StructField("water_level", T.DoubleType()),
+    T.StructField("seq", T.LongType()), T.StructField("seq2", T.LongType()), T.StructField("water_level", T.DoubleType()),
     T.StructField("precipitation", T.DoubleType()), T.StructField("power_mode", T.StringType()),
     T.StructField("precipitation_ma_12", T.DoubleType()), T.StructField("water_level_ma_12", T.DoubleType()),
     T.StructField("precipitation_ma_24", T.DoubleType()), T.StructField("water_level_ma_24", T.DoubleType()),
@@ -99,7 +99,7 @@ def _history_step(key, pdfs, state):
         rain_h, level_h = list(rain_h), list(level_h)
     else:
         rain_h, level_h, count = [], [], 0
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq", "seq2"], kind="mergesort")
     k = len(rain_h)
     rain = np.array(rain_h + pdf["precipitation"].tolist(), dtype=float)
     level = np.array(level_h + pdf["water_level"].tolist(), dtype=float)
@@ -116,7 +116,7 @@ def _history_step(key, pdfs, state):
     interval = pdf["power_mode"].map(_INTERVAL).fillna(P.POWER_MODES[0][1]).to_numpy(dtype=float)
     rate = (level[k:] - prev) / interval * 3600.0
     res["water_rise_rate"] = np.where(pos >= 2, rate, 0.0)
-    out = pdf[["device_id", "ts", "seq", "water_level", "precipitation", "power_mode"]].reset_index(drop=True)
+    out = pdf[["device_id", "ts", "seq", "seq2", "water_level", "precipitation", "power_mode"]].reset_index(drop=True)
     for c, v in res.items():
         out[c] = v
     keep = P.HISTORY_SIZE - 1
@@ -126,7 +126,7 @@ def _history_step(key, pdfs, state):
 
 def history(df: DataFrame) -> DataFrame:
     """I4: per-device history features in keyed state (bounded to 48 readings)."""
-    d = df.select("device_id", "ts", "seq", "water_level", "precipitation", "power_mode")
+    d = df.select("device_id", "ts", "seq", "seq2", "water_level", "precipitation", "power_mode")
     return d.groupBy("device_id").applyInPandasWithState(
         _history_step, HISTORY_OUT, HISTORY_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -146,7 +146,7 @@ MODE_STATE = T.StructType([T.StructField("mode", T.StringType())])
 
 def _mode_step(key, pdfs, state):
     last = state.get[0] if state.exists else "NORMAL"
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq", "seq2"], kind="mergesort")
     modes = pdf["power_mode"].tolist()
     prev = [last] + modes[:-1]
     mask = [a != b for a, b in zip(prev, modes)]
@@ -160,7 +160,7 @@ def _mode_step(key, pdfs, state):
 
 def mode_changes(df: DataFrame) -> DataFrame:
     """I6: emit a row only when a device's power mode changes (initial mode NORMAL)."""
-    d = df.select("device_id", "ts", "seq", "power_mode")
+    d = df.select("device_id", "ts", "seq", "seq2", "power_mode")
     return d.groupBy("device_id").applyInPandasWithState(
         _mode_step, MODE_OUT, MODE_STATE, "append", GroupStateTimeout.NoTimeout)
 

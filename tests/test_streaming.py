@@ -22,8 +22,8 @@ def test_history_stream_equals_batch(spark):
 
 def test_mode_changes_stream_equals_batch(spark):
     from floodspark.operators import windows as W
-    pw = TM.with_power(TM.calibrate(B.telemetry(spark, SF0001))).select("device_id", "ts", "seq", "power_mode")
-    batch = W.mode_transitions(pw, "power_mode", key="device_id", order=("ts", "seq"))
+    pw = TM.with_power(TM.calibrate(B.telemetry(spark, SF0001))).select("device_id", "ts", "seq", "seq2", "power_mode")
+    batch = W.mode_transitions(pw, "power_mode", key="device_id", order=("ts", "seq", "seq2"))
     stream = ST.run_available(ST.mode_changes(ST.decode(ST.source(spark, SF0001))), "t_modes")
     cols = ["device_id", "seq", "old_mode", "new_mode"]
     assert _sorted(stream, cols) == _sorted(batch, cols)
