@@ -103,7 +103,9 @@ def ml_table(spark, sf):
     d = FE.with_calendar(W.with_windows(r, specs))
     d = LB.flood_label(d, B.reports(spark, sf))
     d = d.withColumnRenamed("seq", "id").withColumnRenamed("teve_enchente", "y")
-    return SP.stratified_split(d, "y", "id")
+    # materialised once in the shared checkpoint folder: the split, every fit and every score read it
+    d = d.select("id", "y", *ML_FEATURES).checkpoint(eager=True)
+    return SP.stratified_split(d, "y", "id").checkpoint(eager=True)
 
 
 def _model_query(name):
@@ -150,3 +152,15 @@ def q_training_report(spark, sf):
     tv = SP.stratified_split(train.drop("split"), "y", "id", out="split2")
     fit_part, valid = tv.filter(F.col("split2") == "train"), tv.filter(F.col("split2") == "test")
     return MD.train_and_evaluate(fit_part, valid, test, ML_FEATURES, "y", small=True)
+
+
+@query("training_report_json")
+def q_training_report_json(spark, sf):
+    """The training run record as one JSON document (best model, threshold, per-model metrics),
+    written as a JSON sink and read back."""
+    from ..sources import tables as TB
+    from .pipelines import training_report_json
+    report = q_training_report(spark, sf).checkpoint(eager=True)
+    folder = scratch_path(spark, f"training/{uuid.uuid4().hex[:12]}")
+    TB.write_json(training_report_json(report), folder)
+    return spark.read.schema("json string").json(folder)
