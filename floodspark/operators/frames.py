@@ -7,8 +7,8 @@ is one task per station over the whole history.
 
 Here every row first gets its exact position inside its key (``row_index``) without a per-key task:
 
-1. the first order column (event time) is cut into coarse buckets, so a hot key is spread over
-   many (key, bucket) groups;
+1. the first order column (event time) is cut into coarse buckets whose width gives the hottest
+   key about ``bucketRows`` rows per bucket, so a hot key is spread over many (key, bucket) groups;
 2. rows are ranked inside their (key, bucket) group;
 3. a small table of (key, bucket) counts gives each bucket's offset inside the key (running sum
    over at most keys x time span / bucket width rows);
@@ -22,8 +22,9 @@ results equal the plain per-key window exactly.
 Unbounded prefixes (forward fill, running totals) use the same positions with a two-level scan:
 inside a block, then across the small per-block summary table.
 
-Settings (session conf): ``floodspark.frames.blockRows`` (default 1,048,576) and
-``floodspark.frames.bucketSeconds`` (default 3600).
+Settings (session conf): ``floodspark.frames.blockRows`` (default 1,048,576),
+``floodspark.frames.bucketRows`` (default 1,000,000; adaptive bucket width) or a fixed
+``floodspark.frames.bucketSeconds``.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ from pyspark.sql import types as T
 BLOCK_ROWS_CONF = "floodspark.frames.blockRows"
 DEFAULT_BLOCK_ROWS = 1 << 20
 BUCKET_SECONDS_CONF = "floodspark.frames.bucketSeconds"
-DEFAULT_BUCKET_SECONDS = 3600
+BUCKET_ROWS_CONF = "floodspark.frames.bucketRows"
+DEFAULT_BUCKET_ROWS = 1_000_000
 
 POS = "_pos"        # 0-based position of the row inside its key
 BLOCK = "_blk"      # block owning the row
@@ -59,27 +61,56 @@ def block_rows(df: DataFrame) -> int:
     return _conf_int(df, BLOCK_ROWS_CONF, DEFAULT_BLOCK_ROWS)
 
 
-def _bucket(df: DataFrame, col: str) -> Column:
-    """A deterministic, order-preserving coarse bucket of the first order column."""
+def _order_value(df: DataFrame, col: str) -> Column:
+    """The first order column as a monotone number (micros for time, days for dates)."""
     dt = df.schema[col].dataType
-    width = _conf_int(df, BUCKET_SECONDS_CONF, DEFAULT_BUCKET_SECONDS)
     if isinstance(dt, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`) div {width * 1_000_000}")
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
     if isinstance(dt, T.TimestampType):
-        return F.expr(f"unix_micros(`{col}`) div {width * 1_000_000}")
+        return F.expr(f"unix_micros(`{col}`)")
     if isinstance(dt, T.DateType):
-        return F.expr(f"unix_date(`{col}`) div {max(width // 86400, 1)}")
+        return F.expr(f"unix_date(`{col}`)")
     if isinstance(dt, T.NumericType):
-        return F.floor(F.col(col) / F.lit(float(width))).cast("long")
+        return F.col(col).cast("double")
     return F.lit(0)
 
 
+def _bucket_width(df: DataFrame, keys: list[str], col: str) -> float:
+    """Bucket width in order-value units.
+
+    Set explicitly with ``floodspark.frames.bucketSeconds``; otherwise adaptive: one aggregation
+    over (key -> rows, first, last) picks the hottest key, and the width gives that key about
+    ``floodspark.frames.bucketRows`` rows per bucket (so a key with a third of all rows is spread
+    over many tasks, while small inputs get one bucket per key)."""
+    dt = df.schema[col].dataType
+    unit = 1_000_000 if isinstance(dt, (T.TimestampNTZType, T.TimestampType)) else \
+        (1 / 86400 if isinstance(dt, T.DateType) else 1)
+    fixed = df.sparkSession.conf.get(BUCKET_SECONDS_CONF, None)
+    if fixed:
+        return float(fixed) * unit
+    target = _conf_int(df, BUCKET_ROWS_CONF, DEFAULT_BUCKET_ROWS)
+    v = _order_value(df, col)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+           .orderBy(F.desc("n")).limit(1).first())          # one row
+    if hot is None or hot["n"] <= target or hot["hi"] is None:
+        return float("inf")
+    return max(1.0, (float(hot["hi"]) - float(hot["lo"]) + 1.0) * target / float(hot["n"]))
+
+
+def _bucket(df: DataFrame, keys: list[str], col: str) -> Column:
+    """A deterministic, order-preserving coarse bucket of the first order column."""
+    width = _bucket_width(df, keys, col)
+    if width == float("inf"):
+        return F.lit(0).cast("long")
+    return F.floor(_order_value(df, col) / F.lit(width)).cast("long")
+
+
 def row_index(df: DataFrame, key, order: Sequence[str], pos: str = POS) -> DataFrame:
     """Add ``pos``: the 0-based position of each row inside its key, in ``order``.
 
     ``order`` must be a total order inside a key (add a tie-breaker column); its first column is
-    cut into coarse buckets (``floodspark.frames.bucketSeconds``, default one hour of event time),
-    so a hot key is spread over many tasks. Position = rows of the key in earlier buckets (running
+    cut into coarse buckets (adaptive width, see ``_bucket_width``), so a hot key is spread over
+    many tasks. Position = rows of the key in earlier buckets (running
     sum over the small (key, bucket) count table) + rank inside the bucket. Everything is
     deterministic, so a recomputed task yields the same numbers.
     """
@@ -87,7 +118,7 @@ def row_index(df: DataFrame, key, order: Sequence[str], pos: str = POS) -> DataF
         return df
     keys = _keys(key)
     order = list(order)
-    b = df.withColumn("_bkt", _bucket(df, order[0]))
+    b = df.withColumn("_bkt", _bucket(df, keys, order[0]))
     ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_bkt").orderBy(*order)) - 1)
     # one row per (key, bucket): bounded by keys x time span / bucket width
     stats = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))

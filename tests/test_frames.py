@@ -83,3 +83,19 @@ def test_position_and_count(small_blocks):
     exp = _ref(pdf).apply(lambda g: g.assign(pos=np.arange(1, len(g) + 1), n=len(g)))
     m = got.merge(exp, on="seq", suffixes=("", "_e"))
     assert (m.pos == m.pos_e).all() and (m.n == m.n_e).all()
+
+
+def test_row_index_adaptive_buckets(spark):
+    """No fixed bucket width: the hottest key gets ~bucketRows rows per bucket; positions stay exact."""
+    old = spark.conf.get("floodspark.frames.bucketSeconds", None)
+    spark.conf.unset("floodspark.frames.bucketSeconds")
+    spark.conf.set("floodspark.frames.bucketRows", "20")
+    try:
+        pdf = _data()
+        got = FR.row_index(_sdf(spark, pdf), "location", ["datetime", "seq"]).toPandas()
+        exp = _ref(pdf).apply(lambda g: g.assign(_pos=np.arange(len(g))))
+        m = got.merge(exp[["seq", "_pos"]], on="seq", suffixes=("", "_e"))
+        assert len(m) == len(pdf) and (m["_pos"] == m["_pos_e"]).all()
+    finally:
+        spark.conf.set("floodspark.frames.bucketSeconds", old or "600")
+        spark.conf.unset("floodspark.frames.bucketRows")
