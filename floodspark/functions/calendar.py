@@ -35,3 +35,13 @@ def cyclic_parts(ts="datetime") -> dict[str, Column]:
     ws, wc = cyclic(F.weekday(ts), 7)
     return {"hora_sin": hs, "hora_cos": hc, "mes_sin": ms, "mes_cos": mc,
             "dia_semana_sin": ws, "dia_semana_cos": wc}
+
+
+def hours_between(start, end) -> Column:
+    """(end - start) in hours, exact to the microsecond, without a time-zone conversion."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / 3.6e9
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a local (zone-less) timestamp, without a time-zone conversion."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))

@@ -90,11 +90,15 @@ def _bucket_width(df: DataFrame, keys: list[str], col: str) -> float:
         return float(fixed) * unit
     target = _conf_int(df, BUCKET_ROWS_CONF, DEFAULT_BUCKET_ROWS)
     v = _order_value(df, col)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    # the width only balances the work (positions are exact whatever it is): a seeded 2 % sample
+    # of the per-key counts is enough
+    frac = 0.02
+    hot = (df.sample(fraction=frac, seed=7).groupBy(*keys)
+           .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
            .orderBy(F.desc("n")).limit(1).first())          # one row
-    if hot is None or hot["n"] <= target or hot["hi"] is None:
+    if hot is None or hot["hi"] is None or hot["n"] / frac <= target:
         return float("inf")
-    return max(1.0, (float(hot["hi"]) - float(hot["lo"]) + 1.0) * target / float(hot["n"]))
+    return max(1.0, (float(hot["hi"]) - float(hot["lo"]) + 1.0) * target / (hot["n"] / frac))
 
 
 def _bucket(df: DataFrame, keys: list[str], col: str) -> Column:

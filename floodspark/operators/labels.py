@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import physics as PH
+from ..functions.calendar import hours_between
 from . import frames as FR
 from .joins import name_match, station_lookup
 from .windows import KEY, ORDER
@@ -87,8 +88,7 @@ def flood_label(readings: DataFrame, events: DataFrame, key: str = KEY, ts: str
     last = hits.groupBy(key, row_id).agg(
         F.max_by(F.struct(F.col("_date"), F.col(ts)), F.col(event_no)).alias("_ev"))
     last = last.select(key, row_id, F.lit(1).alias("_hit"),
-                       ((F.unix_micros(F.col("_ev._date").cast("timestamp")) -
-                         F.unix_micros(F.col(f"_ev.{ts}").cast("timestamp"))) / 3.6e9).alias("tempo_ate_enchente"))
+                       hours_between(F.col(f"_ev.{ts}"), F.col("_ev._date")).alias("tempo_ate_enchente"))
     out = readings.join(last, [key, row_id], "left")
     h48, h24 = P.ALERT_HOURS
     t = F.col("tempo_ate_enchente")

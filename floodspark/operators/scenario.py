@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import rules as R
+from ..functions.calendar import hours_between
 from ..functions.physics import clip
 
 
@@ -97,13 +98,13 @@ def high_risk_summary(df: DataFrame, prob: str = "prob_enchente", ts: str = "tim
     h = df.filter(F.col(prob) > limit)
     return h.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_high"),
-        ((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 3.6e9).alias("duration_h"),
+        hours_between(F.min(ts), F.max(ts)).alias("duration_h"),
         F.max(prob).alias("max_probability"))
 
 
 def run_summary(df: DataFrame, ts: str = "timestamp", by: Sequence[str] = ("cenario",)) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_points"),
-        ((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 3.6e9).alias("duration_h"),
+        hours_between(F.min(ts), F.max(ts)).alias("duration_h"),
         F.avg("temperature_c").alias("avg_temperature"), F.avg("precipitation_mm").alias("avg_precipitation"),
         F.avg("nivel_metros").alias("avg_level"))

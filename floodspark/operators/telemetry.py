@@ -69,7 +69,7 @@ def transmit_gate(df: DataFrame) -> DataFrame:
 
 def to_wire(df: DataFrame) -> DataFrame:
     """Nested JSON record per reading (the device's POST body)."""
-    ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    ms = F.expr("CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) DIV 1000 AS BIGINT)")
     body = F.struct(
         F.col(DEVICE_KEY).alias("device_id"), ms.alias("timestamp"), F.col("seq"),
         F.struct(*[F.col(c).alias(c) for c in SENSOR_FIELDS]).alias("sensors"),
@@ -84,7 +84,7 @@ def from_wire(df: DataFrame, col: str = "json") -> DataFrame:
     r = df.select(F.from_json(F.col(col), TELEMETRY_SCHEMA).alias("r"))
     return r.select(
         F.col("r.device_id").alias(DEVICE_KEY),
-        F.timestamp_millis(F.col("r.timestamp")).cast("timestamp_ntz").alias("ts"),
+        F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, r.timestamp / 1000.0)").alias("ts"),
         F.col("r.seq").alias("seq"),
         *[F.col(f"r.sensors.{c}").alias(c) for c in SENSOR_FIELDS],
         F.col("r.prediction.risk_score").alias("risk_score"), F.col("r.prediction.alert_level").alias("alert_level"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions.calendar import hours_between
 from . import frames as FR
 
 KEY = "location"
@@ -121,6 +122,5 @@ def run_progress(df: DataFrame, key: str = "cenario", order: Sequence[str] = ("t
     d = d.join(first, [key])
     return (d.withColumn("step", F.col("_pos1") - 1)
             .withColumn("progress_pct", F.expr("CAST(floor(100 * (_pos1 - 1) / _n) AS INT)"))
-            .withColumn("hora_simulacao", (F.unix_micros(F.col(ts).cast("timestamp")) -
-                                           F.unix_micros(F.col("_t0").cast("timestamp"))) / 3.6e9)
+            .withColumn("hora_simulacao", hours_between("_t0", ts))
             .drop("_pos1", "_n", "_t0"))

@@ -104,8 +104,9 @@ def ml_table(spark, sf):
     d = LB.flood_label(d, B.reports(spark, sf))
     d = d.withColumnRenamed("seq", "id").withColumnRenamed("teve_enchente", "y")
     # materialised once in the shared checkpoint folder: the split, every fit and every score read it
-    d = d.select("id", "y", *ML_FEATURES).checkpoint(eager=True)
-    return SP.stratified_split(d, "y", "id").checkpoint(eager=True)
+    from .pipelines import cut
+    d = cut(d.select("id", "y", *ML_FEATURES))
+    return cut(SP.stratified_split(d, "y", "id"))
 
 
 def _model_query(name):
@@ -160,7 +161,8 @@ def q_training_report_json(spark, sf):
     written as a JSON sink and read back."""
     from ..sources import tables as TB
     from .pipelines import training_report_json
-    report = q_training_report(spark, sf).checkpoint(eager=True)
+    from .pipelines import cut
+    report = cut(q_training_report(spark, sf))
     folder = scratch_path(spark, f"training/{uuid.uuid4().hex[:12]}")
     TB.write_json(training_report_json(report), folder)
     return spark.read.schema("json string").json(folder)

@@ -220,3 +220,20 @@ def q_dataset_profile_json(spark, sf):
     folder = scratch_path(spark, f"profile/{uuid.uuid4().hex[:12]}")
     TB.write_json(PR.profile_json(PR.dataset_profile(d)), folder)
     return spark.read.schema("json string").json(folder)
+
+
+# ---- zip archives of station files --------------------------------------------------------------
+
+@query("zip_scan", O.with_(O.RAW) + """SELECT CAST(yr + 28 AS VARCHAR) || '.zip' AS archive,
+  CASE WHEN yr + 28 BETWEEN 2020 AND 2025 THEN CAST(yr + 28 AS VARCHAR) ELSE 'temp' END AS year_folder,
+  'INMET_S_RS_' || code || '_' || CAST(yr AS VARCHAR) || '.CSV' AS member, count(*) + 9 AS n_lines
+FROM raw GROUP BY yr, code""")
+def q_zip_scan(spark, sf):
+    """Yearly archives (year + 28 -> 2020..2026) of the station files, scanned back line by line."""
+    from ..sources import archives as AR
+    folder = scratch_path(spark, f"archives/{uuid.uuid4().hex[:12]}")
+    lines = B.station_lines(spark, sf).withColumn("yr", F.regexp_extract("file_name", r"_(\d{4})\.CSV$", 1).cast("int"))
+    lines = lines.select((F.col("yr") + 28).cast("string").alias("_y"), F.col("file_name").alias("member"), "line_no", "line")
+    AR.write_archives(lines.withColumn("archive", F.concat(F.col("_y"), F.lit(".zip"))).drop("_y"), folder)
+    scanned = AR.scan_archives(spark, folder)
+    return scanned.groupBy("archive", "year_folder", "member").agg(F.count(F.lit(1)).alias("n_lines"))
