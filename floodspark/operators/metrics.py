@@ -84,14 +84,15 @@ def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame
 def ordered_prefix(df: DataFrame, order: str, cols: Sequence[str], buckets: int = 1024) -> DataFrame:
     """Add ``<c>_below``: sum of ``c`` over rows with a smaller ``order`` value (unique values).
 
-    Two-level scan: rows go to ``buckets`` equal-width range buckets over [min, max] (scalar
-    subqueries), per-bucket totals are accumulated over the small bucket table, and the running sum
-    inside each bucket is added. Exact whatever the bucket bounds."""
-    lo = df.agg(F.min(order).alias("v")).scalar()
-    hi = df.agg(F.max(order).alias("v")).scalar()
-    x = F.col(order)
-    d = df.withColumn("_b", F.when(hi == lo, F.lit(0)).otherwise(
-        F.least(F.floor((x - lo) / (hi - lo) * buckets), F.lit(buckets - 1))).cast("int"))
+    Two-level scan: rows go to ``buckets`` range buckets whose bounds are approximate quantiles of
+    ``order`` (computed once, at most ``buckets - 1`` numbers, inlined as a literal array), so
+    bunched-up scores still spread evenly; per-bucket totals are accumulated over the small bucket
+    table, and the running sum inside each bucket is added. Exact whatever the bounds are."""
+    probs = [i / buckets for i in range(1, buckets)]
+    row = df.agg(F.percentile_approx(order, probs, 10 * buckets).alias("q")).first()
+    bounds = sorted(set(float(b) for b in (row["q"] or []) if b is not None))
+    arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    d = df.withColumn("_b", F.size(F.filter(arr, lambda b: b < F.col(order))))
     tot = d.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # <= `buckets` rows
     tot = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
