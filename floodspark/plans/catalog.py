@@ -259,8 +259,8 @@ def q_validate_features(spark, sf):
 
 
 @query("emergency_rule", RD + """SELECT seq, CASE WHEN nivel_metros > 4 OR precipitation_mm > 50 THEN 3 ELSE 0 END AS alert_level,
-  least(1.0, CASE WHEN nivel_metros > 3 THEN 0.4 ELSE 0.0 END + CASE WHEN precipitation_mm > 30 THEN 0.4 ELSE 0.0 END
-   + CASE WHEN nivel_metros > 4 THEN 0.2 ELSE 0.0 END) AS emergency_score FROM readings""")
+  CAST(least(1.0, CASE WHEN nivel_metros > 3 THEN 0.4 ELSE 0.0 END + CASE WHEN precipitation_mm > 30 THEN 0.4 ELSE 0.0 END
+   + CASE WHEN nivel_metros > 4 THEN 0.2 ELSE 0.0 END) AS DOUBLE) AS emergency_score FROM readings""")
 def q_emergency_rule(spark, sf):
     r = B.readings(spark, sf)
     return r.select("seq", R.emergency_alert().alias("alert_level"), R.emergency_score().alias("emergency_score"))
@@ -372,9 +372,9 @@ def q_floored_cumsum(spark, sf):
 
 
 @query("level_change", RD + f""", f AS (SELECT *, SUM(precipitation_mm) {O.rows(48)} AS p48 FROM readings)
-SELECT location, seq, round((CASE WHEN p48 > 150 THEN 1.0 WHEN p48 > 80 THEN 0.4 WHEN p48 > 30 THEN 0.15 ELSE -0.05 END)
-  * (CASE WHEN month(datetime) IN (1,2,3,4,5) THEN 1.8 WHEN month(datetime) IN (6,7,8) THEN 0.8
-          WHEN month(datetime) IN (9,10,11) THEN 1.2 ELSE 1.4 END), 6) AS level_change FROM f""")
+SELECT location, seq, round(CAST(CASE WHEN p48 > 150 THEN 1.0 WHEN p48 > 80 THEN 0.4 WHEN p48 > 30 THEN 0.15 ELSE -0.05 END AS DOUBLE)
+  * CAST(CASE WHEN month(datetime) IN (1,2,3,4,5) THEN 1.8 WHEN month(datetime) IN (6,7,8) THEN 0.8
+          WHEN month(datetime) IN (9,10,11) THEN 1.2 ELSE 1.4 END AS DOUBLE), 6) AS level_change FROM f""")
 def q_level_change(spark, sf):
     d = W.rolling_sum(B.readings(spark, sf), sizes=(48,))
     return d.select("location", "seq", r6(PH.level_change("precip_48h", "datetime")).alias("level_change"))

@@ -70,9 +70,9 @@ def q_mode_transitions(spark, sf):
 
 
 @query("telemetry_json", TL + PW + """SELECT device_id, ts, seq, temperature, humidity, pressure, precipitation, water_level,
-  0.0 AS water_rise_rate,
-  least(1.0, CASE WHEN water_level > 3 THEN 0.4 ELSE 0.0 END + CASE WHEN precipitation > 30 THEN 0.4 ELSE 0.0 END
-    + CASE WHEN water_level > 4 THEN 0.2 ELSE 0.0 END) AS risk_score,
+  CAST(0.0 AS DOUBLE) AS water_rise_rate,
+  CAST(least(1.0, CASE WHEN water_level > 3 THEN 0.4 ELSE 0.0 END + CASE WHEN precipitation > 30 THEN 0.4 ELSE 0.0 END
+    + CASE WHEN water_level > 4 THEN 0.2 ELSE 0.0 END) AS DOUBLE) AS risk_score,
   CASE WHEN water_level > 4 OR precipitation > 50 THEN 3 ELSE 0 END AS alert_level,
   CASE WHEN water_level > 4 OR precipitation > 50 THEN 1 ELSE 0 END AS flood_predicted,
   battery_voltage, solar_voltage, is_charging, power_mode FROM pw""")

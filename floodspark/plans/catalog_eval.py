@@ -61,9 +61,9 @@ def q_binary_metrics(spark, sf):
   UNION ALL
   SELECT '1', {d0('tp', 'tp + fp')}, {d0('tp', 'tp + fn')}, {d0('2 * tp', '2 * tp + fp + fn')}, tp + fn FROM c)
 SELECT * FROM per
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per
 UNION ALL SELECT 'weighted avg', {d0('sum(precision * support)', 'sum(support)')}, {d0('sum(recall * support)', 'sum(support)')},
-  {d0('sum(f1 * support)', 'sum(support)')}, sum(support) FROM per""")
+  {d0('sum(f1 * support)', 'sum(support)')}, CAST(sum(support) AS BIGINT) FROM per""")
 def q_class_report(spark, sf):
     d = M.class_report(_pred(spark, sf))
     return d.select("label", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"),
