@@ -35,9 +35,25 @@ def _parsed(spark, sf):
     return SF.parse_rows(lines, pos)
 
 
-@query("file_manifest")
+LINES_SQL = O.with_(O.RAW) + f""", files AS (SELECT DISTINCT code, yr FROM raw),
+lines AS (
+  SELECT 'INMET_S_RS_' || code || '_' || CAST(yr AS VARCHAR) || '.CSV' AS file_name,
+         concat_ws(';', date_text, hour_text, precip_text, pressure_text, temp_text, humidity_text, wind_text) AS line FROM raw
+  UNION ALL SELECT 'INMET_S_RS_' || code || '_' || CAST(yr AS VARCHAR) || '.CSV',
+         CASE WHEN yr % 2 = 0 THEN {repr(';'.join(P.HEADER_ALIASES[t][0] for t in B.RAW_HEADER_ORDER))}
+              ELSE {repr(';'.join(P.HEADER_ALIASES[t][1] for t in B.RAW_HEADER_ORDER))} END FROM files
+  UNION ALL SELECT 'INMET_S_RS_' || code || '_' || CAST(yr AS VARCHAR) || '.CSV', m.line
+  FROM files, (VALUES ('REGIAO:;S'), ('UF:;RS'), ('LATITUDE:;-30,05'), ('LONGITUDE:;-51,16'), ('ALTITUDE:;46,97'),
+                      ('DATA DE FUNDACAO:;2000/09/22')) m(line)
+  UNION ALL SELECT 'INMET_S_RS_' || code || '_' || CAST(yr AS VARCHAR) || '.CSV', 'ESTACAO:;' || code FROM files
+  UNION ALL SELECT 'INMET_S_RS_' || code || '_' || CAST(yr AS VARCHAR) || '.CSV', 'CODIGO (WMO):;' || code FROM files)"""
+
+
+@query("file_manifest", LINES_SQL + """SELECT count(DISTINCT file_name) AS n_files, CAST(sum(length(line) + 1) AS BIGINT) AS total_bytes
+FROM lines""")
 def q_file_manifest(spark, sf):
-    """Rows-only: total bytes depend on the writer's encoding of the files."""
+    """Files found by name pattern, with their count and total size (Latin-1: one byte per character
+    plus the line end)."""
     return SF.file_manifest(spark, _files(spark, sf))
 
 
