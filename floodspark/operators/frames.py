@@ -75,13 +75,25 @@ def _order_value(df: DataFrame, col: str) -> Column:
     return F.lit(0)
 
 
-def _bucket_width(df: DataFrame, keys: list[str], col: str) -> float:
+def _hot_estimate(df: DataFrame, keys: list[str], col: str):
+    """(rows, first, last) of the hottest key, estimated from a seeded 2 % sample (one small
+    aggregation). Only used to balance work: results never depend on it."""
+    frac = 0.02
+    v = _order_value(df, col)
+    hot = (df.sample(fraction=frac, seed=7).groupBy(*keys)
+           .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+           .orderBy(F.desc("n")).limit(1).first())          # one row
+    if hot is None or hot["hi"] is None:
+        return 0.0, None, None
+    return hot["n"] / frac, float(hot["lo"]), float(hot["hi"])
+
+
+def _bucket_width(df: DataFrame, keys: list[str], col: str, hot=None) -> float:
     """Bucket width in order-value units.
 
-    Set explicitly with ``floodspark.frames.bucketSeconds``; otherwise adaptive: one aggregation
-    over (key -> rows, first, last) picks the hottest key, and the width gives that key about
-    ``floodspark.frames.bucketRows`` rows per bucket (so a key with a third of all rows is spread
-    over many tasks, while small inputs get one bucket per key)."""
+    Set explicitly with ``floodspark.frames.bucketSeconds``; otherwise adaptive: the width gives the
+    hottest key about ``floodspark.frames.bucketRows`` rows per bucket (so a key with a third of all
+    rows is spread over many tasks, while small inputs get one bucket per key)."""
     dt = df.schema[col].dataType
     unit = 1_000_000 if isinstance(dt, (T.TimestampNTZType, T.TimestampType)) else \
         (1 / 86400 if isinstance(dt, T.DateType) else 1)
@@ -89,27 +101,13 @@ def _bucket_width(df: DataFrame, keys: list[str], col: str) -> float:
     if fixed:
         return float(fixed) * unit
     target = _conf_int(df, BUCKET_ROWS_CONF, DEFAULT_BUCKET_ROWS)
-    v = _order_value(df, col)
-    # the width only balances the work (positions are exact whatever it is): a seeded 2 % sample
-    # of the per-key counts is enough
-    frac = 0.02
-    hot = (df.sample(fraction=frac, seed=7).groupBy(*keys)
-           .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-           .orderBy(F.desc("n")).limit(1).first())          # one row
-    if hot is None or hot["hi"] is None or hot["n"] / frac <= target:
+    n, lo, hi = hot if hot is not None else _hot_estimate(df, keys, col)
+    if lo is None or n <= target:
         return float("inf")
-    return max(1.0, (float(hot["hi"]) - float(hot["lo"]) + 1.0) * target / (hot["n"] / frac))
+    return max(1.0, (hi - lo + 1.0) * target / n)
 
 
-def _bucket(df: DataFrame, keys: list[str], col: str) -> Column:
-    """A deterministic, order-preserving coarse bucket of the first order column."""
-    width = _bucket_width(df, keys, col)
-    if width == float("inf"):
-        return F.lit(0).cast("long")
-    return F.floor(_order_value(df, col) / F.lit(width)).cast("long")
-
-
-def row_index(df: DataFrame, key, order: Sequence[str], pos: str = POS) -> DataFrame:
+def row_index(df: DataFrame, key, order: Sequence[str], pos: str = POS, hot=None) -> DataFrame:
     """Add ``pos``: the 0-based position of each row inside its key, in ``order``.
 
     ``order`` must be a total order inside a key (add a tie-breaker column); its first column is
@@ -122,7 +120,10 @@ def row_index(df: DataFrame, key, order: Sequence[str], pos: str = POS) -> DataF
         return df
     keys = _keys(key)
     order = list(order)
-    b = df.withColumn("_bkt", _bucket(df, keys, order[0]))
+    width = _bucket_width(df, keys, order[0], hot)
+    if width == float("inf"):      # every key fits one bucket: a plain per-key rank
+        return df.withColumn(pos, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    b = df.withColumn("_bkt", F.floor(_order_value(df, order[0]) / F.lit(width)).cast("long"))
     ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_bkt").orderBy(*order)) - 1)
     # one row per (key, bucket): bounded by keys x time span / bucket width
     stats = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
@@ -162,6 +163,15 @@ def with_row_features(df: DataFrame, key, order: Sequence[str], specs: dict[str,
                       keep_position: bool = False) -> DataFrame:
     """Compute all ``specs`` in one framed pass (one shuffle for the range index, one for frames)."""
     lookback = max((s.lookback for s in specs.values()), default=0)
+    keys = _keys(key)
+    if POS not in df.columns:
+        hot = _hot_estimate(df, keys, list(order)[0])
+        if hot[0] * 1.5 <= block_rows(df):
+            # even the hottest key fits one block: plain per-key windows, each task bounded
+            w = Window.partitionBy(*keys).orderBy(*order)
+            d = df.select("*", *[s.build(w).alias(name) for name, s in specs.items()])
+            return d.withColumn(POS, F.row_number().over(w) - 1) if keep_position else d
+        df = row_index(df, key, order, hot=hot)
     d = framed(df, key, order, lookback)
     w = frame_window(key)
     d = d.select("*", *[s.build(w).alias(name) for name, s in specs.items()])
