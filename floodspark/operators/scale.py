@@ -4,6 +4,7 @@ applied to another.
 Exact quantiles use distributed selection: a histogram pass narrows the value range that holds
 the wanted rank until few rows remain, then a sort + offset inside that range picks the value. No
 pass holds a whole column in one task or on the driver; each pass returns at most ``bins`` rows.
+Columns with at most ``FINAL_ROWS`` values use Spark's exact ``percentile`` aggregate in one pass.
 The approximate path (``exact=False``) uses ``percentile_approx`` (bounded sketch)."""
 
 from __future__ import annotations
@@ -51,20 +52,33 @@ def kth_smallest(df: DataFrame, col: str, k: int, bins: int = SELECT_BINS, final
         lo, hi, n, below = st["lo"], st["hi"], st["n"], acc
 
 
-def quantile(df: DataFrame, col: str, q: float, exact: bool = True):
-    """Linear-interpolated quantile (the ``quantile_cont`` / numpy default definition)."""
+def quantiles(df: DataFrame, col: str, qs, exact: bool = True) -> list:
+    """Linear-interpolated quantiles (the ``quantile_cont`` / numpy default definition).
+
+    Exact: with at most ``FINAL_ROWS`` values, Spark's exact ``percentile`` aggregate answers all
+    quantiles in one pass (its buffer is bounded by that count); above it, each needed rank comes
+    from distributed selection. ``exact=False`` uses the bounded ``percentile_approx`` sketch."""
+    qs = list(qs)
     if not exact:
-        return df.agg(F.percentile_approx(col, q, 10000).alias("v")).first()["v"]
-    n = _values(df, col).count()
+        return list(df.agg(F.percentile_approx(col, qs, 10000).alias("v")).first()["v"])
+    x = _values(df, col)
+    n = x.count()
     if n == 0:
-        return None
-    h = (n - 1) * q
-    lo_r, hi_r = math.floor(h), math.ceil(h)
-    a = kth_smallest(df, col, lo_r)
-    if hi_r == lo_r:
-        return a
-    b = kth_smallest(df, col, hi_r)
-    return a + (h - lo_r) * (b - a)
+        return [None] * len(qs)
+    if n <= FINAL_ROWS:
+        return list(x.agg(F.percentile("x", qs).alias("v")).first()["v"])
+    out = []
+    for q in qs:
+        h = (n - 1) * q
+        lo_r, hi_r = math.floor(h), math.ceil(h)
+        a = kth_smallest(df, col, lo_r)
+        b = a if hi_r == lo_r else kth_smallest(df, col, hi_r)
+        out.append(a + (h - lo_r) * (b - a))
+    return out
+
+
+def quantile(df: DataFrame, col: str, q: float, exact: bool = True):
+    return quantiles(df, col, [q], exact)[0]
 
 
 def medians(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict:
@@ -81,7 +95,7 @@ def robust_fit(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict:
     """Per column (median, q3 - q1), spread 0 -> 1."""
     out = {}
     for c in cols:
-        q1, q2, q3 = (quantile(df, c, q, exact) for q in (0.25, 0.5, 0.75))
+        q1, q2, q3 = quantiles(df, c, (0.25, 0.5, 0.75), exact)
         spread = (q3 - q1) if q1 is not None else None
         out[c] = (q2, 1.0 if not spread else spread)
     return out
