@@ -40,14 +40,18 @@ def source(spark: SparkSession, sf_dir: str, table: str = "lineitem", max_files:
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
     s = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
          .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
-    return B.telemetry_from(s)
-
-
-def decode(raw: DataFrame) -> DataFrame:
-    """I1: wire JSON round trip of the raw record, then calibration and defaults."""
-    wire = raw.select(F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("json"))
-    back = wire.select(F.from_json("json", raw.schema).alias("r")).select("r.*")
-    return TM.with_power(TM.calibrate(back))
+    # a micro-batch of few large files arrives in few tasks: spread it before decoding
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return B.telemetry_from(s.repartition(parts))
+
+
+def decode(raw: DataFrame, wire: bool = True) -> DataFrame:
+    """I1: the device record as JSON on the wire, decoded with its schema, then calibration and
+    defaults. ``wire=False`` takes an already typed feed (the downstream jobs use it)."""
+    if wire:
+        text = raw.select(F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("json"))
+        raw = text.select(F.from_json("json", raw.schema).alias("r")).select("r.*")
+    return TM.with_power(TM.calibrate(raw))
 
 
 def dedupe(df: DataFrame) -> DataFrame:
