@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,18 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query (and its oracle SQL, when SQL can state it)."""
+    """Register a query (and its oracle SQL, when SQL can state it). The registered callable first
+    makes sure executors can import the package."""
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import ship_package
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn

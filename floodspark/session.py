@@ -62,3 +62,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``floodspark`` importable on executors (pandas UDFs and grouped-map functions refer to
+    it): the package is zipped once per application and added with ``addPyFile``, Spark's own way of
+    distributing Python code (``--py-files`` does the same at submit time)."""
+    import uuid
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: code is shipped by the client
+        return
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = scratch_path(spark, "pyfiles")
+    local = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in local:                       # object store / HDFS: the driver serves the file itself
+        local = tempfile.mkdtemp(prefix="floodspark-pyfiles-")
+    os.makedirs(local, exist_ok=True)
+    path = os.path.join(local, f"floodspark-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("floodspark", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
