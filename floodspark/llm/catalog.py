@@ -95,3 +95,22 @@ def op10_exact_dedup(spark, sf_dir):
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     middle = 0 if lo is None else (lo + hi) // 2
     return exact_dedup(docs, F.col("doc_id") <= F.lit(middle)).drop("in_history")
+
+
+_SHINGLES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN s sa ON p.a = sa.doc_id JOIN s sb ON p.b = sb.doc_id WHERE 100 * n >= 80 * (len(sa.s) + len(sb.s) - n)),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS v, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a AND r.c < l.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id, min(r.c) = s.doc_id AS kept
+FROM s JOIN r ON s.doc_id = r.v GROUP BY s.doc_id, s.s"""
+
+
+@query("op3_near_duplicates", _SHINGLES)
+def op3_near_duplicates(spark, sf_dir):
+    from .near_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("n_words")
