@@ -8,11 +8,12 @@ are paired with hubs of the bucket (the smallest id, then further hubs picked by
 are screened by the collision-corrected similarity of the packed signatures (bit counts), confirmed
 on the full shingle sets, and the confirmed links are merged to components. Only members that share
 a bucket but still lie in different components are then compared with each other, block by block on
-the packed signatures, and what passes the screen is confirmed on the full sets as well. So every
-pair of different components that shares a bucket has been examined, with no cap on bucket sizes.
+finer packed signatures (2048 one-bit minima) made for them, and what passes the screen is confirmed
+on the full sets as well. So every pair of different components that shares a bucket has been
+examined, with no cap on bucket sizes, and pairs are only emitted close to the threshold.
 
 With K = 128 in 32 bands of 4, a pair at similarity 0.8 shares a band but for odds of 5e-8; the
-screen lies five standard deviations below the threshold.
+screens lie five standard deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ from .text import Words, blob, flat, mix, slices
 K, ROWS, BITS = 128, 4, 4
 BANDS, WORDS_PER_SKETCH = K // ROWS, K * BITS // 64
 _EVERY_NIBBLE = 0x1111111111111111
+FINE_K = 2048                             # one-bit minima of the finer signatures
 
 
-def _permutations():
-    seeds = mix(np.arange(2 * K, dtype=np.uint64), 77)
-    return (seeds[:K] >> np.uint64(32)).astype(np.uint32), (seeds[K:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+def _permutations(k: int):
+    seeds = mix(np.arange(2 * k, dtype=np.uint64), 77 + k)
+    return (seeds[:k] >> np.uint64(32)).astype(np.uint32), (seeds[k:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingles(w: Words, n: int):
@@ -53,13 +55,13 @@ def shingles(w: Words, n: int):
     return doc, h
 
 
-def _minima(doc: np.ndarray, h: np.ndarray):
-    """(texts with shingles, K minima of each as uint32)."""
+def _minima(doc: np.ndarray, h: np.ndarray, n: int = K):
+    """(texts with shingles, n minima of each as uint32)."""
     who, begin = np.unique(doc, return_index=True)
-    out = np.empty((len(who), K), np.uint32)
+    out = np.empty((len(who), n), np.uint32)
     if len(who):
         x = (h >> np.uint64(32)).astype(np.uint32)
-        for k, (a, b) in enumerate(zip(*_permutations())):
+        for k, (a, b) in enumerate(zip(*_permutations(n))):
             y = (x ^ a) * b
             y ^= y >> np.uint32(15)
             out[:, k] = np.minimum.reduceat(y * np.uint32(0x85EBCA6B), begin)
@@ -95,6 +97,19 @@ def _signatures(shingle: int):
     return run
 
 
+def _fine(shingle: int):
+    """Finer signatures: the lowest bit of FINE_K minima."""
+    def run(batches):
+        for batch in batches:
+            text = flat(batch.column("text"))
+            for a, b in slices(text):
+                who, m = _minima(*shingles(Words(text.slice(a, b - a), lower=True), shingle), FINE_K)
+                packed = np.packbits((m & np.uint32(1)).astype(np.uint8), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a).take(pa.array(who)),
+                                                  pa.array([blob(x) for x in packed], pa.binary())], names=["node", "fine"])
+    return run
+
+
 def _sets(shingle: int):
     def run(batches):
         for batch in batches:
@@ -121,11 +136,11 @@ def _confirm(percent: int):
     return run
 
 
-def screen(percent: int) -> float:
+def screen(percent: int, k: int = K, bits: int = BITS) -> float:
     """Least estimated similarity that is looked at: five standard deviations under the threshold."""
-    t, c = percent / 100, 2.0 ** -BITS
+    t, c = percent / 100, 2.0 ** -bits
     match = c + t * (1 - c)
-    return t - 5 * (match * (1 - match) / K) ** 0.5 / (1 - c)
+    return t - 5 * (match * (1 - match) / k) ** 0.5 / (1 - c)
 
 
 def estimate(x: str, y: str):
@@ -146,6 +161,11 @@ class _Linker:
     def __init__(self, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int):
         self.nodes, self.docs, self.shingle, self.percent = nodes, docs, shingle, percent
 
+    def text_of(self, nodes: DataFrame) -> DataFrame:
+        """node, text of the rows of some nodes (equal word sequences have equal sets)."""
+        return (self.docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                .select(F.col("doc_id").alias("node"), "text"))
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) -> the linked ones, screened by signature and confirmed on full sets."""
         s = self.nodes.select("node", "sketch")
@@ -153,36 +173,30 @@ class _Linker:
              .join(s.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
              .filter(estimate("x", "y") >= screen(self.percent)).select("a", "b").distinct())
         p = cut(p)
-        asked = p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
-        text = self.docs.join(asked, self.docs["doc_id"] == asked["node"], "left_semi")
-        # Equal word sequences have equal sets: one row of a class stands for all.
-        sets = cut(text.select(F.col("doc_id").alias("node"), "text").mapInArrow(_sets(self.shingle), "node long, shingles binary"))
+        asked = p.select(F.col("a").alias("node")).union(p.select("b"))
+        sets = cut(self.text_of(asked).mapInArrow(_sets(self.shingle), "node long, shingles binary"))
         full = (p.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
                 .join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b"))
         return cut(full.mapInArrow(_confirm(self.percent), "a long, b long").distinct())
 
 
 def _cross(percent: int):
-    """Pairs of one block pair that lie in different components and pass the screen."""
-    least = screen(percent)
-    worst = K * (1 - (2.0 ** -BITS + least * (1 - 2.0 ** -BITS)))
+    """Pairs of one block pair that lie in different components and pass the finer screen."""
+    worst = FINE_K * (1 - screen(percent, FINE_K, 1)) / 2
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        own = np.array(t["block"].to_pylist())
-        node, comp = (np.array(t[c].to_pylist(), np.int64) for c in ("node", "component"))
-        sk = np.array(t["sketch"].to_pylist(), np.int64).view(np.uint64)
+        own = t["block"].to_numpy()
+        node, comp = t["node"].to_numpy(), t["component"].to_numpy()
+        sk = np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint64).reshape(len(node), -1)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
+        out = [np.zeros((0, 2), np.int64)]
         for x in left:
-            z = sk[right] ^ sk[x]
-            z |= z >> np.uint64(1)
-            z |= z >> np.uint64(2)
-            differ = np.bitwise_count(z & np.uint64(_EVERY_NIBBLE)).sum(axis=1)
-            hit = right[(differ <= worst) & (comp[right] != comp[x]) & ((i != j) | (node[right] > node[x]))]
+            y = right[(comp[right] != comp[x]) & ((i != j) | (node[right] > node[x]))]
+            hit = y[np.bitwise_count(sk[y] ^ sk[x]).sum(axis=1, dtype=np.int64) <= worst]
             out.append(np.column_stack([np.full(len(hit), node[x]), node[hit]]))
-        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        both = np.concatenate(out)
         return pa.table([pa.array(both.min(axis=1, initial=2**63 - 1)), pa.array(both.max(axis=1, initial=-2**63))], schema=schema)
     return run
 
@@ -192,7 +206,7 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(c, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, hub_rounds: int = 2, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, hub_rounds: int = 2, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, n_words, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Words are runs of non-white-space with A-Z lower-cased; a text with fewer words than a shingle is
@@ -237,8 +251,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, hub_ro
     # Members of the bucket's main component and outsiders get blocks of their own; main x main is never formed.
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int") + F.when(F.col("out"), 0).otherwise(F.col("blocks")))
     partners = F.sequence(F.lit(0), F.when(F.col("out"), 2 * F.col("blocks") - 1).otherwise(F.col("blocks") - 1))
-    m = (m.join(nodes.select("node", "sketch"), "node").withColumn("partner", F.explode(partners))
-         .select("band", "key", "node", "component", "sketch", "block",
+    m = cut(m.select("band", "key", "node", "component", "block", partners.alias("partners")))
+    fine = linker.text_of(m).mapInArrow(_fine(shingle), "node long, fine binary")
+    m = (m.join(fine, "node").withColumn("partner", F.explode("partners"))
+         .select("band", "key", "node", "component", "fine", "block",
                  F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j")))
     pairs = m.groupBy("band", "key", "i", "j").applyInArrow(_cross(percent), "a long, b long")
     links = cut(links.union(linker.confirmed(pairs)))
