@@ -8,7 +8,7 @@ are paired with hubs of the bucket (the smallest id, then further hubs picked by
 are screened by the collision-corrected similarity of the packed signatures (bit counts), confirmed
 on the full shingle sets, and the confirmed links are merged to components. Only members that share
 a bucket but still lie in different components are then compared with each other, block by block on
-finer packed signatures (2048 one-bit minima) made for them, and what passes the screen is confirmed
+finer packed signatures (4096 one-bit minima) made for them, and what passes the screen is confirmed
 on the full sets as well. So every pair of different components that shares a bucket has been
 examined, with no cap on bucket sizes, and pairs are only emitted close to the threshold.
 
@@ -30,7 +30,7 @@ from .text import Words, blob, flat, mix, slices
 K, ROWS, BITS = 128, 4, 4
 BANDS, WORDS_PER_SKETCH = K // ROWS, K * BITS // 64
 _EVERY_NIBBLE = 0x1111111111111111
-FINE_K = 2048                             # one-bit minima of the finer signatures
+FINE_K = 4096                             # one-bit minima of the finer signatures
 
 
 def _permutations(k: int):
@@ -166,13 +166,16 @@ class _Linker:
         return (self.docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
                 .select(F.col("doc_id").alias("node"), "text"))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) -> the linked ones, screened by signature and confirmed on full sets."""
+    def screened(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose packed signatures allow a link."""
         s = self.nodes.select("node", "sketch")
-        p = (pairs.distinct().join(s.withColumnsRenamed({"node": "a", "sketch": "x"}), "a")
-             .join(s.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
-             .filter(estimate("x", "y") >= screen(self.percent)).select("a", "b").distinct())
-        p = cut(p)
+        return (pairs.distinct().join(s.withColumnsRenamed({"node": "a", "sketch": "x"}), "a")
+                .join(s.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
+                .filter(estimate("x", "y") >= screen(self.percent)).select("a", "b"))
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked, decided on full sets."""
+        p = cut(pairs.distinct())
         asked = p.select(F.col("a").alias("node")).union(p.select("b"))
         sets = cut(self.text_of(asked).mapInArrow(_sets(self.shingle), "node long, shingles binary"))
         full = (p.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
@@ -206,7 +209,7 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(c, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, hub_rounds: int = 2, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, hub_rounds: int = 2, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, n_words, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Words are runs of non-white-space with A-Z lower-cased; a text with fewer words than a shingle is
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, hub_ro
         hub = label.withColumnsRenamed({"node": f"hub{r}", "component": "hub_component"})
         open_ = (members.join(label, "node").join(hub, f"hub{r}").filter("component <> hub_component")
                  .select(F.col("node").alias("a"), F.col(f"hub{r}").alias("b")))
-        links = cut(links.union(linker.confirmed(open_)))
+        links = cut(links.union(linker.confirmed(linker.screened(open_))))
     label = cut(_labelled(bare, links))
     # Buckets of three and more that still hold several components: compare across components.
     m = members.filter("n > 2").join(label, "node")
