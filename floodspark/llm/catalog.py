@@ -114,3 +114,19 @@ FROM s JOIN r ON s.doc_id = r.v GROUP BY s.doc_id, s.s"""
 def op3_near_duplicates(spark, sf_dir):
     from .near_dedup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("n_words")
+
+
+@query("op1_repeated_passages", f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 48, 1))) AS i, w FROM w WHERE len(w) >= 50),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM g),
+m AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h),
+c AS (SELECT DISTINCT x.doc_id, unnest(range(x.i, x.i + 50)) AS p FROM x JOIN m ON x.h = m.h WHERE m.first < x.doc_id),
+k AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(k.gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN k.gone IS NULL THEN array_to_string(w.w, ' ')
+    ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(w.w) + 1), lambda i: NOT list_contains(k.gone, i)), lambda i: w.w[i]), ' '), '') END) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id""")
+def op1_repeated_passages(spark, sf_dir):
+    from .substring_dedup import substring_dedup
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50).drop("n_repeats")
