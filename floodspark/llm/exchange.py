@@ -20,13 +20,13 @@ PACKED = "bucket int, chunk int, packed binary"
 DEAL_BITS = np.uint64(24)                # top bits of a hash that choose the bucket
 
 
-def chunked(docs: DataFrame, chunks_per_task: int = 4) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, chunks_per_task: int = 2) -> tuple[DataFrame, int]:
     """docs with a ``chunk`` number, and the number of buckets. The chunk depends on doc_id alone;
     a NULL id counts as one id. Both numbers follow the session's shuffle width."""
     width = parallelism(docs.sparkSession)
     n = width * chunks_per_task
     key = F.xxhash64(F.coalesce(F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    return docs.withColumn("chunk", F.pmod(key, F.lit(n)).cast("int")), 2 * width
+    return docs.withColumn("chunk", F.pmod(key, F.lit(n)).cast("int")), width
 
 
 def deal(h: np.ndarray, n: int) -> np.ndarray:

@@ -4,7 +4,7 @@ Per document: the set of word shingles, K minima, band keys of r minima each, an
 all minima packed into longs. Documents with equal word sequences are one class from here on.
 
 Candidates come from equal band keys. Within a band bucket nobody is paired with everybody: members
-are paired with hubs of the bucket (the smallest id, then further hubs picked by hash), the pairs
+are paired with two hubs of the bucket (the smallest id and one picked by hash), the pairs
 are screened by the collision-corrected similarity of the packed signatures (bit counts), confirmed
 on the full shingle sets, and the confirmed links are merged to components. Only members that share
 a bucket but still lie in different components are then compared with each other, block by block on
@@ -97,29 +97,25 @@ def _signatures(shingle: int):
     return run
 
 
-def _fine(shingle: int):
-    """Finer signatures: the lowest bit of FINE_K minima."""
-    def run(batches):
-        for batch in batches:
-            text = flat(batch.column("text"))
-            for a, b in slices(text):
-                who, m = _minima(*shingles(Words(text.slice(a, b - a), lower=True), shingle), FINE_K)
-                packed = np.packbits((m & np.uint32(1)).astype(np.uint8), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a).take(pa.array(who)),
-                                                  pa.array([blob(x) for x in packed], pa.binary())], names=["node", "fine"])
-    return run
-
-
-def _sets(shingle: int):
+def _sets(shingle: int, fine: bool = False):
+    """The full shingle sets; with ``fine`` also the finer signatures (lowest bit of FINE_K minima)."""
     def run(batches):
         for batch in batches:
             text = flat(batch.column("text"))
             for a, b in slices(text):
                 doc, h = shingles(Words(text.slice(a, b - a), lower=True), shingle)
                 cutoffs = np.searchsorted(doc, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(a, b - a),
-                     pa.array([blob(h[x:y]) for x, y in zip(cutoffs[:-1], cutoffs[1:])], pa.binary())], names=["node", "shingles"])
+                names = ["node", "shingles"]
+                out = [batch.column("node").slice(a, b - a),
+                       pa.array([blob(h[x:y]) for x, y in zip(cutoffs[:-1], cutoffs[1:])], pa.binary())]
+                if fine:
+                    who, m = _minima(doc, h, FINE_K)
+                    packed = [None] * (b - a)
+                    for i, x in zip(who, np.packbits((m & np.uint32(1)).astype(np.uint8), axis=1)):
+                        packed[i] = blob(x)
+                    names.append("fine")
+                    out.append(pa.array(packed, pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=names)
     return run
 
 
@@ -173,11 +169,15 @@ class _Linker:
                 .join(s.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
                 .filter(estimate("x", "y") >= screen(self.percent)).select("a", "b"))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
+    def sets_of(self, nodes: DataFrame, fine: bool = False) -> DataFrame:
+        return cut(self.text_of(nodes).mapInArrow(_sets(self.shingle, fine), "node long, shingles binary" + ", fine binary" * fine))
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) that are linked, decided on full sets."""
         p = cut(pairs.distinct())
-        asked = p.select(F.col("a").alias("node")).union(p.select("b"))
-        sets = cut(self.text_of(asked).mapInArrow(_sets(self.shingle), "node long, shingles binary"))
+        if sets is None:
+            sets = self.sets_of(p.select(F.col("a").alias("node")).union(p.select("b")))
+        sets = sets.select("node", "shingles")
         full = (p.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
                 .join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b"))
         return cut(full.mapInArrow(_confirm(self.percent), "a long, b long").distinct())
@@ -193,11 +193,13 @@ def _cross(percent: int):
         own = t["block"].to_numpy()
         node, comp = t["node"].to_numpy(), t["component"].to_numpy()
         sk = np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint64).reshape(len(node), -1)
+        earlier = flat(t["bands"]).flatten().to_numpy().reshape(len(node), -1)[:, :t["band"][0].as_py()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out = [np.zeros((0, 2), np.int64)]
         for x in left:
             y = right[(comp[right] != comp[x]) & ((i != j) | (node[right] > node[x]))]
             hit = y[np.bitwise_count(sk[y] ^ sk[x]).sum(axis=1, dtype=np.int64) <= worst]
+            hit = hit[~(earlier[hit] == earlier[x]).any(axis=1)]      # met in an earlier band already
             out.append(np.column_stack([np.full(len(hit), node[x]), node[hit]]))
         both = np.concatenate(out)
         return pa.table([pa.array(both.min(axis=1, initial=2**63 - 1)), pa.array(both.max(axis=1, initial=-2**63))], schema=schema)
@@ -209,7 +211,7 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(c, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, hub_rounds: int = 2, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, n_words, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Words are runs of non-white-space with A-Z lower-cased; a text with fewer words than a shingle is
@@ -237,12 +239,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, hub_ro
     links = cut(repeated.select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
                 .union(repeated.select("doc_id", "hi")))
     bare = nodes.select("node").distinct()
-    for r in range(hub_rounds):
-        label = cut(_labelled(bare, links)) if r else bare.withColumn("component", F.col("node"))
-        hub = label.withColumnsRenamed({"node": f"hub{r}", "component": "hub_component"})
-        open_ = (members.join(label, "node").join(hub, f"hub{r}").filter("component <> hub_component")
-                 .select(F.col("node").alias("a"), F.col(f"hub{r}").alias("b")))
-        links = cut(links.union(linker.confirmed(linker.screened(open_))))
+    star = (members.select(F.col("node").alias("a"), F.explode(F.array("hub0", "hub1")).alias("b"))
+            .filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    links = cut(links.union(linker.confirmed(linker.screened(star))))
     label = cut(_labelled(bare, links))
     # Buckets of three and more that still hold several components: compare across components.
     m = members.filter("n > 2").join(label, "node")
@@ -255,12 +254,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, hub_ro
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int") + F.when(F.col("out"), 0).otherwise(F.col("blocks")))
     partners = F.sequence(F.lit(0), F.when(F.col("out"), 2 * F.col("blocks") - 1).otherwise(F.col("blocks") - 1))
     m = cut(m.select("band", "key", "node", "component", "block", partners.alias("partners")))
-    fine = linker.text_of(m).mapInArrow(_fine(shingle), "node long, fine binary")
-    m = (m.join(fine, "node").withColumn("partner", F.explode("partners"))
-         .select("band", "key", "node", "component", "fine", "block",
+    sets = linker.sets_of(m, fine=True)
+    m = (m.join(nodes.select("node", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "node")
+         .join(sets.select("node", "fine"), "node").withColumn("partner", F.explode("partners"))
+         .select("band", "key", "node", "component", "fine", "bands", "block",
                  F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j")))
     pairs = m.groupBy("band", "key", "i", "j").applyInArrow(_cross(percent), "a long, b long")
-    links = cut(links.union(linker.confirmed(pairs)))
+    links = cut(links.union(linker.confirmed(pairs, sets)))
     label = _labelled(bare, links)
     by_class = classes.join(label, "node").select("seq1", "seq2", "component")
     return (sig.join(by_class, ["seq1", "seq2"], "left")
