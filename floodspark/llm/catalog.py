@@ -130,3 +130,21 @@ FROM w LEFT JOIN k ON w.doc_id = k.doc_id""")
 def op1_repeated_passages(spark, sf_dir):
     from .substring_dedup import substring_dedup
     return substring_dedup(table(spark, sf_dir, "documents"), window=50).drop("n_repeats")
+
+
+@query("op6_line_dedup")
+def op6_line_dedup(spark, sf_dir):
+    from .line_dedup import line_dedup
+    return line_dedup(table(spark, sf_dir, "documents")).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    from .packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark, sf_dir):
+    from .token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"))

@@ -114,7 +114,7 @@ def _cell(k: int, query_block: int):
             return _OUT.empty_table()
         qid, vid = (np.array(t["vec_id"].to_pylist(), np.int64) for t in (queries, items))
         Q, X = _matrix(queries["q"], dim), _matrix(items["q"], dim)
-        out = ([], [], [])
+        out = tuple([np.zeros(0, np.int64)] for _ in range(3))
         for a in range(0, len(qid), query_block):
             for j, at, score in nra(Q[a:a + query_block], qid[a:a + query_block], X, vid, k):
                 out[0].append(np.full(len(at), qid[a + j]))
@@ -129,7 +129,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 20, item_block: int = 4
     """query_id, rank, vec_id, score: each query's k highest inner products, ties to the smaller id.
 
     queries, items: (vec_id, q array<long>) as made by ``quantised``. A query is never its own
-    candidate. Vectors of other lengths than the query's take no part in its search. A candidate id
+    candidate. Scores must fit in a long. Vectors of other lengths than the query's take no part in its search. A candidate id
     that repeats is listed once per row; a repeated query id is searched once per row and merged.
     Every (query group, item block) pair meets in one task of bounded size: item_block items by
     queries_per_cell queries.
