@@ -148,3 +148,16 @@ def op8_best_fit_packing(spark, sf_dir):
 def op2_token_counts(spark, sf_dir):
     from .token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+def held_out():
+    """Rows that no label may be learnt from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    from .toxicity import classify, train
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return classify(docs, model, "doc_id").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))

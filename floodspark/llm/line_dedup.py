@@ -183,13 +183,9 @@ def _near(r: np.ndarray, own: np.ndarray):
     return out, (best_doc != r["doc"]) | (best_line != r["line"])
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_repeats", pa.int64()), ("n_near", pa.int64()),
-                  ("emptied", pa.bool_()), ("text", pa.string())])
-
-
 def _rebuild(chunk: int, docs: pa.Table, answers: pa.Table) -> pa.Table:
     if "text" not in docs.column_names:
-        return _OUT.empty_table()
+        return pa.table({})
     lines, keys = _split(answers)
     c = _Chunk(docs)
     first = c.is_first(answers_of(lines, _LINE)[0])
@@ -212,11 +208,12 @@ def _rebuild(chunk: int, docs: pa.Table, answers: pa.Table) -> pa.Table:
             lo, hi = np.searchsorted(row, r), np.searchsorted(row, r, "right")
             text[r] = b"\n".join([raw[s:e] for s, e, k in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), g[lo:hi]) if not k]).decode("utf-8", "replace")
         base += len(x)
-    return pa.table([c.table["doc_id"], pa.array(total), pa.array(repeats), pa.array(nears), pa.array(had & (left == 0)),
-                     pa.array(text, pa.string())], schema=_OUT)
+    new = {"n_lines": total, "n_repeats": repeats, "n_near": nears, "emptied": had & (left == 0), "text": pa.array(text, pa.string())}
+    kept = {n: c.table[n] for n in c.table.column_names if n not in ("chunk", "text")}
+    return pa.table({"doc_id": kept.pop("doc_id")} | new | kept)
 
 
-def line_dedup(docs: DataFrame, near_words: int = 8) -> DataFrame:
+def line_dedup(docs: DataFrame, near_words: int = 8, keep: list[str] = ()) -> DataFrame:
     """doc_id, n_lines, n_repeats, n_near, emptied, text for every row of ``docs`` (doc_id, text).
 
     Order is (doc_id, line number). A line with words goes if an earlier line has the same words, or
@@ -224,14 +221,17 @@ def line_dedup(docs: DataFrame, near_words: int = 8) -> DataFrame:
     more) is one word edit away; both are judged on the input. Blank lines stay. ``emptied``: the text
     had words and lost all of them. NULL texts stay NULL with one blank line. Rows that share a doc_id
     are read one after the other in the order of their texts; a NULL doc_id comes after all others.
-    Extra columns are ignored; an empty table gives no rows.
+    Columns named in ``keep`` are passed on, other extra columns are ignored; an empty table gives no rows.
     """
-    d, buckets = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    d, buckets = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                                     *[F.col(c).alias(f"_{c}") for c in keep]))
     firsts = merge(d.groupBy("chunk").applyInArrow(_lines(buckets), PACKED), _LINE, _first_of_lines)
     keys = with_answers(d, firsts, _keys(buckets, near_words), PACKED)
     live = merge(keys, Presence.dtype, Presence.decide)
     marked = firsts.withColumn("bucket", -1 - F.col("bucket"))
     places = with_answers(d, marked.unionByName(live), _places(buckets, near_words), PACKED)
     near = merge(places, _KEY, _near)
-    return with_answers(d, marked.unionByName(near), _rebuild,
-                        "doc_id long, n_lines long, n_repeats long, n_near long, emptied boolean, text string")
+    kept = "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out = with_answers(d, marked.unionByName(near), _rebuild,
+                       "doc_id long, n_lines long, n_repeats long, n_near long, emptied boolean, text string" + kept)
+    return out.withColumnsRenamed({f"_{c}": c for c in keep})
