@@ -13,19 +13,22 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
+import unicodedata
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, parallelism
+from .common import cut, parallelism
 from .text import flat
 
 _CACHE: dict = {}
-_CACHE_WORDS = 1_500_000                  # bound of a worker's cache of words already tokenised
+_CACHE_WORDS = 400_000                  # bound of a worker's cache of words already tokenised
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -34,45 +37,51 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself where it is
+    printable Latin-1, else the next free character from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in own]
+    return {x: chr(x) for x in own} | {x: chr(256 + k) for k, x in enumerate(rest)}
+
+
 class WordTokens:
     """Token ids of texts, as little-endian 32-bit bytes. The tokenizer drops white space and never
-    merges across it, so a text's ids are its words' ids in a row, and words are cached."""
+    merges across it, so a text's ids are its words' ids in a row, and words are cached.
+
+    Words made of letters with other marks than an apostrophe behind are two pre-tokens, which go to
+    the vocabulary's merge model directly; all other words take the tokenizer's whole path.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.words = _CACHE.setdefault(path, {})
+        self.words = Known(self._ids, _CACHE_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = re.compile(WORD.encode())
-        self.bare = re.compile(rb"([A-Za-z]+)([.,]?)")
-        self.marks = {m: self._ids(m.decode()) for m in (b".", b",")} | {b"": b""}
-
-    def _ids(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > _CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        stems = {}
-        for w in words:                          # plain letters with one mark behind: stem and mark are separate pre-tokens
-            m = self.bare.fullmatch(w)
-            stems[w] = (m[1].lower(), m[2]) if m else (w, b"")
-        new = list({s for s, _ in stems.values()} - known.keys())
-        for s, e in zip(new, self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)):
-            known[s] = np.array(e.ids, "<u4").tobytes()
-        for w, (s, mark) in stems.items():
-            known[w] = known[s] + self.marks[mark]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        found = [self.split.findall(t) for t in texts]
-        fresh = set().union(*found) - self.words.keys()
-        if fresh:
-            before = len(self.words)
-            self._learn(fresh)
-            if len(self.words) < before:         # the cache was emptied: learn this batch again in full
-                self._learn(set().union(*found) - self.words.keys())
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in found]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.plain = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+        self.marks = Known(self._part, 1000)
+
+    def _part(self, pre_token: str) -> bytes:
+        raw = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(raw)] if raw else []
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, word: bytes) -> bytes:
+        s = word.decode()
+        m = self.plain.fullmatch(s)
+        if m and (m[1] + m[1].lower()).isalpha() and "Σ" not in s and (s.isascii() or unicodedata.is_normalized("NFC", s)):
+            return self._part(m[1].lower()) + self.marks[m[2]]
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, text: bytes) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.split()))     # split at space and TAB..CR
+
+
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """One per Python worker, so that its cache serves all tasks the worker runs."""
+    return WordTokens(path)
 
 
 def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
@@ -80,15 +89,14 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
                        + ([("ids", pa.binary())] if keep_ids else []))
 
     def run(batches):
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, text = batch.column("doc_id").to_pylist(), flat(batch.column("text"))
             for a in range(0, len(ids), 256):
                 rows = []
-                texts = [(x.as_py() or "").encode() for x in text.slice(a, 256)]
-                for doc, t in zip(ids[a:a + 256], tokens(texts)):
-                    t += end
+                for doc, x in zip(ids[a:a + 256], text.slice(a, 256)):
+                    t = tokens((x.as_py() or "").encode()) + end
                     for p, at in enumerate(range(0, len(t), 4 * capacity)):
                         x = t[at:at + 4 * capacity]
                         rows.append((doc, p, at // 4, len(x) // 4, zlib.crc32(x)) + ((x,) if keep_ids else ()))

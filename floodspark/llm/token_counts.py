@@ -13,7 +13,6 @@ segmentation with fewer pieces wins.
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
-from .packing import vocabulary
+from .packing import Known, vocabulary
 from .text import flat
 
 BYTE_SCORE = -16_000                      # of one byte of a character outside the vocabulary
-_COUNTS: dict = {}
-_COUNTS_BOUND = 1_000_000
+_WORDS, _NODES = 400_000, 250_000         # bounds of a worker's cache and trie
+_SHIFT = 40                               # bits of a text's token count beside its score
 
 
 @lru_cache(maxsize=2)
@@ -75,29 +73,42 @@ class Trie:
         return node[2]
 
 
+class Counter:
+    """Terminal counts of a worker's words; a word's count and score share one number. Trie and cache
+    are bounded and begin afresh when full, which repeats work but changes no result."""
+
+    def __init__(self, path: str):
+        self.vocab = unigram(path)
+        self.trie = Trie(self.vocab)
+        self.words = Known(self._learn, _WORDS)
+
+    def _learn(self, word: bytes) -> int:
+        if self.trie.nodes > _NODES:
+            self.trie = Trie(self.vocab)
+        tokens, score = self.trie.add("▁" + word.decode())
+        return (-score << _SHIFT) | tokens
+
+    def __call__(self, text: bytes) -> tuple[int, int, int]:
+        words = text.split()                                 # at space and TAB..CR
+        total = sum(map(self.words.__getitem__, words))
+        return len(words), total & (1 << _SHIFT) - 1, -(total >> _SHIFT)
+
+
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """One per Python worker, so that all tasks it runs share the trie."""
+    return Counter(path)
+
+
 def _count(path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.int64())])
-    word = re.compile(WORD)
 
     def run(batches):
-        vocab = unigram(path)
-        known = _COUNTS.setdefault(path, {})                 # terminal counts; bounded, kept between batches
+        count = counter(path)
         for batch in batches:
-            ids, text = batch.column("doc_id").to_pylist(), flat(batch.column("text"))
-            for a in range(0, len(ids), 512):
-                found = [word.findall(x.as_py() or "") for x in text.slice(a, 512)]
-                distinct = set().union(*found)
-                if len(known) + len(distinct) > _COUNTS_BOUND:
-                    known.clear()
-                trie = Trie(vocab)
-                for w in sorted(distinct - known.keys()):
-                    known[w] = trie.add("▁" + w)
-                rows = []
-                for ws in found:
-                    got = list(map(known.__getitem__, ws))
-                    rows.append((len(ws), sum(g[0] for g in got), sum(g[1] for g in got)))
-                cols = np.array(rows, np.int64).reshape(-1, 3).T
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:a + 512], pa.int64())] + [pa.array(c) for c in cols], schema=schema)
+            rows = [count((x.as_py() or "").encode()) for x in flat(batch.column("text"))]
+            cols = np.array(rows, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([flat(batch.column("doc_id"))] + [pa.array(c) for c in cols], schema=schema)
     return run
 
 
