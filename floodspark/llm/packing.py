@@ -27,8 +27,21 @@ from pyspark.sql import functions as F
 from .common import cut, parallelism
 from .text import flat
 
-_CACHE: dict = {}
-_CACHE_WORDS = 400_000                  # bound of a worker's cache of words already tokenised
+_CACHE_WORDS = 400_000                    # bound of a worker's cache of words already tokenised
+
+
+class Known(dict):
+    """A bounded cache: unknown keys are worked out by ``learn``; when full, it starts afresh."""
+
+    def __init__(self, learn, bound: int):
+        super().__init__()
+        self.learn, self.bound = learn, bound
+
+    def __missing__(self, key):
+        if len(self) >= self.bound:
+            self.clear()
+        value = self[key] = self.learn(key)
+        return value
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
