@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parallelism
-from .text import flat
+from .text import Words, flat, slices
 
-_CACHE_WORDS = 400_000                    # bound of a worker's cache of words already tokenised
+_CACHE_WORDS = 800_000                    # bound of a worker's cache of words already tokenised
 
 
 class Known(dict):
@@ -87,8 +87,25 @@ class WordTokens:
             return self._part(m[1].lower()) + self.marks[m[2]]
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))     # split at space and TAB..CR
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """The ids of every text. Each distinct word of the column is looked up once (words are told
+        apart by their 64-bit hash) and its ids are copied to where it occurs."""
+        w = Words(column)
+        values, inverse = distinct_words(w, self.words)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        at, n = (np.cumsum(size) - size)[inverse], size[inverse]
+        end = np.cumsum(n)
+        ids = ids[np.repeat(at - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        bound = np.r_[0, end][w.first]
+        return [ids[x:y].tobytes() for x, y in zip(bound[:-1], bound[1:])]
+
+
+def distinct_words(w: Words, known: Known) -> tuple[list, np.ndarray]:
+    """(what is known of every distinct word, which of them each word is)."""
+    _, index, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+    raw = w.data.tobytes()
+    return [known[raw[x:y]] for x, y in zip(w.start[index].tolist(), w.end[index].tolist())], inverse
 
 
 @lru_cache(maxsize=2)
@@ -106,10 +123,10 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, text = batch.column("doc_id").to_pylist(), flat(batch.column("text"))
-            for a in range(0, len(ids), 256):
+            for a, b in slices(text, 1_000_000):
                 rows = []
-                for doc, x in zip(ids[a:a + 256], text.slice(a, 256)):
-                    t = tokens((x.as_py() or "").encode()) + end
+                for doc, t in zip(ids[a:b], tokens.texts(text.slice(a, b - a))):
+                    t += end
                     for p, at in enumerate(range(0, len(t), 4 * capacity)):
                         x = t[at:at + 4 * capacity]
                         rows.append((doc, p, at // 4, len(x) // 4, zlib.crc32(x)) + ((x,) if keep_ids else ()))

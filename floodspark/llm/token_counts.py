@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import Known, vocabulary
-from .text import flat
+from .packing import Known, distinct_words, vocabulary
+from .text import Words, flat, slices
 
 BYTE_SCORE = -16_000                      # of one byte of a character outside the vocabulary
 _WORDS, _NODES = 400_000, 250_000         # bounds of a worker's cache and trie
-_SHIFT = 40                               # bits of a text's token count beside its score
 
 
 @lru_cache(maxsize=2)
@@ -74,24 +73,26 @@ class Trie:
 
 
 class Counter:
-    """Terminal counts of a worker's words; a word's count and score share one number. Trie and cache
-    are bounded and begin afresh when full, which repeats work but changes no result."""
+    """Terminal counts of a worker's words. Trie and cache are bounded and begin afresh
+    when full, which repeats work but changes no result."""
 
     def __init__(self, path: str):
         self.vocab = unigram(path)
         self.trie = Trie(self.vocab)
         self.words = Known(self._learn, _WORDS)
 
-    def _learn(self, word: bytes) -> int:
+    def _learn(self, word: bytes) -> tuple[int, int]:
         if self.trie.nodes > _NODES:
             self.trie = Trie(self.vocab)
-        tokens, score = self.trie.add("▁" + word.decode())
-        return (-score << _SHIFT) | tokens
+        return self.trie.add("▁" + word.decode())
 
-    def __call__(self, text: bytes) -> tuple[int, int, int]:
-        words = text.split()                                 # at space and TAB..CR
-        total = sum(map(self.words.__getitem__, words))
-        return len(words), total & (1 << _SHIFT) - 1, -(total >> _SHIFT)
+    def texts(self, column: pa.Array) -> list[np.ndarray]:
+        """Words, tokens and score of every text; each distinct word of the column is looked up once."""
+        w = Words(column)
+        values, inverse = distinct_words(w, self.words)
+        each = np.array(values, np.int64).reshape(-1, 2)[inverse]
+        total = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(each, axis=0)])[w.first]
+        return [w.counts, *np.diff(total, axis=0).T]
 
 
 @lru_cache(maxsize=2)
@@ -106,9 +107,10 @@ def _count(path: str):
     def run(batches):
         count = counter(path)
         for batch in batches:
-            rows = [count((x.as_py() or "").encode()) for x in flat(batch.column("text"))]
-            cols = np.array(rows, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([flat(batch.column("doc_id"))] + [pa.array(c) for c in cols], schema=schema)
+            ids, text = flat(batch.column("doc_id")), flat(batch.column("text"))
+            for a, b in slices(text, 1_000_000):
+                cols = count.texts(text.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a)] + [pa.array(c.astype(np.int64)) for c in cols], schema=schema)
     return run
 
 
