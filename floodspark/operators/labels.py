@@ -71,8 +71,8 @@ def flood_label(readings: DataFrame, events: DataFrame, key: str = KEY, ts: str
     ends included; 3 days when there is no duration). When several reports cover a reading, the
     last report (highest ``event_no``) sets hours-to-event and the alert level.
 
-    Plan: name match (equi-join on substrings) -> reports exploded to the days they cover ->
-    equi-join on (station, day) + exact bound check -> max_by per reading -> left join back."""
+    Plan: name match (equi-join on substrings) -> reports exploded to the days they cover, the last
+    report per covered part of a day -> equi-join on (station, day) + exact bound check -> max_by per reading -> left join back."""
     names = readings.select(key).distinct()
     matched = name_match(events, names, event_text, event_no, key)
     dur = F.coalesce(F.col(duration), F.lit(P.DEFAULT_EVENT_DAYS)) if duration and duration in events.columns \
@@ -82,6 +82,13 @@ def flood_label(readings: DataFrame, events: DataFrame, key: str = KEY, ts: str
     ev = (ev.withColumn("_start", F.col("_date") - F.expr(f"INTERVAL {P.PRE_EVENT_HOURS} HOURS"))
           .withColumn("_end", F.col("_date") + F.make_dt_interval(F.col("_dur")))
           .withColumn("_day", F.explode(F.sequence(F.to_date("_start"), F.to_date("_end")))))
+    # Of reports that cover the same part of a day only the last can win: with day dates at most two
+    # rows are left per (station, day), so the join below grows with the readings alone.
+    day = F.col("_day").cast("timestamp_ntz")
+    ev = (ev.withColumn("_start", F.greatest("_start", day))
+          .withColumn("_end", F.least(F.col("_end"), day + F.expr("INTERVAL 1 DAY")))
+          .groupBy(key, "_day", "_start", "_end")
+          .agg(F.max_by("_date", event_no).alias("_date"), F.max(event_no).alias(event_no)))
     r = readings.select(key, row_id, ts).withColumn("_day", F.to_date(ts))
     hits = (r.join(ev, [key, "_day"])
             .filter((F.col(ts) >= F.col("_start")) & (F.col(ts) <= F.col("_end"))))

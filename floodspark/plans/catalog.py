@@ -285,12 +285,11 @@ def q_outlier_report(spark, sf):
 
 
 @query("critical_readings", RD + ", " + O.STATIONS + """
-SELECT r.location, r.seq, r.nivel_metros FROM readings r JOIN stations s USING (location)
-WHERE r.nivel_metros > s.event_limit""")
+SELECT r.location, r.seq, r.nivel_metros FROM readings r LEFT JOIN stations s USING (location)
+WHERE r.nivel_metros > coalesce(s.event_limit, coalesce(s.base_level, 2.0) * 1.6)""")
 def q_critical_readings(spark, sf):
     d = J.station_lookup(B.readings(spark, sf).select("location", "seq", "nivel_metros"))
-    return d.filter(F.col("nivel_metros") > F.col("event_limit")).filter(F.col("code").isNotNull()) \
-        .select("location", "seq", "nivel_metros")
+    return d.filter(F.col("nivel_metros") > F.col("event_limit")).select("location", "seq", "nivel_metros")
 
 
 @query("final_projection", RD + """SELECT datetime, location, precipitation_mm, temperature_c, humidity_pct,

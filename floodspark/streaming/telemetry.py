@@ -36,13 +36,12 @@ WATERMARK = "1 hour"
 
 
 def source(spark: SparkSession, sf_dir: str, table: str = "lineitem", max_files: int = 1) -> DataFrame:
-    """Raw device records as a stream (file source over the test folder)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-         .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
-    # a micro-batch of few large files arrives in few tasks: spread it before decoding
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return B.telemetry_from(s.repartition(parts))
+    """Raw device records as a stream (file source); the table may be one file or a folder of files."""
+    path = f"{sf_dir.rstrip('/')}/{table}."
+    # As a pattern the path may also name a single file, which the streaming source refuses as a plain path.
+    s = (spark.readStream.schema(spark.read.parquet(f"{path}parquet").schema)
+         .option("maxFilesPerTrigger", max_files).parquet(f"{path}[p]arquet"))
+    return B.telemetry_from(s)
 
 
 def decode(raw: DataFrame, wire: bool = True) -> DataFrame:
