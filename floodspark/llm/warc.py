@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_folder, parallelism
+from .common import cut, fresh_folder
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -42,11 +42,24 @@ def _clean(url: str) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
 
 
+def _compressed(batches):
+    """Payloads travel compressed to where their duplicates are decided."""
+    import zstandard
+    z = zstandard.ZstdCompressor(level=9)
+    for b in batches:
+        i = b.schema.get_field_index("payload")
+        packed = pa.array([z.compress(x.encode()) for x in b.column(i).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed if k == i else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+
 def _records(batches):
+    import zstandard
+    z = zstandard.ZstdDecompressor()
     for b in batches:
         out = []
-        for page, url, html, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "first_id"))):
-            payload = html.encode()
+        for page, url, packed, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "first_id"))):
+            payload = z.decompress(packed)
+            html = payload.decode()
             revisit = page is not None and first is not None and first != page
             http = b"" if revisit else (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                                         b"Content-Length: %d\r\n\r\n" % len(payload))
@@ -75,10 +88,11 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> str
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                     payload.alias("payload"), F.sha2(payload, 256).alias("key"))
+                     payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("key"))
     first = (p.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("key")
              .agg(F.min("page_id").alias("first_id")))
-    (p.join(first, "key", "left").select("page_id", "url", "payload", "first_id")
+    packed = p.mapInArrow(_compressed, "page_id long, url string, payload binary, key binary")
+    (packed.join(first, "key", "left").select("page_id", "url", "payload", "first_id")
       .mapInArrow(_records, "value string")
       .write.option("lineSep", END).text(folder))
     return folder
@@ -256,5 +270,5 @@ def _numbered(batches):
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Write the pages to archives in the shared folder and read them back."""
-    folder = write_warc(pages.repartition(parallelism(spark)), fresh_folder(spark, "warc"), min_revisit_bytes)
+    folder = write_warc(pages, fresh_folder(spark, "warc"), min_revisit_bytes)
     return read_warc(spark, folder)
