@@ -242,9 +242,10 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     # Segments that are no records of their own belong to the record before them.
     owner = F.last(F.when(F.col("real"), F.struct("at", "done")), ignorenulls=True).over(
         Window.partitionBy("file").orderBy("at"))
-    inner = (e.filter("at >= 0").select("file", "block", "seq", "at", owner.alias("o"))
+    inner = cut(e.filter("at >= 0").select("file", "block", "seq", "at", owner.alias("o"))
              .filter("o.at IS NOT NULL AND NOT o.done").select("file", "block", "seq", "at", F.col("o.at").alias("own")))
-    text = _segments(spark, folder).mapInArrow(_numbered, "file string, block long, seq int, value string")
+    text = _segments(spark, folder) if not inner.isEmpty() else _segments(spark, folder).limit(0)   # nothing to put together
+    text = text.mapInArrow(_numbered, "file string, block long, seq int, value string")
     whole = (text.join(inner, ["file", "block", "seq"]).groupBy("file", "own")
              .agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
              .mapInArrow(_joined, "file string, own long, full_digest string, full_bytes long"))
