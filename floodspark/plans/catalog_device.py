@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import params as P
 from ..functions import rules as R
 from ..operators import telemetry as TM
 from ..operators import windows as W
@@ -140,7 +141,7 @@ x AS (SELECT device_id, date_trunc('hour', ts) - to_hours(k) AS window_start, pr
 SELECT device_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, round(sum(precipitation), 6) AS rain_sum, count(*) AS n
 FROM x, wm WHERE window_start + INTERVAL 24 HOUR <= wm.wm GROUP BY device_id, window_start""")
 def q_stream_rain_windows(spark, sf):
-    out = ST.run_available(ST.rain_windows(ST.decode(ST.source(spark, sf), wire=False)), "rain_windows")
+    out = ST.run_rain_windows(ST.decode(ST.source(spark, sf), wire=False))
     return out.select("device_id", "window_start", "window_end", r6("rain_sum").alias("rain_sum"), "n")
 
 
@@ -158,7 +159,7 @@ def q_stream_rain_windows_batch(spark, sf):
 
 @query("stream_history", TL + PW + HIST_SQL + "SELECT device_id, seq, " + ", ".join(f"round({c}, 9) AS {c}" for c in HIST_COLS) + " FROM h")
 def q_stream_history(spark, sf):
-    out = ST.run_available(ST.history(ST.decode(ST.source(spark, sf), wire=False)), "history")
+    out, _ = ST.run_in_order(ST.decode(ST.source(spark, sf), wire=False), "history", ST.history, P.HISTORY_SIZE - 1)
     return _hist_out(out)
 
 
@@ -169,13 +170,12 @@ SELECT device_id, seq, CASE WHEN p48r > 150 OR water_level > 4 OR water_rise_rat
       + CASE WHEN water_rise_rate > 0.05 THEN least(1.0, water_rise_rate / 0.3) * 0.25 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS flood_predicted,
   {O.alert_sql(O.risk_sql('p48r', 'water_level', 'water_rise_rate'))} AS alert_level FROM s""")
 def q_stream_alerts(spark, sf):
-    h = ST.history(ST.decode(ST.source(spark, sf), wire=False)).withColumn("precip_48h", F.round("precip_48h", 6))
-    out = ST.run_available(TM.score_chain(h), "alerts")
+    out, _ = ST.run_in_order(ST.decode(ST.source(spark, sf), wire=False), "alerts", ST.alerts, P.HISTORY_SIZE - 1)
     return out.select("device_id", "seq", "flood_predicted", "alert_level")
 
 
 @query("stream_mode_changes", TL + PW + """, t AS (SELECT device_id, seq, coalesce(lag(power_mode) OVER (PARTITION BY device_id ORDER BY ts, seq, seq2), 'NORMAL') AS old_mode,
   power_mode AS new_mode FROM pw) SELECT * FROM t WHERE old_mode <> new_mode""")
 def q_stream_mode_changes(spark, sf):
-    out = ST.run_available(ST.mode_changes(ST.decode(ST.source(spark, sf), wire=False)), "mode_changes")
+    out, _ = ST.run_in_order(ST.decode(ST.source(spark, sf), wire=False), "mode_changes", ST.mode_changes, 1)
     return out.select("device_id", "seq", "old_mode", "new_mode")
