@@ -29,20 +29,22 @@ def with_balanced_weight(df: DataFrame, y: str = "y") -> DataFrame:
     return df.withColumn(WEIGHT, F.when(F.col(y) == 1, n / (n1 * 2.0)).otherwise(n / (n0 * 2.0)))
 
 
-def estimators(y: str = "y", pos_weight: float | None = None, small: bool = False) -> dict:
-    """The model families of the original training run, with their settings."""
-    trees = 20 if small else 100
+def estimators(y: str = "y") -> dict:
+    """The model families of the original training run, with their settings. Class weights come from
+    ``with_balanced_weight``; the penalty of the logistic regression is set by ``fit``."""
+    trees = 100
     return {
         "random_forest": RandomForestClassifier(labelCol=y, featuresCol="features", weightCol=WEIGHT,
                                                 numTrees=trees, maxDepth=15, minInstancesPerNode=5,
-                                                featureSubsetStrategy="sqrt", seed=P.SEED),
+                                                featureSubsetStrategy="sqrt", seed=P.SEED, maxMemoryInMB=1024),
         "extra_trees": RandomForestClassifier(labelCol=y, featuresCol="features", weightCol=WEIGHT,
                                               numTrees=trees, maxDepth=15, minInstancesPerNode=5,
-                                              featureSubsetStrategy="sqrt", bootstrap=False, seed=P.SEED),
+                                              featureSubsetStrategy="sqrt", bootstrap=False, seed=P.SEED,
+                                              maxMemoryInMB=1024),
         "gradient_boosting": GBTClassifier(labelCol=y, featuresCol="features", maxIter=trees, maxDepth=6,
                                            stepSize=0.1, subsamplingRate=0.8, seed=P.SEED),
         "logistic_regression": LogisticRegression(labelCol=y, featuresCol="features", weightCol=WEIGHT,
-                                                  maxIter=1000, regParam=0.0001, standardization=False),
+                                                  maxIter=1000, standardization=False),
         "decision_tree": DecisionTreeClassifier(labelCol=y, featuresCol="features", weightCol=WEIGHT,
                                                 maxDepth=10, minInstancesPerNode=10, seed=P.SEED),
         "boosted_weighted": GBTClassifier(labelCol=y, featuresCol="features", weightCol=WEIGHT,
@@ -67,6 +69,10 @@ def pipeline(features: Sequence[str], estimator, scale: bool = True) -> Pipeline
 
 
 def fit(train: DataFrame, features: Sequence[str], estimator, y: str = "y") -> PipelineModel:
+    """Fit a pipeline on balanced weights. A logistic regression is penalised by 1 / sum of weights
+    (the balanced weights sum to the number of rows), so the penalty weighs alike at every size."""
+    if isinstance(estimator, LogisticRegression):
+        estimator = estimator.copy({estimator.regParam: 1.0 / max(train.count(), 1)})
     return pipeline(features, estimator).fit(with_balanced_weight(train, y))
 
 
@@ -82,15 +88,20 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Se
 
 
 def train_and_evaluate(train: DataFrame, valid: DataFrame, test: DataFrame, features: Sequence[str],
-                       y: str = "y", small: bool = False) -> DataFrame:
-    """Fit every model (an engine error ends the run), tune its threshold on validation, report test
-    metrics at the tuned threshold; one row per model with its selection score."""
+                       y: str = "y", models: dict | None = None) -> DataFrame:
+    """Fit every model (an engine error ends the run) and tune its threshold on validation. One row per
+    model: test metrics at that threshold, and ``selection_score``, by which the best model is chosen,
+    from the validation rows; ``test_selection_score`` is the same score on the test rows."""
     rows = None
-    for ordinal, (name, est) in enumerate(estimators(y, small=small).items(), start=1):
+    for ordinal, (name, est) in enumerate((models or estimators(y)).items(), start=1):
         model = fit(train, features, est, y)
-        thr = M.tuned_threshold(score(model, valid, features)).first()["threshold"]
-        pred = score(model, test, features).withColumn("pred", (F.col("score") >= thr).cast("int"))
-        r = M.binary_metrics(pred).select(F.lit(ordinal).alias("ordinal"), F.lit(name).alias("model"),
-                                          F.lit(thr).alias("threshold"), "*")
+        on_valid = score(model, valid, features)
+        thr = M.tuned_threshold(on_valid).first()["threshold"]
+        at = (F.col("score") >= thr).cast("int")
+        chosen_by = M.binary_metrics(on_valid.withColumn("pred", at)).select("selection_score").scalar()
+        r = M.binary_metrics(score(model, test, features).withColumn("pred", at))
+        r = r.withColumnRenamed("selection_score", "test_selection_score").select(
+            F.lit(ordinal).alias("ordinal"), F.lit(name).alias("model"), F.lit(thr).alias("threshold"), "*",
+            chosen_by.alias("selection_score"))
         rows = r if rows is None else rows.unionByName(r)
     return rows

@@ -106,14 +106,16 @@ def ml_table(spark, sf):
     # materialised once in the shared checkpoint folder: the split, every fit and every score read it
     from .pipelines import cut
     d = cut(d.select("id", "y", *ML_FEATURES))
-    return cut(SP.stratified_split(d, "y", "id"))
+    # every fit passes over the rows many times: spread them over all cores, whatever their size in bytes
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cut(SP.stratified_split(d, "y", "id").repartition(width, "id"))
 
 
 def _model_query(name):
     def q(spark, sf):
         d = ml_table(spark, sf)
         train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
-        model = MD.fit(train, ML_FEATURES, MD.estimators("y", small=True)[name], "y")
+        model = MD.fit(train, ML_FEATURES, MD.estimators("y")[name], "y")
         return MD.score(model, test, ML_FEATURES)
     q.__name__ = f"q_model_{name}"
     return q
@@ -138,7 +140,7 @@ def q_batch_score(spark, sf):
     """Score with a saved model (save / load round trip); a feature missing from the frame is 0.0."""
     d = ml_table(spark, sf)
     train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
-    model = MD.fit(train, ML_FEATURES, MD.estimators("y", small=True)["decision_tree"], "y")
+    model = MD.fit(train, ML_FEATURES, MD.estimators("y")["decision_tree"], "y")
     path = scratch_path(spark, f"models/{uuid.uuid4().hex[:12]}")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
@@ -152,7 +154,7 @@ def q_training_report(spark, sf):
     train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
     tv = SP.stratified_split(train.drop("split"), "y", "id", out="split2")
     fit_part, valid = tv.filter(F.col("split2") == "train"), tv.filter(F.col("split2") == "test")
-    return MD.train_and_evaluate(fit_part, valid, test, ML_FEATURES, "y", small=True)
+    return MD.train_and_evaluate(fit_part, valid, test, ML_FEATURES, "y")
 
 
 @query("training_report_json")
