@@ -45,7 +45,7 @@ def _clean(url: str) -> str:
 def _compressed(batches):
     """Payloads travel compressed to where their duplicates are decided."""
     import zstandard
-    z = zstandard.ZstdCompressor(level=9)
+    z = zstandard.ZstdCompressor(level=12)
     for b in batches:
         i = b.schema.get_field_index("payload")
         packed = pa.array([z.compress(x.encode()) for x in b.column(i).to_pylist()], pa.binary())
