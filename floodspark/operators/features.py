@@ -3,7 +3,7 @@ interactions. Global statistics enter as scalar subqueries (computed once, no cr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -16,22 +16,28 @@ def with_calendar(df: DataFrame, ts: str = "datetime") -> DataFrame:
     return df.select("*", *[c.alias(n) for n, c in parts.items()])
 
 
-def saturation_index(df: DataFrame, soil: str = "soil_moisture_pct", p72: str = "precip_72h") -> DataFrame:
+def saturation_index(df: DataFrame, top: Column | None = None, soil: str = "soil_moisture_pct",
+                     p72: str = "precip_72h") -> DataFrame:
+    """Half the soil moisture plus the 72 h rain as a share of its maximum (``top``, by default of ``df``) x 50."""
     if soil not in df.columns or p72 not in df.columns:
         return df
-    mx = scalar(df, F.max(p72))
-    return df.withColumn("indice_saturacao", F.col(soil) * 0.5 + F.col(p72) / mx * 50)
+    top = scalar(df, F.max(p72)) if top is None else top
+    return df.withColumn("indice_saturacao", F.col(soil) * 0.5 + F.col(p72) / top * 50)
 
 
-def zscore(df: DataFrame, col: str = "pressure_hpa", out: str = "pressao_normalizada") -> DataFrame:
+def zscore(df: DataFrame, stats: Column | None = None, col: str = "pressure_hpa",
+           out: str = "pressao_normalizada") -> DataFrame:
+    """(x - mean) / sample deviation; ``stats`` is a struct (mu, sd), by default of ``df`` in one pass."""
     if col not in df.columns:
         return df
-    mu, sd = scalar(df, F.avg(col)), scalar(df, F.stddev_samp(col))
-    return df.withColumn(out, (F.col(col) - mu) / sd)
+    if stats is None:
+        stats = scalar(df, F.struct(F.avg(col).alias("mu"), F.stddev_samp(col).alias("sd")))
+    return df.withColumn(out, (F.col(col) - stats["mu"]) / stats["sd"])
 
 
-def composite_risk(df: DataFrame) -> DataFrame:
-    """Weighted sum of normalised parts over the parts whose columns exist; weights renormalised."""
+def composite_risk(df: DataFrame, top: dict[str, Column]) -> DataFrame:
+    """Weighted sum of normalised parts over the parts whose columns exist; weights renormalised.
+    ``top`` holds the maximum of every part but the saturation index, which is a percentage."""
     parts = []
     for col, weight in P.RISK_WEIGHTS:
         if col not in df.columns:
@@ -40,9 +46,9 @@ def composite_risk(df: DataFrame) -> DataFrame:
         if col == "indice_saturacao":
             val = x / 100
         elif col == "taxa_subida_m_h":
-            val = F.when(x.isNull(), F.lit(None)).otherwise(F.greatest(x, F.lit(0.0))) / scalar(df, F.max(col))
+            val = F.when(x.isNull(), F.lit(None)).otherwise(F.greatest(x, F.lit(0.0))) / top[col]
         else:
-            val = x / scalar(df, F.max(col))
+            val = x / top[col]
         parts.append((val, weight))
     if not parts:
         return df
@@ -81,26 +87,8 @@ def derived_features(df: DataFrame) -> DataFrame:
         return F.lit(None).cast("double") if v is None else F.lit(float(v))
 
     if "max_p72" in st:
-        df = df.withColumn("indice_saturacao", F.col("soil_moisture_pct") * 0.5 + F.col("precip_72h") / lit("max_p72") * 50)
+        df = saturation_index(df, lit("max_p72"))
     if "mu_p" in st:
-        df = df.withColumn("pressao_normalizada", (F.col("pressure_hpa") - lit("mu_p")) / lit("sd_p"))
-    parts = []
-    for col, weight in P.RISK_WEIGHTS:
-        if col not in df.columns:
-            continue
-        x = F.col(col)
-        if col == "indice_saturacao":
-            val = x / 100
-        elif col == "taxa_subida_m_h":
-            val = F.when(x.isNull(), F.lit(None)).otherwise(F.greatest(x, F.lit(0.0))) / lit(f"max_{col}")
-        else:
-            val = x / lit(f"max_{col}")
-        parts.append((val, weight))
-    if parts:
-        total = sum(w for _, w in parts)
-        expr = None
-        for val, weight in parts:
-            term = val * (weight / total)
-            expr = term if expr is None else expr + term
-        df = df.withColumn("risco_composto", expr)
+        df = zscore(df, F.struct(lit("mu_p").alias("mu"), lit("sd_p").alias("sd")))
+    df = composite_risk(df, {col: lit(f"max_{col}") for col, _ in P.RISK_WEIGHTS})
     return interactions(df)

@@ -226,32 +226,28 @@ def _blocked(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
 def fill_forward_backward(df: DataFrame, key, order: Sequence[str], cols: Sequence[str],
                           default=0) -> DataFrame:
     """Per key: last non-NULL value before (forward fill), else first after (backward fill), else
-    ``default``. Two-level scan: inside blocks, then over the per-block summary."""
+    ``default``. Two-level scan: inside blocks, then over the per-block summary. What the forward fill
+    leaves lies before the key's first value, so the backward fill is that one value per key."""
     keys = _keys(key)
     d = _blocked(df, key, order)
-    # both directions as running frames (Spark evaluates "to unbounded following" frames in
-    # quadratic time, so the backward fill runs over the reversed order instead)
     past = Window.partitionBy(*keys, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-    future = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(POS)).rowsBetween(Window.unboundedPreceding, 0)
     summ_aggs = []
     for c in cols:
         summ_aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"_last_{c}"),
                       F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"_first_{c}")]
     summ = d.groupBy(*keys, BLOCK).agg(*summ_aggs)
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carry = []
     for c in cols:
         carry += [F.last(f"_last_{c}", True).over(before).alias(f"_cf_{c}"),
-                  F.last(f"_first_{c}", True).over(after).alias(f"_cb_{c}")]
+                  F.first(f"_first_{c}", True).over(whole).alias(f"_cb_{c}")]
     summ = summ.select(*keys, BLOCK, *carry)
     d = d.select("*", *[F.last(c, True).over(past).alias(f"_ff_{c}") for c in cols])
-    d = d.select("*", *[F.last(c, True).over(future).alias(f"_bf_{c}") for c in cols])
     d = d.join(summ, [*keys, BLOCK])
     for c in cols:
-        d = d.withColumn(c, F.coalesce(F.col(f"_ff_{c}"), F.col(f"_cf_{c}"), F.col(f"_bf_{c}"),
-                                       F.col(f"_cb_{c}"), F.lit(default)))
-    helpers = [f"_{p}_{c}" for c in cols for p in ("ff", "bf", "cf", "cb")]
+        d = d.withColumn(c, F.coalesce(F.col(f"_ff_{c}"), F.col(f"_cf_{c}"), F.col(f"_cb_{c}"), F.lit(default)))
+    helpers = [f"_{p}_{c}" for c in cols for p in ("ff", "cf", "cb")]
     return d.drop(BLOCK, POS, *helpers)
 
 

@@ -69,7 +69,3 @@ def step_asof(df: DataFrame, value: str, steps: Sequence[tuple[int, str]] = P.PR
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
     first = sorted(steps, key=lambda s: s[0])[0][1]
     return df.withColumn(out, expr.otherwise(first))
-
-
-def anti_join(df: DataFrame, drop_ids: DataFrame, key: str) -> DataFrame:
-    return df.join(drop_ids.select(key).distinct(), [key], "left_anti")

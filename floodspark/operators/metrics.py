@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..session import cut
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -106,7 +107,7 @@ def ordered_prefix(df: DataFrame, order: str, cols: Sequence[str], buckets: int
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Area under the ROC curve with ties counted half (rank-sum form)."""
-    sc = ordered_prefix(score_counts(df, y, score), "s", ["neg"])
+    sc = ordered_prefix(cut(score_counts(df, y, score)), "s", ["neg"])
     agg = sc.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)).alias("_w"),
                  F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return agg.select(F.try_divide(F.col("_w"), F.col("_p") * F.col("_n")).alias("roc_auc"))
@@ -114,9 +115,10 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 
 def average_precision(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Sum over distinct scores (descending) of recall step x precision at that score."""
-    sc = ordered_prefix(score_counts(df, y, score), "s", ["pos", "neg"])
-    tot = sc.agg(F.sum("pos").alias("v")).scalar()
-    totn = sc.agg(F.sum("neg").alias("v")).scalar()
+    counts = cut(score_counts(df, y, score))
+    sc = ordered_prefix(counts, "s", ["pos", "neg"])
+    tot = counts.agg(F.sum("pos").alias("v")).scalar()
+    totn = counts.agg(F.sum("neg").alias("v")).scalar()
     tp = tot - F.col("pos_below")
     fp = totn - F.col("neg_below")
     return sc.agg(F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.lit(1.0) * tot).alias("average_precision"))
@@ -199,9 +201,10 @@ def histogram(df: DataFrame, col: str, bins: int = P.HIST_BINS) -> DataFrame:
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """n / (2 n_c) per class, and the positive-class weight neg / pos (10 when there is no positive)."""
     c = df.groupBy(F.col(y).alias("class")).agg(F.count(F.lit(1)).alias("n_c"))
-    n = df.agg(F.count(F.lit(1)).alias("v")).scalar()
-    pos = df.agg(F.count_if(F.col(y) == 1).alias("v")).scalar()
-    neg = df.agg(F.count_if(F.col(y) != 1).alias("v")).scalar()
+    is_pos = F.col("class") == 1
+    t = c.agg(F.struct(F.sum("n_c").alias("n"), F.coalesce(F.sum(F.when(is_pos, F.col("n_c"))), F.lit(0)).alias("pos"),
+                       F.coalesce(F.sum(F.when(~is_pos, F.col("n_c"))), F.lit(0)).alias("neg"))).scalar()
+    n, pos, neg = t["n"], t["pos"], t["neg"]
     return c.select("class", "n_c", (n / (F.col("n_c") * 2.0)).alias("weight"),
                     F.when(pos > 0, neg / (pos * 1.0)).otherwise(P.POS_WEIGHT_FALLBACK).alias("scale_pos_weight"))
 

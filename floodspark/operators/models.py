@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..session import cut
 from . import metrics as M
 
 WEIGHT = "_w"
@@ -90,18 +91,20 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Se
 def train_and_evaluate(train: DataFrame, valid: DataFrame, test: DataFrame, features: Sequence[str],
                        y: str = "y", models: dict | None = None) -> DataFrame:
     """Fit every model (an engine error ends the run) and tune its threshold on validation. One row per
-    model: test metrics at that threshold, and ``selection_score``, by which the best model is chosen,
+    model: test metrics at that threshold, ROC AUC and average precision on test, and ``selection_score``, by which the best model is chosen,
     from the validation rows; ``test_selection_score`` is the same score on the test rows."""
     rows = None
     for ordinal, (name, est) in enumerate((models or estimators(y)).items(), start=1):
         model = fit(train, features, est, y)
-        on_valid = score(model, valid, features)
+        on_valid = cut(score(model, valid, features))
         thr = M.tuned_threshold(on_valid).first()["threshold"]
         at = (F.col("score") >= thr).cast("int")
         chosen_by = M.binary_metrics(on_valid.withColumn("pred", at)).select("selection_score").scalar()
-        r = M.binary_metrics(score(model, test, features).withColumn("pred", at))
+        on_test = cut(score(model, test, features))
+        r = M.binary_metrics(on_test.withColumn("pred", at))
         r = r.withColumnRenamed("selection_score", "test_selection_score").select(
             F.lit(ordinal).alias("ordinal"), F.lit(name).alias("model"), F.lit(thr).alias("threshold"), "*",
-            chosen_by.alias("selection_score"))
+            chosen_by.alias("selection_score"), M.roc_auc(on_test).scalar().alias("roc_auc"),
+            M.average_precision(on_test).scalar().alias("average_precision"))
         rows = r if rows is None else rows.unionByName(r)
     return rows

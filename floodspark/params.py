@@ -46,7 +46,6 @@ HEADER_ALIASES = {
     "wind_speed_ms": ["VENTO, VELOCIDADE HORARIA (m/s)", "VENTO, VELOCIDADE HORÁRIA (m/s)",
                       "VENTO VELOCIDADE", "VELOCIDADE VENTO"],
 }
-RAW_SKIP_LINES = 8
 RAW_SEPARATOR = ";"
 RAW_ENCODING = "ISO-8859-1"
 ARCHIVE_YEARS = ["2020", "2021", "2022", "2023", "2024", "2025"]

@@ -18,6 +18,7 @@ from ..functions import parsing as PA
 from ..functions import physics as PH
 from ..functions import rules as R
 from ..operators import clean as CL
+from ..operators import features as FE
 from ..operators import joins as J
 from ..operators import labels as LB
 from ..operators import metrics as M
@@ -185,18 +186,14 @@ def _feat(spark, sf):
 @query("saturation_index", _feat_sql() + """SELECT location, seq,
   round(soil_moisture_pct * 0.5 + (precip_72h / (SELECT max(precip_72h) FROM f)) * 50, 6) AS indice_saturacao FROM f""")
 def q_saturation_index(spark, sf):
-    d = _feat(spark, sf)
-    mx = J.scalar(d, F.max("precip_72h"))
-    return d.select("location", "seq", r6(F.col("soil_moisture_pct") * 0.5 + F.col("precip_72h") / mx * 50)
-                    .alias("indice_saturacao"))
+    d = FE.saturation_index(_feat(spark, sf))
+    return d.select("location", "seq", r6("indice_saturacao").alias("indice_saturacao"))
 
 
 @query("zscore", RD + """SELECT seq, round((pressure_hpa - (SELECT avg(pressure_hpa) FROM readings))
   / (SELECT stddev_samp(pressure_hpa) FROM readings), 6) AS pressao_normalizada FROM readings""")
 def q_zscore(spark, sf):
-    r = B.readings(spark, sf)
-    mu, sd = J.scalar(r, F.avg("pressure_hpa")), J.scalar(r, F.stddev_samp("pressure_hpa"))
-    return r.select("seq", r6((F.col("pressure_hpa") - mu) / sd).alias("pressao_normalizada"))
+    return FE.zscore(B.readings(spark, sf)).select("seq", r6("pressao_normalizada").alias("pressao_normalizada"))
 
 
 @query("composite_risk", _feat_sql() + """, g AS (SELECT *, soil_moisture_pct * 0.5 + (precip_72h / (SELECT max(precip_72h) FROM f)) * 50 AS indice_saturacao FROM f)
@@ -205,7 +202,6 @@ SELECT location, seq, round(
   + (CASE WHEN taxa_subida_m_h IS NULL THEN NULL ELSE greatest(taxa_subida_m_h, 0.0) END / (SELECT max(taxa_subida_m_h) FROM g)) * 0.2
   + (indice_saturacao / 100) * 0.2, 6) AS risco_composto FROM g""")
 def q_composite_risk(spark, sf):
-    from ..operators import features as FE
     d = FE.derived_features(_feat(spark, sf))        # one pass for all global statistics
     return d.select("location", "seq", r6("risco_composto").alias("risco_composto"))
 
@@ -213,7 +209,6 @@ def q_composite_risk(spark, sf):
 @query("interactions", _feat_sql() + """SELECT location, seq, round(precip_48h * nivel_metros, 8) AS precip_nivel_interaction,
   round(humidity_pct * temperature_c, 6) AS humidade_temp_interaction FROM f""")
 def q_interactions(spark, sf):
-    from ..operators import features as FE
     d = FE.interactions(_feat(spark, sf))
     return d.select("location", "seq", F.round("precip_nivel_interaction", 8).alias("precip_nivel_interaction"),
                     r6("humidade_temp_interaction").alias("humidade_temp_interaction"))

@@ -251,9 +251,9 @@ def q_global_normalise(spark, sf):
     return r.select("seq", r6(F.col("nivel_metros") / mx).alias("nivel_norm"), r6((F.col("pressure_hpa") - mu) / sd).alias("pressure_z"))
 
 
-@query("stratified_split", SC_ + """, h AS (SELECT *, ((id % 2147483648) * 40503 + 42) % 2147483648 AS u FROM scores),
+@query("stratified_split", SC_ + """, h AS (SELECT *, CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':42'), 1, 13)) AS BIGINT) AS u FROM scores),
 c AS (SELECT y, count(*) AS n FROM scores GROUP BY y)
-SELECT h.id, h.y, CASE WHEN row_number() OVER (PARTITION BY h.y ORDER BY h.u) <= ceil(0.2 * c.n) THEN 'test' ELSE 'train' END AS split
+SELECT h.id, h.y, CASE WHEN row_number() OVER (PARTITION BY h.y ORDER BY h.u, h.id) <= ceil(0.2 * c.n) THEN 'test' ELSE 'train' END AS split
 FROM h JOIN c USING (y)""")
 def q_stratified_split(spark, sf):
     return SP.stratified_split(B.scores(spark, sf).select("id", "y")).select("id", "y", "split")

@@ -31,9 +31,12 @@ def build_session(master: str | None = None, app: str = "floodspark",
     b = b.config("spark.driver.memory", os.environ.get("FLOODSPARK_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in {**_DEFAULTS, **(extra or {})}.items():
+    for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    for k, v in _DEFAULTS.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -42,13 +45,15 @@ def build_session(master: str | None = None, app: str = "floodspark",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is. Only when it is unset
-    (local runs and tests) a fresh folder under the local temp area is created and set.
+    On a cluster that setting points at shared storage and is used as is. Where it is
+    unset, a local run (tests) gets a fresh folder under the local temp area; a cluster gets an error.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
         cur = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not cur:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="floodspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     try:
@@ -58,6 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
+def cut(df):
+    """Materialise into the shared checkpoint folder (``spark.checkpoint.dir``): later passes read this
+    instead of recomputing it, and a lost executor does not replay the whole lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
