@@ -21,11 +21,11 @@ from floodspark.llm.toxicity import classify, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents predicted toxic; learns from the labels that are not held out."""
+    """Drop the documents that reach their language's calibrated threshold; learns from the labels that are not held out."""
     ready(spark)
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out())
-    aside = docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns], "text")
-    good = classify(aside, model, *aside.drop("text").columns).filter("predicted = 0")
+    aside = docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns], "text", "lang")
+    good = classify(aside, model, *aside.drop("text").columns).filter("score < lang_threshold")
     return good.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 

@@ -160,4 +160,4 @@ def op4_toxicity(spark, sf_dir):
     from .toxicity import classify, train
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return classify(docs, model, "doc_id").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+    return classify(docs, model, "doc_id", "lang").drop("lang").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))

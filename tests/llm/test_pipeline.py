@@ -106,6 +106,31 @@ def test_toxicity_learns_no_held_out_label_and_no_other_column(spark, tables):
     assert scores[0] == scores[1]
 
 
+def test_each_language_is_cut_at_its_own_threshold(spark, tables, monkeypatch):
+    """Two languages cut away from the pooled 0.7, rows without a language and one that was not calibrated at 0.7."""
+    folder, rows = tables
+    model = model_of(spark, folder)
+    score = {r[0]: plain_score(model, r[1]) for r in rows}
+    between = lambda s: (s[len(s) // 2] + s[len(s) // 2 - 1]) / 2
+    cut = {"en": between(sorted(score[r[0]] for r in rows if r[2] == "en" and r[4] == 1)),
+           "de": between(sorted(score[r[0]] for r in rows if r[2] == "de" and r[4] == 0))}
+    assert cut["de"] < CUT < cut["en"]
+    own = {k: math.log(v / (1 - v)) - math.log(CUT / (1 - CUT)) + model["cut"] for k, v in cut.items()}
+    monkeypatch.setattr("floodspark.llm.toxicity.train", lambda *a, **k: model | {"lang_cuts": own})
+    monkeypatch.setattr(corpus_pipeline, "train", lambda *a, **k: model | {"lang_cuts": own})
+    lang = {r[0]: r[2] for r in rows}
+    out = catalog.QUERIES["op4_toxicity"](spark, folder).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.lang_threshold == pytest.approx(cut.get(lang[r.doc_id], CUT), abs=1e-6) and r.predicted == int(r.score >= CUT)
+    left = {r.doc_id for r in corpus_pipeline.toxicity(spark, table(spark, folder, "documents"), folder).collect()}
+    assert left == {i for i in score if score[i] < cut.get(lang[i], CUT)}
+    assert 50 < len([i for i in score if (score[i] < CUT) != (i in left)])
+    monkeypatch.setattr(corpus_pipeline, "train", lambda *a, **k: model | {"lang_cuts": {"": own["de"]}})
+    left = {r.doc_id for r in corpus_pipeline.toxicity(spark, table(spark, folder, "documents"), folder).collect()}
+    assert left == {i for i in score if score[i] < (cut["de"] if lang[i] is None else CUT)}
+
+
 def test_toxicity_without_labels_or_rows(spark):
     d = docs(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
