@@ -19,13 +19,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import cut
 from .exchange import PACKED, Presence, answers_of, chunked, groups_of, merge, pack_rows, with_answers
 from .text import Words, flat, ids_of, mix, prefix, run_hash, slices, _powers
 
-_LINE = np.dtype([("h", "<u8"), ("check", "<u4"), ("line", "<i4"), ("doc", "<i8")])
-_KEY = np.dtype([("h", "<u8"), ("check", "<u4"), ("place", "<i4"), ("line", "<i4"), ("to_line", "<i4"), ("doc", "<i8"), ("to_doc", "<i8")])
+_LINE = np.dtype([("h", "<u8"), ("check", "<u4"), ("line", "<u4"), ("doc", "<i8")])
+_KEY = np.dtype([("h", "<u8"), ("check", "<u4"), ("place", "<i4"), ("line", "<u4"), ("to_line", "<u4"), ("doc", "<i8"), ("to_doc", "<i8")])
 _SALTS = (61, 67)
+#: Top bit of a line number: the row has no doc_id, ``doc`` is its place among such rows and it comes after all others.
+_NO_ID = 31
 
 
 class _Chunk:
@@ -33,9 +37,10 @@ class _Chunk:
 
     def __init__(self, t: pa.Table):
         if len(t) > pc.count_distinct(t["doc_id"], mode="all").as_py():      # repeated ids: their lines follow each other
-            t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            t = t.sort_by([("doc_id", "ascending"), ("nth", "ascending"), ("text", "ascending")])
         self.table = t
-        text, ids = flat(t["text"]), ids_of(t["doc_id"])
+        null = flat(t["doc_id"]).is_null().to_numpy(zero_copy_only=False)
+        text, ids = flat(t["text"]), np.where(null, ids_of(t["nth"]), ids_of(t["doc_id"]))
         self.parts = []                           # (row of first text, Words, lines' first word, end word, start byte, end byte, row)
         self.row, self.h, self.check, self.n = [], [], [], []
         for a, b in slices(text):
@@ -61,10 +66,11 @@ class _Chunk:
         self.h = np.concatenate(self.h) if self.h else np.zeros(0, np.uint64)
         self.check = np.concatenate(self.check) if self.check else np.zeros(0, np.uint32)
         self.doc = ids[self.row] if len(self.row) else none
-        new = np.r_[True, self.doc[1:] != self.doc[:-1]] if len(self.doc) else np.zeros(0, bool)
+        null = null[self.row]
+        new = np.r_[True, (self.doc[1:] != self.doc[:-1]) | (null[1:] != null[:-1])] if len(self.doc) else np.zeros(0, bool)
         at = np.arange(len(self.doc))
         # Lines count on through rows that share a doc_id.
-        self.line = at - np.maximum.accumulate(np.where(new, at, 0)) if len(at) else none
+        self.line = at - np.maximum.accumulate(np.where(new, at, 0)) + (null.astype(np.int64) << _NO_ID) if len(at) else none
 
     def records(self) -> np.ndarray:
         r = np.empty(len(self.h), _LINE)
@@ -103,14 +109,22 @@ class _Chunk:
 
 
 def _earliest(r: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Index of the earliest (doc, line) of each group of ``groups_of``."""
+    """Index of the earliest line of each group of ``groups_of``."""
     if not len(order):
         return order
     number = np.cumsum(np.bincount(first, minlength=len(order))) - 1
-    again = np.lexsort((r["line"][order], r["doc"][order], number))
+    line = r["line"][order]
+    null = line >> _NO_ID
+    again = np.lexsort((line, r["doc"][order], null, number) if null.any() else (line, r["doc"][order], number))
     return order[again[first]]
 
 
+def _before(doc: np.ndarray, line: np.ndarray, other_doc: np.ndarray, other_line: np.ndarray) -> np.ndarray:
+    """Whether lines come before other lines, pair by pair."""
+    null, other = line >> _NO_ID, other_line >> _NO_ID
+    return (null < other) | ((null == other) & ((doc < other_doc) | ((doc == other_doc) & (line < other_line))))
+
+
 def _split(answers: pa.Table):
     """(answers of the lines step, answers of the keys step): the former are marked by negative buckets."""
     if "packed" not in answers.column_names:
@@ -177,7 +191,7 @@ def _near(r: np.ndarray, own: np.ndarray):
     out = r.copy()
     best_doc, best_line = r["doc"].copy(), r["line"].copy()
     for cand, valid in ((same, ~whole), (by_kind[across], across >= 0)):
-        better = valid & ((cand["doc"] < best_doc) | ((cand["doc"] == best_doc) & (cand["line"] < best_line)))
+        better = valid & _before(cand["doc"], cand["line"], best_doc, best_line)
         best_doc, best_line = np.where(better, cand["doc"], best_doc), np.where(better, cand["line"], best_line)
     out["to_doc"], out["to_line"] = best_doc, best_line
     return out, (best_doc != r["doc"]) | (best_line != r["line"])
@@ -209,10 +223,23 @@ def _rebuild(chunk: int, docs: pa.Table, answers: pa.Table) -> pa.Table:
             text[r] = b"\n".join([raw[s:e] for s, e, k in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), g[lo:hi]) if not k]).decode("utf-8", "replace")
         base += len(x)
     new = {"n_lines": total, "n_repeats": repeats, "n_near": nears, "emptied": had & (left == 0), "text": pa.array(text, pa.string())}
-    kept = {n: c.table[n] for n in c.table.column_names if n not in ("chunk", "text")}
+    kept = {n: c.table[n] for n in c.table.column_names if n not in ("chunk", "nth", "text")}
     return pa.table({"doc_id": kept.pop("doc_id")} | new | kept)
 
 
+def _numbered(d: DataFrame) -> DataFrame:
+    """``d`` with ``nth``, which orders the rows without a doc_id by text, whatever chunk they are dealt to.
+
+    Texts of such rows are sorted over all tasks and materialised: the numbers grow with the text, but
+    another run of the sort may cut its ranges elsewhere. Columns that can be ordered settle ties.
+    """
+    simple = (T.NumericType, T.StringType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    ties = [f"`{f.name}`" for f in d.schema if f.name not in ("doc_id", "text") and isinstance(f.dataType, simple)]
+    null = d.filter("doc_id IS NULL").orderBy(F.col("text").asc_nulls_last(), *ties)
+    return d.filter("doc_id IS NOT NULL").withColumn("nth", F.lit(0).cast("long")).unionByName(
+        cut(null.withColumn("nth", F.monotonically_increasing_id())))
+
+
 def line_dedup(docs: DataFrame, near_words: int = 8, keep: list[str] = ()) -> DataFrame:
     """doc_id, n_lines, n_repeats, n_near, emptied, text for every row of ``docs`` (doc_id, text).
 
@@ -220,11 +247,12 @@ def line_dedup(docs: DataFrame, near_words: int = 8, keep: list[str] = ()) -> Da
     - from ``near_words`` words on - if an earlier first occurrence of a line (of ``near_words`` words or
     more) is one word edit away; both are judged on the input. Blank lines stay. ``emptied``: the text
     had words and lost all of them. NULL texts stay NULL with one blank line. Rows that share a doc_id
-    are read one after the other in the order of their texts; a NULL doc_id comes after all others.
+    are read one after the other in the order of their texts; a NULL doc_id comes after all others, and
+    rows without one are in the order of their texts too. The result does not depend on the shuffle width.
     Columns named in ``keep`` are passed on, other extra columns are ignored; an empty table gives no rows.
     """
-    d, buckets = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                                     *[F.col(c).alias(f"_{c}") for c in keep]))
+    d, buckets = chunked(_numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                                               *[F.col(c).alias(f"_{c}") for c in keep])))
     firsts = merge(d.groupBy("chunk").applyInArrow(_lines(buckets), PACKED), _LINE, _first_of_lines)
     keys = with_answers(d, firsts, _keys(buckets, near_words), PACKED)
     live = merge(keys, Presence.dtype, Presence.decide)

@@ -180,6 +180,34 @@ def test_lines_match_brute_force(spark):
     assert line_dedup(docs(spark, [])).count() == 0
 
 
+def test_lines_of_many_rows_without_an_id(spark):
+    """One header and shared, repeated and nearly repeated lines in rows without a doc_id, at two shuffle widths."""
+    rng = random.Random(5)
+    pool = [prose(rng, rng.randrange(2, 14), 40) for _ in range(30)]
+    rows = []
+    for i in range(120):
+        lines = ["the same header stands over each of these many pages"]
+        for _ in range(rng.randrange(4)):
+            w = list(rng.choice(pool))
+            if rng.random() < 0.4:
+                w[rng.randrange(len(w))] = f"q{rng.randrange(3)}"
+            lines.append(" ".join(w))
+        rng.shuffle(lines)
+        rows.append((i // 2 if i % 4 == 0 else None, "\n".join(lines)))
+    rows += [(None, None), (None, None), (None, ""), (None, rows[1][1]), (2**63 - 1, rows[2][1]), (2**63 - 1, "last of all ids")]
+    rng.shuffle(rows)
+    want, old = line_brute([(i, t) for i, t in rows if i != 2**63 - 1]), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for width in ("2", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            assert collect(line_dedup(docs(spark, [r for r in rows if r[0] != 2**63 - 1]))) == want
+            kept = [x for r in line_dedup(docs(spark, rows)).collect() for x in (r.text or "").split("\n") if x]
+            assert len(kept) == len(set(map(tuple, map(WORD.findall, kept))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sum(r[3] for r in want if r[0] is None) > 10
+
+
 def test_minimal_perfect_hash():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 7, 1000):
