@@ -3,7 +3,7 @@
 Reference side: the non-overlapping blocks of n/2 words of every document are indexed. Probe side:
 every rolling window of n/2 words is looked up in that index. Any window of n words contains a whole
 block of its own document, so a passage that occurs in two documents hits the index. Around the hits,
-and only there, the windows of n words are compared across documents by 95-bit hashes of their word
+and only there, the windows of n words are compared across documents by 64-bit hashes of their word
 sequence: each learns the smallest doc_id in which it starts. Overlapping repeated windows are joined
 to maximal exact repeats, whose words are removed.
 
