@@ -161,3 +161,41 @@ def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out())
     return classify(docs, model, "doc_id", "lang").drop("lang").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+
+
+def _round(n: int) -> str:
+    """Assignment to centroids c{n}, distances by the scalar product, and the centroids after it."""
+    return f""", d{n} AS (SELECT v.vec_id, v.row, c.c, c.q AS centre, CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+  FROM v CROSS JOIN c{n} c),
+a{n} AS (SELECT row, any_value(vec_id) AS vec_id, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM d{n} GROUP BY row),
+u{n} AS (SELECT a.c, unnest(v.q) AS x, unnest(range(0, 64)) AS i FROM a{n} a JOIN v USING (row)),
+m{n} AS (SELECT c, list(x ORDER BY i) AS q FROM (SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM u{n} GROUP BY c, i) GROUP BY c),
+c{n + 1} AS (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{n} c LEFT JOIN m{n} m ON c.c = m.c)"""
+
+
+@query("op11_centroid_clusters", """
+WITH v AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c1 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, q) - 1 AS INTEGER) AS c, q FROM v
+  QUALIFY c < 16)""" + "".join(map(_round, (1, 2, 3))) + """,
+d4 AS (SELECT v.vec_id, v.row, c.c, CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+  FROM v CROSS JOIN c4 c),
+a4 AS (SELECT row, any_value(vec_id) AS vec_id, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM d4 GROUP BY row)
+SELECT a.vec_id, a.c AS cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c4.q, ',')) AS centroid_sha256
+FROM a4 a JOIN c4 ON a.c = c4.c""")
+def op11_centroid_clusters(spark, sf_dir):
+    from .centroids import cluster_vectors, usable
+    return cluster_vectors(usable(table(spark, sf_dir, "embeddings"))).drop("n_fetched")
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark, sf_dir):
+    from .byte_bpe import round_trip
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    from .alignment import align_tokens
+    return align_tokens(table(spark, sf_dir, "documents"))
