@@ -87,6 +87,7 @@ def q_oversample_union(spark, sf):
 
 # ---- models on the labelled feature table -------------------------------------------------------
 
+ROWS_PER_TASK = 500_000                   # 20 doubles a row: about 100 MB
 ML_FEATURES = ["precipitation_mm", "temperature_c", "humidity_pct", "pressure_hpa", "wind_speed_kmh",
                "soil_moisture_pct", "nivel_metros", "taxa_subida_m_h", "hora", "dia_semana", "mes",
                "hora_sin", "hora_cos", "precip_24h", "precip_48h", "precip_72h",
@@ -106,8 +107,8 @@ def ml_table(spark, sf):
     # materialised once in the shared checkpoint folder: the split, every fit and every score read it
     from .pipelines import cut
     d = cut(d.select("id", "y", *ML_FEATURES))
-    # every fit passes over the rows many times: spread them over all cores, whatever their size in bytes
-    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # every fit passes over the rows many times: one task per core, more where a task would get too many rows
+    width = max(spark.sparkContext.defaultParallelism, -(-d.count() // ROWS_PER_TASK))
     return cut(SP.stratified_split(d, "y", "id").repartition(width, "id"))
 
 

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import close, duck, rows  # noqa: E402
 
-from conftest import SF0001  # noqa: E402
+from paths import SF0001  # noqa: E402
 
 SQL = E.oracle_sql()
 

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF0001
+from paths import SF0001
 
 KEYS = ["alert_distribution", "rolling_sum", "gap_fill", "flood_label", "name_match", "river_status",
         "flood_events", "threshold_sweep", "roc_auc", "mode_evaluation", "device_history", "left_join",

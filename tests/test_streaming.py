@@ -8,7 +8,7 @@ from floodspark.operators import windows as W
 from floodspark.plans import bindings as B
 from floodspark.streaming import telemetry as ST
 
-from conftest import SF0001
+from paths import SF0001
 
 HISTORY = ["device_id", "seq", "seq2", "precipitation_ma_12", "water_level_ma_24", "precip_48h", "water_rise_rate"]
 CHANGES = ["device_id", "seq", "old_mode", "new_mode"]
