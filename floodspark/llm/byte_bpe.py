@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renewed, side
-from .packed import (Numbering, exchange_width, pack_numbers, pack_strings, ranges, row_batch, rows_table,
-                     unpack_numbers, unpack_strings)
+from .common import release, released, renewed, side
+from .packed import (Numbering, exchange_width, pack_ids, pack_numbers, pack_strings, ranges, row_batch, rows_table,
+                     unpack_ids, unpack_numbers, unpack_strings)
 from .packing import vocabulary
 from .text import flat, slices
 
@@ -103,43 +103,54 @@ def _encode(path: str, pattern: str):
                 if w not in known:
                     known[w] = np.array(encoder.encode_ordinary(w.decode()), "<u4").tobytes()
                 ids.append(known[w])
-            rows.append((t["bucket"][0].as_py(), number, pack_strings(ids)))
+            rows.append((t["bucket"][0].as_py(), number, pack_ids(ids)))
+        del known
+        release()
         return rows_table(rows, _ASK)
     return run
 
 
-def _assemble(n: int):
-    """Within a slice: ids joined back to its words, documents put together by position."""
+def _assemble(n: int, then=None):
+    """Within a slice: ids joined back to its words, documents put together by position, and handed on to ``then``."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = side(left, _SLICE), side(right, _ASK)
         if not len(left):
             return _IDS.empty_table()
         words = unpack_strings(left["words"][0].as_py())
-        answers = {b: iter(unpack_strings(p)) for b, p in zip(right["bucket"].to_pylist(), right["packed"].to_pylist())}
-        found = [next(answers[bucket_of(w, n)]) for w in words]           # buckets answer in the order they were asked in
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        bucket = np.fromiter((bucket_of(w, n) for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")                         # buckets answer in the order they were asked in
+        answers = [unpack_ids(p) for _, p in sorted(zip(right["bucket"].to_pylist(), right["packed"].to_pylist()))]
+        size, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        size[order] = np.concatenate([a[0] for a in answers]) if answers else 0
+        at[order] = np.cumsum(size[order]) - size[order]
+        found = np.concatenate([a[1] for a in answers]) if answers else np.zeros(0, "<u4")
         place = unpack_numbers(left["positions"][0].as_py())
-        at, per = (np.cumsum(size) - size)[place], size[place]
-        ids = np.frombuffer(b"".join(found), "<u4")[ranges(at, per)]
+        per = size[place]
+        ids = found[ranges(at[place], per)]
         end = np.r_[0, np.cumsum(per)][np.r_[0, np.cumsum(unpack_numbers(left["sizes"][0].as_py()).astype(np.int64))]]
-        docs = left["doc_ids"][0].as_py()
-        return rows_table([(d, ids[a:b].tobytes()) for d, a, b in zip(docs, end[:-1], end[1:])], _IDS)
+        out = rows_table([(d, ids[a:b].tobytes()) for d, a, b in zip(left["doc_ids"][0].as_py(), end[:-1], end[1:])], _IDS)
+        if then is not None:
+            out = pa.Table.from_batches(then(out.to_batches()))
+        release()
+        return out
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, slice_bytes: int = SLICE_BYTES,
+           then=None, schema: str = "doc_id long, ids binary") -> DataFrame:
     """doc_id, ids (token ids, little-endian unsigned 32-bit) for every row of ``docs`` (doc_id, text).
 
     path: ranks of a byte-level vocabulary; pattern: what cuts a text into pre-tokens. NULL and empty
     texts have no ids. Rows are encoded one by one, so repeated rows and NULL ids stay as they are; extra
-    columns are ignored; an empty table gives no rows. A very long text is a slice of its own.
+    columns are ignored; an empty table gives no rows. A very long text is a slice of its own. ``then`` (batches ->
+    batches of ``schema``) takes up the rows in the task that made them.
     """
     path, pattern = path or vocabulary("byte_bpe_multi_50k.tiktoken"), pattern or word_pattern()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = exchange_width(d)
-    cuts = d.mapInArrow(_split(pattern, slice_bytes), SLICE).repartition(n, "slice")
-    answers = cuts.mapInArrow(_ask(n), ASK).repartition(n, "bucket").groupBy("bucket").applyInArrow(_encode(path, pattern), ASK)
-    return cuts.groupBy("slice").cogroup(renewed(answers).groupBy("slice")).applyInArrow(_assemble(n), "doc_id long, ids binary")
+    cuts = d.mapInArrow(released(_split(pattern, slice_bytes)), SLICE).repartition(n, "slice")
+    answers = cuts.mapInArrow(released(_ask(n)), ASK).repartition(n, "bucket").groupBy("bucket").applyInArrow(_encode(path, pattern), ASK)
+    return cuts.groupBy("slice").cogroup(renewed(answers).groupBy("slice")).applyInArrow(_assemble(n, then), schema)
 
 
 @lru_cache(maxsize=2)
@@ -166,7 +177,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     NULL ids give NULL; an id outside the vocabulary is an error. No shuffle."""
     path = path or vocabulary("byte_bpe_multi_50k.tiktoken")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", bytes binary"
-    return encoded.mapInArrow(_decode(path, encoded.columns), schema)
+    return encoded.mapInArrow(released(_decode(path, encoded.columns)), schema)
 
 
 def _digests(batches):
@@ -185,5 +196,8 @@ def _digests(batches):
 
 
 def round_trip(docs: DataFrame, path: str | None = None, **how) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of ``encode`` and of ``decode`` after it."""
-    return decode(encode(docs, path, **how), path).mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of what they decode to, decoded
+    in the task that put the ids together."""
+    back = _decode(path or vocabulary("byte_bpe_multi_50k.tiktoken"), ["doc_id", "ids"])
+    return encode(docs, path, then=lambda batches: _digests(back(batches)),
+                  schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", **how)

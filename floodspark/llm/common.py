@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,22 @@ def side(t, schema):
 def renewed(df):
     """The same columns under new identities: both sides of a cogroup must not share attributes."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks and would go on holding it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:                # not the GNU library, nothing to do
+        pass
+
+
+def released(run):
+    """``run`` (batches -> batches), after which the worker holds no freed memory."""
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return held

@@ -52,6 +52,17 @@ def unpack_strings(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(end[:-1].tolist(), end[1:].tolist())]
 
 
+def pack_ids(lists: list[bytes]) -> bytes:
+    """Lists of 32-bit ids: sizes, then ids."""
+    sizes = pack_numbers(np.fromiter(map(len, lists), np.uint32, len(lists)) // 4)
+    return len(sizes).to_bytes(8, "little") + sizes + pack_numbers(np.frombuffer(b"".join(lists), "<u4"))
+
+
+def unpack_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = 8 + int.from_bytes(packed[:8], "little")
+    return unpack_numbers(packed[8:n]).astype(np.int64), unpack_numbers(packed[n:])
+
+
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers start[i] .. start[i] + size[i] - 1 of all i in a row."""
     end = np.cumsum(size)
