@@ -18,18 +18,19 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_folder, renewed, side
+from .common import fresh_folder, release, released, renewed, side
 from .packed import Numbering, exchange_width, pack_numbers, ranges, row_batch, rows_table, unpack_numbers
 from .packing import _byte_letters, vocabulary
 from .text import flat, mix, offsets, prefix, run_hash, slices
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _LONG, _BIN = pa.int64(), pa.binary()
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -38,7 +39,7 @@ class Tokens:
     """A vocabulary's token bytes, and what encodes texts with it."""
 
     def __init__(self, table: list[bytes], encode):
-        self.encode = encode                                              # texts -> list of id lists
+        self.encode = encode                                              # texts -> (ids of all in a row, number of each)
         self.table = table
         self.size = np.fromiter(map(len, table), np.int64, len(table))
         self.at = np.cumsum(self.size) - self.size
@@ -70,7 +71,11 @@ def byte_level(path: str) -> Tokens:
             table[i] = bytes(byte[x] for x in token)
     ranks = {t: i for i, t in enumerate(table) if t}
     encoder = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokens(table, lambda texts: [encoder.encode_ordinary(" " + t) for t in texts])
+    return Tokens(table, lambda texts: _rows([encoder.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]))
+
+
+def _rows(arrays: list[np.ndarray]):
+    return np.concatenate(arrays).astype(np.int64), np.fromiter(map(len, arrays), np.int64, len(arrays))
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +86,12 @@ def pieces(path: str) -> Tokens:
     n = m.get_piece_size()
     table = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i)
              else m.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
-    return Tokens(table, lambda texts: m.encode(texts, num_threads=1))
+
+    def encode(texts):
+        lists = m.encode(texts, num_threads=1)
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int64, n.sum()), n
+    return Tokens(table, encode)
 
 
 class Side:
@@ -89,9 +99,8 @@ class Side:
 
     def __init__(self, tokens: Tokens, texts: list[str]):
         self.tokens = tokens
-        lists = tokens.encode(texts)
-        self.first = np.r_[0, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]
-        self.ids = np.fromiter((i for x in lists for i in x), np.int64, self.first[-1])
+        self.ids, n = tokens.encode(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.first = np.r_[0, np.cumsum(n)]
 
     def verified(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Which texts their token bytes join to exactly; data: all texts' bytes, at: where each begins (one more)."""
@@ -325,9 +334,9 @@ def align_tokens(docs: DataFrame, first: str | None = None, second: str | None =
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = exchange_width(d)
     folder = fresh_folder(spark, "alignment")
-    d.mapInArrow(_align(first, second, slice_bytes), SLICE).write.parquet(f"{folder}/slices")
+    d.mapInArrow(released(_align(first, second, slice_bytes)), SLICE).write.parquet(f"{folder}/slices")
     cuts = spark.read.schema(SLICE).parquet(f"{folder}/slices")
-    asked = cuts.select("slice", "pairs", "holders").mapInArrow(_ask(n), ASK)
+    asked = cuts.select("slice", "pairs", "holders").mapInArrow(released(_ask(n)), ASK)
     asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_count(size_b), COUNTS).write.parquet(f"{folder}/counts")
     counts = spark.read.schema(COUNTS).parquet(f"{folder}/counts")
     top = (counts.filter("slice IS NULL").select(F.explode(F.arrays_zip("firsts", "peaks")).alias("x"))

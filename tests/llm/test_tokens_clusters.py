@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -17,7 +18,7 @@ from floodspark.llm import centroids as CE
 from floodspark.llm.catalog import SQL
 from floodspark.llm.packing import vocabulary
 
-from helpers import ODD, docs, prose
+from llm.helpers import ODD, docs, prose
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SEAMS = ["<|endoftext|> stays text", "x▁y", "a b c　d", "tab\tend\r\n\r\n  ", "   lead", "'s 's''s I'll", "\x00\x1c\x1f", "é é", "😀 family 👨‍👩‍👧", "1234567 8 9"]
@@ -86,18 +87,22 @@ def test_bpe_plan_reads_one_exchange_twice(spark):
 
 # ---- operator 13 -----------------------------------------------------------------------------------
 
-def _plain_tokens(text):
-    """(A bytes and ids, B bytes and ids) or None, by the libraries themselves."""
+@lru_cache
+def _libraries():
     import sentencepiece
     from tokenizers import Tokenizer
-    if not text:
-        return None
     a = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     a.encode_special_tokens = True
-    letter = {c: b for b, c in AL._byte_letters().items()}
+    return a, sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model")), {c: b for b, c in AL._byte_letters().items()}
+
+
+def _plain_tokens(text):
+    """(A bytes and ids, B bytes and ids) or None, by the libraries themselves."""
+    if not text:
+        return None
+    a, m, letter = _libraries()
     enc = a.encode(" " + text, add_special_tokens=False)
     one = [(i, bytes(letter[c] for c in t)) for i, t in zip(enc.ids, enc.tokens)]
-    m = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
     two = [(i, bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode()) for i in m.encode(text)]
     full = (" " + text).encode()
     return (one, two) if all(b"".join(t for _, t in x) == full for x in (one, two)) else None
