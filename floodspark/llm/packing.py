@@ -24,25 +24,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism
+from .common import cut, parallelism, release
 from .text import Words, flat, slices
 
-_CACHE_WORDS = 800_000                    # bound of a worker's cache of words already tokenised
+CACHE_BYTES = 32 << 20                    # bound of a task's cache of words already tokenised
+_ENTRY = 170                              # bytes of an entry besides its key's and value's own
 
 
 class Known(dict):
-    """A bounded cache: unknown keys are worked out by ``learn``; when full, it starts afresh."""
+    """A cache of byte strings bounded in bytes: unknown keys are worked out by ``learn``; when it is
+    full, the older half goes. It belongs to a task and ends with it."""
 
-    def __init__(self, learn, bound: int):
+    def __init__(self, learn, bound: int = CACHE_BYTES):
         super().__init__()
-        self.learn, self.bound = learn, bound
+        self.learn, self.bound, self.size = learn, bound, 0
 
     def __missing__(self, key):
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[key] = self.learn(key)
+        value = self.learn(key)
+        self.put(key, value)
         return value
 
+    def put(self, key: bytes, value) -> None:
+        if self.size > self.bound:
+            for old in list(self)[:len(self) // 2 + 1]:
+                del self[old]
+            self.size //= 2
+        self[key] = value
+        self.size += _ENTRY + len(key) + len(value)
+
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Path of a public vocabulary file installed on every node."""
@@ -60,20 +69,19 @@ def _byte_letters() -> dict[int, str]:
 
 class WordTokens:
     """Token ids of texts, as little-endian 32-bit bytes. The tokenizer drops white space and never
-    merges across it, so a text's ids are its words' ids in a row, and words are cached.
+    merges across it, so a text's ids are its words' ids in a row, and words are cached (for one task).
 
     Words made of letters with other marks than an apostrophe behind are two pre-tokens, which go to
     the vocabulary's merge model directly; all other words take the tokenizer's whole path.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.words = Known(self._ids, _CACHE_WORDS)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.words = Known(self._ids)
+        self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.plain = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
-        self.marks = Known(self._part, 1000)
+        self.marks = Known(self._part, 1 << 20)
 
     def _part(self, pre_token: str) -> bytes:
         raw = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.letters)
@@ -109,9 +117,10 @@ def distinct_words(w: Words, known: Known) -> tuple[list, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTokens:
-    """One per Python worker, so that its cache serves all tasks the worker runs."""
-    return WordTokens(path)
+def tokenizer(path: str):
+    """One per Python worker; its size is the vocabulary's."""
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
@@ -119,11 +128,11 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
                        + ([("ids", pa.binary())] if keep_ids else []))
 
     def run(batches):
-        tokens = word_tokens(path)
+        tokens = WordTokens(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, text = batch.column("doc_id").to_pylist(), flat(batch.column("text"))
-            for a, b in slices(text, 1_000_000):
+            for a, b in slices(text):
                 rows = []
                 for doc, t in zip(ids[a:b], tokens.texts(text.slice(a, b - a))):
                     t += end
@@ -131,6 +140,8 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
                         x = t[at:at + 4 * capacity]
                         rows.append((doc, p, at // 4, len(x) // 4, zlib.crc32(x)) + ((x,) if keep_ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        del tokens
+        release()
     return run
 
 

@@ -16,16 +16,25 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NO_ID = np.iinfo(np.int64).max          # stands for a NULL doc_id: later than every real one
 
 _BASE = 0x9E3779B97F4A7C15               # odd, hence invertible modulo 2^64
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_KEPT = 1 << 21                          # powers that a worker keeps: 32 MB for both bases
+_POWERS: list[np.ndarray] = []
+
+
+def _power_rows(n: int) -> list[np.ndarray]:
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, b, np.uint64)
+        x[:1] = 1
+        out.append(np.cumprod(x))
+    return out
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse; kept and grown per worker."""
-    if len(_POWERS[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(max(n, 1 << 21), b, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x)
+    """The first n powers of the base and of its inverse; a worker keeps those of a usual slice."""
+    if n > _KEPT:
+        return tuple(_power_rows(n))
+    if not _POWERS:
+        _POWERS.extend(_power_rows(_KEPT))
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
