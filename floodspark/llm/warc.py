@@ -18,11 +18,13 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_folder
+from .packed import rows_table
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -42,14 +44,32 @@ def _clean(url: str) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
 
 
-def _compressed(batches):
-    """Payloads travel compressed to where their duplicates are decided."""
-    import zstandard
-    z = zstandard.ZstdCompressor(level=12)
-    for b in batches:
-        i = b.schema.get_field_index("payload")
-        packed = pa.array([z.compress(x.encode()) for x in b.column(i).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([packed if k == i else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+def _compressed(shared, hits: bool):
+    """Rows whose payload may occur again (``hits``), compressed to travel to where their duplicates are
+    decided; or the other rows, as records."""
+    def run(batches):
+        import zstandard
+        z = zstandard.ZstdCompressor(level=12)
+        bits = shared.value
+        for b in batches:
+            at = b.column("places").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            seen = ((bits[at >> 6] >> (at & 63)) & 1).all(axis=1)
+            b = b.filter(pa.array(seen == hits)).drop_columns(["places"])
+            i = b.schema.get_field_index("payload")
+            packed = pa.array([z.compress(x.encode()) for x in b.column(i).to_pylist()] if hits else b.column(i).cast(pa.binary()), pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if k == i else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+    return run
+
+
+def repeated_filter(keys: DataFrame, places, words: int = 1 << 17) -> np.ndarray:
+    """A Bloom filter of the keys that occur more than once: ``words`` numbers of 64 bits, whatever the
+    table's size (a fuller filter lets more single payloads travel, none is lost)."""
+    bits = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.explode(places).alias("at"))
+            .groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")))
+    out = np.zeros(words, np.int64)
+    for r in bits.collect():                                 # at most ``words`` rows
+        out[r["word"]] = r["bits"]
+    return out
 
 
 def _records(batches):
@@ -57,8 +77,10 @@ def _records(batches):
     z = zstandard.ZstdDecompressor()
     for b in batches:
         out = []
-        for page, url, packed, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "first_id"))):
-            payload = z.decompress(packed)
+        together = "first_id" in b.schema.names                # rows that came through the shuffle, compressed
+        firsts = b.column("first_id").to_pylist() if together else [None] * len(b)
+        for page, url, payload, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload")), firsts):
+            payload = z.decompress(payload) if together else payload
             html = payload.decode()
             revisit = page is not None and first is not None and first != page
             http = b"" if revisit else (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -86,15 +108,21 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> str
     responses and never referred to; rows repeating the winning page_id are responses too. Extra
     columns are ignored; an empty table writes an empty folder.
     """
+    spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                      payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("key"))
-    first = (p.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("key")
-             .agg(F.min("page_id").alias("first_id")))
-    packed = p.mapInArrow(_compressed, "page_id long, url string, payload binary, key binary")
-    (packed.join(first, "key", "left").select("page_id", "url", "payload", "first_id")
-      .mapInArrow(_records, "value string")
-      .write.option("lineSep", END).text(folder))
+    large, words = p.filter(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "key"), 1 << 17
+    places = F.array(*[F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(64 * words)) for seed in range(4)])
+    shared = spark.sparkContext.broadcast(repeated_filter(large, places, words))
+    first = large.groupBy("key").agg(F.min("page_id").alias("first_id"))
+    p = p.withColumn("places", places)
+    row = "page_id long, url string, payload binary, key binary"
+    again = p.mapInArrow(_compressed(shared, True), row)
+    again = again.join(first, "key", "left").select("page_id", "url", "payload", "first_id").mapInArrow(_records, "value string")
+    single = _compressed(shared, False)
+    once = p.mapInArrow(lambda batches: _records(single(batches)), "value string")
+    once.union(again).write.option("lineSep", END).text(folder)
     return folder
 
 
@@ -228,8 +256,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """file, offset, type, page_id, refers_to, payload_bytes, payload_digest, digest_ok of every record.
 
     Digests and sizes of responses are computed from the archive's bytes and compared with the header
-    (``digest_ok``); revisits carry the values of the payload they refer to. Candidates that are not
-    on the chain from the file's start are left out.
+    (``digest_ok``); revisits have no payload: they carry what their header says, and ``digest_ok`` is NULL.
+    Candidates that are not on the chain from the file's start are left out.
     """
     found = cut(_segments(spark, folder).mapInArrow(_candidates, _CANDIDATE))
     c = found.join(_base(found), ["file", "block"])
@@ -244,29 +272,47 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         Window.partitionBy("file").orderBy("at"))
     inner = cut(e.filter("at >= 0").select("file", "block", "seq", "at", owner.alias("o"))
              .filter("o.at IS NOT NULL AND NOT o.done").select("file", "block", "seq", "at", F.col("o.at").alias("own")))
-    text = _segments(spark, folder) if not inner.isEmpty() else _segments(spark, folder).limit(0)   # nothing to put together
-    text = text.mapInArrow(_numbered, "file string, block long, seq int, value string")
-    whole = (text.join(inner, ["file", "block", "seq"]).groupBy("file", "own")
-             .agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
-             .mapInArrow(_joined, "file string, own long, full_digest string, full_bytes long"))
-    r = e.filter("real").join(whole.withColumnRenamed("own", "at"), ["file", "at"], "left")
-    digest, size = F.coalesce("digest", "full_digest", "said_digest"), F.coalesce("payload_bytes", "full_bytes", "said_bytes")
-    return r.select("file", F.col("at").alias("offset"), "type", "page_id", "refers_to", size.alias("payload_bytes"),
-                    digest.alias("payload_digest"),
-                    (digest.eqNullSafe(F.col("said_digest")) & size.eqNullSafe(F.col("said_bytes"))).alias("digest_ok"))
-
-
-def _numbered(batches):
-    """Number the segments of every byte range in file order."""
-    now, seq = None, 0
+    if inner.isEmpty():                                      # nothing to put together
+        whole = spark.createDataFrame([], "file string, at long, full_digest string, full_bytes long")
+    else:
+        whole = _whole(spark, folder, inner)
+    r = e.filter("real").join(whole, ["file", "at"], "left")
+    response = F.col("type") == "response"
+    digest, size = F.coalesce("digest", "full_digest"), F.coalesce("payload_bytes", "full_bytes")
+    sound = digest.eqNullSafe(F.col("said_digest")) & size.eqNullSafe(F.col("said_bytes"))
+    return r.select("file", F.col("at").alias("offset"), "type", "page_id", "refers_to", F.when(response, size).otherwise(F.col("said_bytes")).alias("payload_bytes"),
+                    F.when(response, digest).otherwise(F.col("said_digest")).alias("payload_digest"), F.when(response, sound).alias("digest_ok"))
+
+
+def _whole(spark: SparkSession, folder: str, inner: DataFrame) -> DataFrame:
+    """file, at, digest and size of the records in several segments. The files concerned are read again; as
+    Spark may split them otherwise than before, segments are found by their offset in the file, which
+    is counted from that second reading (written to a table, so that it is one reading)."""
+    files = inner.select("file").distinct()
+    again = fresh_folder(spark, "warc-segments")
+    (_segments(spark, folder).join(files, "file", "left_semi").mapInArrow(_placed, "file string, block long, at long, bytes long, value string")
+     .write.option("compression", "zstd").parquet(again))
+    text = spark.read.parquet(again)
+    text = text.join(_base(text.select("file", "block", "bytes")), ["file", "block"]).select("file", (F.col("at") + F.col("base")).alias("at"), "value")
+    return (text.join(inner.select("file", "at", "own"), ["file", "at"]).groupBy("file", "own")
+            .agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
+            .mapInArrow(_joined, "file string, own long, full_digest string, full_bytes long").withColumnRenamed("own", "at"))
+
+
+def _placed(batches):
+    """Offset of every segment in its byte range."""
+    now, at = None, 0
     for b in batches:
-        n = []
-        for key in zip(b.column("file").to_pylist(), b.column("block").to_pylist()):
-            seq = seq + 1 if key == now else 0
-            now = key
-            n.append(seq)
-        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(n, pa.int32()), b.column("value")],
-                                         names=["file", "block", "seq", "value"])
+        rows = []
+        for file, block, value in zip(*(b.column(c).to_pylist() for c in ("file", "block", "value"))):
+            at = at if (file, block) == now else 0
+            now, size = (file, block), len(value.encode())
+            rows.append((file, block, at, size, value))
+            at += size + len(MAGIC)
+        yield from rows_table(rows, _PLACED).to_batches()
+
+
+_PLACED = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("bytes", pa.int64()), ("value", pa.string())])
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
