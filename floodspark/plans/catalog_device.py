@@ -3,12 +3,16 @@ batch twins."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import rules as R
 from ..operators import telemetry as TM
 from ..operators import windows as W
+from ..session import scratch_path
+from ..streaming import keyed as KY
 from ..streaming import telemetry as ST
 from . import bindings as B
 from . import oracle as O
@@ -121,6 +125,19 @@ def q_device_alerts(spark, sf):
 
 # ---- streaming jobs (run to completion over the available files, then read back) ------------
 
+LATENESS = "400 days"                    # a file of the ordered feed spans about a quarter of the table's seven years
+
+
+def _in_order(spark, sf, job, name, ends_after="1 second"):
+    """Run ``job`` (rows, lateness) over the telemetry as a feed of several files in event-time order."""
+    rows = B.telemetry(spark, sf)
+    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    files = KY.write_feed(rows, f"{base}/feed", LATENESS, ends_after)
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/feed")
+    out = KY.run(job(ST.decode(feed, wire=False), LATENESS), f"{base}/job")
+    return out.filter("NOT late").drop("late") if "late" in out.columns else out
+
+
 @query("stream_decode", TL + PW + "SELECT device_id, seq, " + ", ".join(f"round({c}, 9) AS {c}" for c in CAL_COLS) +
        ", temperature, humidity, pressure, power_mode FROM pw")
 def q_stream_decode(spark, sf):
@@ -131,8 +148,7 @@ def q_stream_decode(spark, sf):
 
 @query("stream_dedupe", TL + "SELECT DISTINCT device_id, ts FROM telemetry")
 def q_stream_dedupe(spark, sf):
-    out = ST.run_available(ST.dedupe(ST.decode(ST.source(spark, sf), wire=False)), "dedupe")
-    return out.select("device_id", "ts")
+    return _in_order(spark, sf, ST.dedupe, "dedupe").filter("device_id IS NOT NULL").select("device_id", "ts")
 
 
 @query("stream_rain_windows", TL + """, wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM cal),
@@ -141,7 +157,7 @@ x AS (SELECT device_id, date_trunc('hour', ts) - to_hours(k) AS window_start, pr
 SELECT device_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, round(sum(precipitation), 6) AS rain_sum, count(*) AS n
 FROM x, wm WHERE window_start + INTERVAL 24 HOUR <= wm.wm GROUP BY device_id, window_start""")
 def q_stream_rain_windows(spark, sf):
-    out = ST.run_rain_windows(ST.decode(ST.source(spark, sf), wire=False))
+    out = _in_order(spark, sf, KY.rain_windows, "rain_windows", ends_after="-1 hour")
     return out.select("device_id", "window_start", "window_end", r6("rain_sum").alias("rain_sum"), "n")
 
 
@@ -159,8 +175,7 @@ def q_stream_rain_windows_batch(spark, sf):
 
 @query("stream_history", TL + PW + HIST_SQL + "SELECT device_id, seq, " + ", ".join(f"round({c}, 9) AS {c}" for c in HIST_COLS) + " FROM h")
 def q_stream_history(spark, sf):
-    out, _ = ST.run_in_order(ST.decode(ST.source(spark, sf), wire=False), "history", ST.history, P.HISTORY_SIZE - 1)
-    return _hist_out(out)
+    return _hist_out(_in_order(spark, sf, KY.history, "history"))
 
 
 @query("stream_alerts", TL + PW + HIST_SQL + f""", s AS (SELECT *, round(precip_48h, 6) AS p48r FROM h)
@@ -170,12 +185,10 @@ SELECT device_id, seq, CASE WHEN p48r > 150 OR water_level > 4 OR water_rise_rat
       + CASE WHEN water_rise_rate > 0.05 THEN least(1.0, water_rise_rate / 0.3) * 0.25 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS flood_predicted,
   {O.alert_sql(O.risk_sql('p48r', 'water_level', 'water_rise_rate'))} AS alert_level FROM s""")
 def q_stream_alerts(spark, sf):
-    out, _ = ST.run_in_order(ST.decode(ST.source(spark, sf), wire=False), "alerts", ST.alerts, P.HISTORY_SIZE - 1)
-    return out.select("device_id", "seq", "flood_predicted", "alert_level")
+    return _in_order(spark, sf, KY.alerts, "alerts").select("device_id", "seq", "flood_predicted", "alert_level")
 
 
 @query("stream_mode_changes", TL + PW + """, t AS (SELECT device_id, seq, coalesce(lag(power_mode) OVER (PARTITION BY device_id ORDER BY ts, seq, seq2), 'NORMAL') AS old_mode,
   power_mode AS new_mode FROM pw) SELECT * FROM t WHERE old_mode <> new_mode""")
 def q_stream_mode_changes(spark, sf):
-    out, _ = ST.run_in_order(ST.decode(ST.source(spark, sf), wire=False), "mode_changes", ST.mode_changes, 1)
-    return out.select("device_id", "seq", "old_mode", "new_mode")
+    return _in_order(spark, sf, KY.mode_changes, "mode_changes").select("device_id", "seq", "old_mode", "new_mode")
