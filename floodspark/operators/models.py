@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..session import cut
 from . import metrics as M
+from .extra_trees import ExtraTreesClassifier
 
 WEIGHT = "_w"
 
@@ -38,10 +39,8 @@ def estimators(y: str = "y") -> dict:
         "random_forest": RandomForestClassifier(labelCol=y, featuresCol="features", weightCol=WEIGHT,
                                                 numTrees=trees, maxDepth=15, minInstancesPerNode=5,
                                                 featureSubsetStrategy="sqrt", seed=P.SEED, maxMemoryInMB=1024),
-        "extra_trees": RandomForestClassifier(labelCol=y, featuresCol="features", weightCol=WEIGHT,
-                                              numTrees=trees, maxDepth=15, minInstancesPerNode=5,
-                                              featureSubsetStrategy="sqrt", bootstrap=False, seed=P.SEED,
-                                              maxMemoryInMB=1024),
+        "extra_trees": ExtraTreesClassifier(labelCol=y, featuresCol="features", numTrees=trees, maxDepth=15, minSplit=10,
+                                            minInstancesPerNode=5, seed=P.SEED),
         "gradient_boosting": GBTClassifier(labelCol=y, featuresCol="features", maxIter=trees, maxDepth=6,
                                            stepSize=0.1, subsamplingRate=0.8, seed=P.SEED),
         "logistic_regression": LogisticRegression(labelCol=y, featuresCol="features", weightCol=WEIGHT,
