@@ -188,6 +188,12 @@ class _Shared(HasFeaturesCol, HasLabelCol, HasProbabilityCol, HasSeed):
     minSplit = Param(Params._dummy(), "minSplit", "least rows of a node that is divided", TypeConverters.toInt)
     minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "least rows of a child", TypeConverters.toInt)
 
+    def getNumTrees(self) -> int:
+        return self.getOrDefault(self.numTrees)
+
+    def getMaxDepth(self) -> int:
+        return self.getOrDefault(self.maxDepth)
+
 
 class ExtraTreesClassifier(Estimator, _Shared):
     """Binary extra-trees classifier on balanced class weights; see the module."""

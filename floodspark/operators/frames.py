@@ -7,12 +7,14 @@ is one task per station over the whole history.
 
 Here every row first gets its exact position inside its key (``row_index``) without a per-key task:
 
-1. the first order column (event time) is cut into coarse buckets whose width gives the hottest
-   key about ``bucketRows`` rows per bucket, so a hot key is spread over many (key, bucket) groups;
-2. rows are ranked inside their (key, bucket) group;
-3. a small table of (key, bucket) counts gives each bucket's offset inside the key (running sum
-   over at most keys x time span / bucket width rows);
-4. position = offset + rank.
+1. rows are range-partitioned by (key, time, tie-breaker) and sorted inside their partition; as the bounds are
+   drawn from all order columns, a key with a third of the rows, or a burst of them in one minute, is
+   spread over many partitions;
+2. the sorted rows are numbered inside their partition and written (a lineage cut);
+3. a small table of (key, partition) counts gives each part's offset inside the key;
+4. position = offset + number inside the part.
+
+There is one path, whatever the size of the data.
 
 ``framed`` then cuts each key into blocks of ``blockRows`` positions and copies the last ``lookback``
 rows of a block into the next block (a halo). Windows run per (key, block), so a task never holds
@@ -22,9 +24,8 @@ results equal the plain per-key window exactly.
 Unbounded prefixes (forward fill, running totals) use the same positions with a two-level scan:
 inside a block, then across the small per-block summary table.
 
-Settings (session conf): ``floodspark.frames.blockRows`` (default 1,048,576),
-``floodspark.frames.bucketRows`` (default 1,000,000; adaptive bucket width) or a fixed
-``floodspark.frames.bucketSeconds``.
+Setting (session conf): ``floodspark.frames.blockRows`` (default 1,048,576). The number of range
+partitions is the session's shuffle width.
 """
 
 from __future__ import annotations
@@ -34,13 +35,11 @@ from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import cut
 
 BLOCK_ROWS_CONF = "floodspark.frames.blockRows"
 DEFAULT_BLOCK_ROWS = 1 << 20
-BUCKET_SECONDS_CONF = "floodspark.frames.bucketSeconds"
-BUCKET_ROWS_CONF = "floodspark.frames.bucketRows"
-DEFAULT_BUCKET_ROWS = 1_000_000
 
 POS = "_pos"        # 0-based position of the row inside its key
 BLOCK = "_blk"      # block owning the row
@@ -61,76 +60,35 @@ def block_rows(df: DataFrame) -> int:
     return _conf_int(df, BLOCK_ROWS_CONF, DEFAULT_BLOCK_ROWS)
 
 
-def _order_value(df: DataFrame, col: str) -> Column:
-    """The first order column as a monotone number (micros for time, days for dates)."""
-    dt = df.schema[col].dataType
-    if isinstance(dt, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
-    if isinstance(dt, T.TimestampType):
-        return F.expr(f"unix_micros(`{col}`)")
-    if isinstance(dt, T.DateType):
-        return F.expr(f"unix_date(`{col}`)")
-    if isinstance(dt, T.NumericType):
-        return F.col(col).cast("double")
-    return F.lit(0)
-
-
-def _hot_estimate(df: DataFrame, keys: list[str], col: str):
-    """(rows, first, last) of the hottest key, estimated from a seeded 2 % sample (one small
-    aggregation). Only used to balance work: results never depend on it."""
-    frac = 0.02
-    v = _order_value(df, col)
-    hot = (df.sample(fraction=frac, seed=7).groupBy(*keys)
-           .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-           .orderBy(F.desc("n")).limit(1).first())          # one row
-    if hot is None or hot["hi"] is None:
-        return 0.0, None, None
-    return hot["n"] / frac, float(hot["lo"]), float(hot["hi"])
-
-
-def _bucket_width(df: DataFrame, keys: list[str], col: str, hot=None) -> float:
-    """Bucket width in order-value units.
-
-    Set explicitly with ``floodspark.frames.bucketSeconds``; otherwise adaptive: the width gives the
-    hottest key about ``floodspark.frames.bucketRows`` rows per bucket (so a key with a third of all
-    rows is spread over many tasks, while small inputs get one bucket per key)."""
-    dt = df.schema[col].dataType
-    unit = 1_000_000 if isinstance(dt, (T.TimestampNTZType, T.TimestampType)) else \
-        (1 / 86400 if isinstance(dt, T.DateType) else 1)
-    fixed = df.sparkSession.conf.get(BUCKET_SECONDS_CONF, None)
-    if fixed:
-        return float(fixed) * unit
-    target = _conf_int(df, BUCKET_ROWS_CONF, DEFAULT_BUCKET_ROWS)
-    n, lo, hi = hot if hot is not None else _hot_estimate(df, keys, col)
-    if lo is None or n <= target:
-        return float("inf")
-    return max(1.0, (hi - lo + 1.0) * target / n)
-
-
-def row_index(df: DataFrame, key, order: Sequence[str], pos: str = POS, hot=None) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[str], number: str = "_number") -> DataFrame:
+    """Rows range-partitioned and sorted by ``order``, written, with ``number``: it rises with the order, its
+    upper 31 bits are the partition and its lower 33 bits the place inside."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(d.withColumn(number, F.monotonically_increasing_id()))
+
+
+def row_index(df: DataFrame, key, order: Sequence[str], pos: str = POS) -> DataFrame:
     """Add ``pos``: the 0-based position of each row inside its key, in ``order``.
 
-    ``order`` must be a total order inside a key (add a tie-breaker column); its first column is
-    cut into coarse buckets (adaptive width, see ``_bucket_width``), so a hot key is spread over
-    many tasks. Position = rows of the key in earlier buckets (running
-    sum over the small (key, bucket) count table) + rank inside the bucket. Everything is
-    deterministic, so a recomputed task yields the same numbers.
+    ``order`` must be a total order inside a key (add a tie-breaker column). Position = rows of the key in earlier
+    partitions (running sum over the small (key, partition) count table) + place among the key's rows of the
+    partition. The numbered rows are materialised, so a recomputed task yields the same positions.
     """
     if pos in df.columns:        # already indexed upstream: reuse
         return df
     keys = _keys(key)
-    order = list(order)
-    width = _bucket_width(df, keys, order[0], hot)
-    if width == float("inf"):      # every key fits one bucket: a plain per-key rank
-        return df.withColumn(pos, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    b = df.withColumn("_bkt", F.floor(_order_value(df, order[0]) / F.lit(width)).cast("long"))
-    ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_bkt").orderBy(*order)) - 1)
-    # one row per (key, bucket): bounded by keys x time span / bucket width
-    stats = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    d = ranged(df, [*keys, *order]).withColumn("_bkt", F.shiftright("_number", 33))
+    # one row per (key, partition): at most keys + partitions rows
+    stats = d.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"), F.min("_number").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = ranked.join(stats, [*keys, "_bkt"])
-    return out.withColumn(pos, F.col("_off") + F.col("_r")).drop("_bkt", "_r", "_off")
+    names = [f"_key{i}" for i in range(len(keys))]
+    stats = stats.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_bkt").alias("_p"),
+                         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_bkt") == F.col("_p")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    out = d.join(stats, same).withColumn(pos, F.col("_shift") + F.col("_number"))
+    return out.drop("_number", "_bkt", "_p", "_shift", *names)
 
 
 def framed(df: DataFrame, key, order: Sequence[str], lookback: int) -> DataFrame:
@@ -163,15 +121,6 @@ def with_row_features(df: DataFrame, key, order: Sequence[str], specs: dict[str,
                       keep_position: bool = False) -> DataFrame:
     """Compute all ``specs`` in one framed pass (one shuffle for the range index, one for frames)."""
     lookback = max((s.lookback for s in specs.values()), default=0)
-    keys = _keys(key)
-    if POS not in df.columns:
-        hot = _hot_estimate(df, keys, list(order)[0])
-        if hot[0] * 1.5 <= block_rows(df):
-            # even the hottest key fits one block: plain per-key windows, each task bounded
-            w = Window.partitionBy(*keys).orderBy(*order)
-            d = df.select("*", *[s.build(w).alias(name) for name, s in specs.items()])
-            return d.withColumn(POS, F.row_number().over(w) - 1) if keep_position else d
-        df = row_index(df, key, order, hot=hot)
     d = framed(df, key, order, lookback)
     w = frame_window(key)
     d = d.select("*", *[s.build(w).alias(name) for name, s in specs.items()])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..session import cut
+from . import frames as FR
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -82,32 +83,26 @@ def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
 
 
-def ordered_prefix(df: DataFrame, order: str, cols: Sequence[str], buckets: int = 1024) -> DataFrame:
+def ordered_prefix(df: DataFrame, order: str, cols: Sequence[str]) -> DataFrame:
     """Add ``<c>_below``: sum of ``c`` over rows with a smaller ``order`` value (unique values).
 
-    Two-level scan: rows go to ``buckets`` range buckets whose bounds are approximate quantiles of
-    ``order`` (computed once, at most ``buckets - 1`` numbers, inlined as a literal array), so
-    bunched-up scores still spread evenly; per-bucket totals are accumulated over the small bucket
-    table, and the running sum inside each bucket is added. Exact whatever the bounds are."""
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(order, probs, 10 * buckets).alias("q")).first()
-    bounds = sorted(set(float(b) for b in (row["q"] or []) if b is not None))
-    arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    d = df.withColumn("_b", F.size(F.filter(arr, lambda b: b < F.col(order))))
+    Rows are range-partitioned by ``order``; the totals of the partitions are accumulated over the small table of
+    partitions, and the running sum inside each partition is added."""
+    d = FR.ranged(df, [order]).withColumn("_b", F.shiftright("_number", 33))
     tot = d.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # <= `buckets` rows
+    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
     tot = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    wi = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    wi = Window.partitionBy("_b").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)
     d = d.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_i_{c}") for c in cols])
     d = d.join(tot, ["_b"])
     for c in cols:
         d = d.withColumn(f"{c}_below", F.col(f"_o_{c}") + F.col(f"_i_{c}"))
-    return d.drop("_b", *[f"_{p}_{c}" for c in cols for p in ("o", "i")])
+    return d.drop("_b", "_number", *[f"_{p}_{c}" for c in cols for p in ("o", "i")])
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Area under the ROC curve with ties counted half (rank-sum form)."""
-    sc = ordered_prefix(cut(score_counts(df, y, score)), "s", ["neg"])
+    sc = ordered_prefix(score_counts(df, y, score), "s", ["neg"])
     agg = sc.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)).alias("_w"),
                  F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return agg.select(F.try_divide(F.col("_w"), F.col("_p") * F.col("_n")).alias("roc_auc"))

@@ -5,9 +5,11 @@ position. Class balance enters as a weight column (n / (2 n_class))."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import Imputer, RobustScaler, VectorAssembler
@@ -16,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions import rules as R
 from ..session import cut
 from . import metrics as M
 from .extra_trees import ExtraTreesClassifier
+from .resample import Resampler
 
 WEIGHT = "_w"
+ROWS_PER_TASK = 500_000                   # of a frame that is fitted on
 
 
 def with_balanced_weight(df: DataFrame, y: str = "y") -> DataFrame:
@@ -57,25 +62,50 @@ def small_tree(y: str = "y", depth: int = 8) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(labelCol=y, featuresCol="features", weightCol=WEIGHT, maxDepth=depth, seed=P.SEED)
 
 
-def pipeline(features: Sequence[str], estimator, scale: bool = True) -> Pipeline:
-    """Impute medians (fitted on train) -> assemble -> robust scale -> model."""
+def preparation(features: Sequence[str], scale: bool = True) -> list:
+    """Stages: impute medians (fitted on train) -> assemble -> robust scale."""
     imp = Imputer(inputCols=list(features), outputCols=[f"_i_{c}" for c in features], strategy="median")
     asm = VectorAssembler(inputCols=[f"_i_{c}" for c in features], outputCol="_raw" if scale else "features",
                           handleInvalid="keep")
     stages = [imp, asm]
     if scale:
         stages.append(RobustScaler(inputCol="_raw", outputCol="features", withCentering=True, withScaling=True))
-    return Pipeline(stages=stages + [estimator])
+    return stages
+
+
+def pipeline(features: Sequence[str], estimator, scale: bool = True) -> Pipeline:
+    return Pipeline(stages=preparation(features, scale) + [estimator])
+
+
+def penalised(estimator, rows: int):
+    """A logistic regression is penalised by 1 / sum of weights (the balanced weights sum to the number
+    of rows), so the penalty weighs alike at every size; other estimators stay as they are."""
+    if isinstance(estimator, LogisticRegression):
+        return estimator.copy({estimator.regParam: 1.0 / max(rows, 1)})
+    return estimator
 
 
 def fit(train: DataFrame, features: Sequence[str], estimator, y: str = "y") -> PipelineModel:
-    """Fit a pipeline on balanced weights. A logistic regression is penalised by 1 / sum of weights
-    (the balanced weights sum to the number of rows), so the penalty weighs alike at every size."""
+    """Fit a pipeline on balanced weights."""
     if isinstance(estimator, LogisticRegression):
-        estimator = estimator.copy({estimator.regParam: 1.0 / max(train.count(), 1)})
+        estimator = penalised(estimator, train.count())
     return pipeline(features, estimator).fit(with_balanced_weight(train, y))
 
 
+def prepare(train: DataFrame, features: Sequence[str], y: str = "y", strategy: str = "none", id_col: str = "id") -> tuple[PipelineModel, DataFrame]:
+    """The fitted stages before a classifier, balancing by ``strategy`` among them, and the rows a classifier learns
+    from (features, label, weight; written once, one task per core or more)."""
+    stages = preparation(features) + [Resampler(featuresCol="features", labelCol=y, idCol=id_col, strategy=strategy, seed=P.SEED)]
+    model, frame = [], train
+    for stage in stages:
+        model.append(stage.fit(frame) if isinstance(stage, Estimator) else stage)
+        frame = model[-1].transform(frame)
+    width = max(train.sparkSession.sparkContext.defaultParallelism, -(-frame.count() // ROWS_PER_TASK))
+    rows = cut(with_balanced_weight(frame.select(id_col, "features", y), y).repartition(width, id_col))
+    model[-1].release()
+    return PipelineModel(model), rows
+
+
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("id", "y")) -> DataFrame:
     """Probability of class 1; features the model knows but the frame lacks are filled with 0.0."""
     d = df
@@ -87,23 +117,57 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Se
                       vector_to_array("probability").getItem(1).alias("score"))
 
 
+def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], threshold: float, keep: Sequence[str] = ("id",)) -> DataFrame:
+    """``keep`` and probability, prediction, threshold, alert_level, confidence, failed of every row.
+
+    A feature that the frame lacks counts as 0. A row with a NULL, NaN or infinite feature cannot be predicted: it is given
+    out with ``failed``, probability 0, prediction 0, threshold 0.5, alert level 0 and confidence 0."""
+    usable = F.lit(True)
+    for c in features:
+        if c in df.columns:
+            x = F.col(c).cast("double")
+            usable = usable & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    d = score(model, df.withColumn("_usable", usable), features, [*keep, "_usable"])
+    p = F.when(F.col("_usable"), F.col("score")).otherwise(0.0)
+    d = d.select(*keep, "_usable", p.alias("probability"))
+    hit = F.col("_usable") & (F.col("probability") >= threshold)
+    return d.select(*keep, "probability", hit.cast("int").alias("prediction"), F.when(F.col("_usable"), F.lit(float(threshold))).otherwise(0.5).alias("threshold"),
+                    F.when(F.col("_usable"), R.alert_level("probability")).otherwise(0).cast("int").alias("alert_level"),
+                    F.when(F.col("_usable"), F.abs(F.col("probability") - 0.5) * 2).otherwise(0.0).alias("confidence"), (~F.col("_usable")).alias("failed"))
+
+
+FITS_AT_ONCE = 3
+
+
 def train_and_evaluate(train: DataFrame, valid: DataFrame, test: DataFrame, features: Sequence[str],
-                       y: str = "y", models: dict | None = None) -> DataFrame:
-    """Fit every model (an engine error ends the run) and tune its threshold on validation. One row per
+                       y: str = "y", models: dict | None = None, strategy: str = "none", id_col: str = "id") -> DataFrame:
+    """Prepare the training rows once (balanced by ``strategy``), fit every model on them, ``FITS_AT_ONCE`` at a time (an engine
+    error ends the run), and tune its threshold on validation. One row per
     model: test metrics at that threshold, ROC AUC and average precision on test, and ``selection_score``, by which the best model is chosen,
     from the validation rows; ``test_selection_score`` is the same score on the test rows."""
-    rows = None
-    for ordinal, (name, est) in enumerate((models or estimators(y)).items(), start=1):
-        model = fit(train, features, est, y)
+    before, rows = prepare(train, features, y, strategy, id_col)
+    n = rows.count()
+
+    def report(ordinal: int, name: str, est) -> DataFrame:
+        model = PipelineModel([*before.stages, penalised(est, n).fit(rows)])
         on_valid = cut(score(model, valid, features))
         thr = M.tuned_threshold(on_valid).first()["threshold"]
         at = (F.col("score") >= thr).cast("int")
         chosen_by = M.binary_metrics(on_valid.withColumn("pred", at)).select("selection_score").scalar()
         on_test = cut(score(model, test, features))
         r = M.binary_metrics(on_test.withColumn("pred", at))
-        r = r.withColumnRenamed("selection_score", "test_selection_score").select(
+        return cut(r.withColumnRenamed("selection_score", "test_selection_score").select(
             F.lit(ordinal).alias("ordinal"), F.lit(name).alias("model"), F.lit(thr).alias("threshold"), "*",
             chosen_by.alias("selection_score"), M.roc_auc(on_test).scalar().alias("roc_auc"),
-            M.average_precision(on_test).scalar().alias("average_precision"))
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
+            M.average_precision(on_test).scalar().alias("average_precision")))
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        jobs = [pool.submit(report, k, name, est) for k, (name, est) in enumerate((models or estimators(y)).items(), start=1)]
+        parts = [j.result() for j in jobs]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def small_tree_for(best: str, y: str = "y") -> DecisionTreeClassifier:
+    """The device's tree after the best model: depth 8 and leaves of 5 rows after a forest, else depth 6 and leaves of 8."""
+    forest = best in ("random_forest", "extra_trees")
+    return DecisionTreeClassifier(labelCol=y, featuresCol="features", weightCol=WEIGHT, maxDepth=8 if forest else 6,
+                                  minInstancesPerNode=5 if forest else 8, seed=P.SEED)

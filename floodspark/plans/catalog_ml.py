@@ -16,7 +16,7 @@ from ..operators import models as MD
 from ..operators import split as SP
 from ..operators import windows as W
 from ..operators import features as FE
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from . import bindings as B
 from . import oracle as O
 from .registry import query
@@ -87,7 +87,6 @@ def q_oversample_union(spark, sf):
 
 # ---- models on the labelled feature table -------------------------------------------------------
 
-ROWS_PER_TASK = 500_000                   # 20 doubles a row: about 100 MB
 ML_FEATURES = ["precipitation_mm", "temperature_c", "humidity_pct", "pressure_hpa", "wind_speed_kmh",
                "soil_moisture_pct", "nivel_metros", "taxa_subida_m_h", "hora", "dia_semana", "mes",
                "hora_sin", "hora_cos", "precip_24h", "precip_48h", "precip_72h",
@@ -105,10 +104,9 @@ def ml_table(spark, sf):
     d = LB.flood_label(d, B.reports(spark, sf))
     d = d.withColumnRenamed("seq", "id").withColumnRenamed("teve_enchente", "y")
     # materialised once in the shared checkpoint folder: the split, every fit and every score read it
-    from .pipelines import cut
     d = cut(d.select("id", "y", *ML_FEATURES))
     # every fit passes over the rows many times: one task per core, more where a task would get too many rows
-    width = max(spark.sparkContext.defaultParallelism, -(-d.count() // ROWS_PER_TASK))
+    width = max(spark.sparkContext.defaultParallelism, -(-d.count() // MD.ROWS_PER_TASK))
     return cut(SP.stratified_split(d, "y", "id").repartition(width, "id"))
 
 
@@ -148,24 +146,44 @@ def q_batch_score(spark, sf):
     return MD.score(loaded, test.drop("nivel_metros_diff"), ML_FEATURES)
 
 
+STRATEGY = "smote_tomek"
+
+
+def _parts(spark, sf):
+    """The labelled rows with their part: fit, valid or test."""
+    d = ml_table(spark, sf)
+    tv = SP.stratified_split(d.filter(F.col("split") == "train").drop("split"), "y", "id", out="split2")
+    part = F.when(F.col("split2") == "train", "fit").otherwise("valid")
+    return cut(tv.withColumn("part", part).drop("split2").unionByName(d.filter(F.col("split") == "test").withColumn("part", F.lit("test")).drop("split")))
+
+
+def _run(d):
+    fit_part, valid, test = (d.filter(F.col("part") == p) for p in ("fit", "valid", "test"))
+    return MD.train_and_evaluate(fit_part, valid, test, ML_FEATURES, "y", strategy=STRATEGY)
+
+
 @query("training_report")
 def q_training_report(spark, sf):
-    """Fit all models, tune thresholds on a validation split, report test metrics per model."""
-    d = ml_table(spark, sf)
-    train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
-    tv = SP.stratified_split(train.drop("split"), "y", "id", out="split2")
-    fit_part, valid = tv.filter(F.col("split2") == "train"), tv.filter(F.col("split2") == "test")
-    return MD.train_and_evaluate(fit_part, valid, test, ML_FEATURES, "y")
+    """Balance the fit part, fit all models, tune thresholds on a validation split, report test metrics per model."""
+    return _run(_parts(spark, sf))
 
 
 @query("training_report_json")
 def q_training_report_json(spark, sf):
-    """The training run record as one JSON document (best model, threshold, per-model metrics),
-    written as a JSON sink and read back."""
+    """The record of a training run as one JSON document (best model, threshold, per-model metrics, class distribution,
+    sample counts, features, strategy), written as a JSON sink and read back."""
     from ..sources import tables as TB
-    from .pipelines import training_report_json
-    from .pipelines import cut
-    report = cut(q_training_report(spark, sf))
+    from .pipelines import training_counts, training_report_json
+    d = _parts(spark, sf)
+    report = cut(_run(d))
     folder = scratch_path(spark, f"training/{uuid.uuid4().hex[:12]}")
-    TB.write_json(training_report_json(report), folder)
+    TB.write_json(training_report_json(report, training_counts(d), ML_FEATURES, STRATEGY), folder)
     return spark.read.schema("json string").json(folder)
+
+
+@query("batch_predict")
+def q_batch_predict(spark, sf):
+    """Predictions by the decision tree at 0.35, rows without usable features given out as failed."""
+    d = ml_table(spark, sf)
+    model = MD.fit(d.filter(F.col("split") == "train"), ML_FEATURES, MD.estimators("y")["decision_tree"], "y")
+    return MD.predict(model, d.filter(F.col("split") == "test"), ML_FEATURES, 0.35)

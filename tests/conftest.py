@@ -10,14 +10,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from floodspark.session import build_session
     s = build_session("local[4]", app="floodspark-tests", shuffle_partitions=4,
-                      extra={"floodspark.frames.blockRows": "7", "floodspark.frames.bucketSeconds": "600"})
+                      extra={"floodspark.frames.blockRows": "7"})
     yield s
     s.stop()
 
 
 @pytest.fixture()
 def small_blocks(spark):
-    """Tiny frame blocks and buckets so the halo and two-level scans are exercised."""
+    """Tiny frame blocks, so that the halo and two-level scans are exercised."""
     old_b = spark.conf.get("floodspark.frames.blockRows", None)
     spark.conf.set("floodspark.frames.blockRows", "5")
     yield spark

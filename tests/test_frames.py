@@ -85,17 +85,29 @@ def test_position_and_count(small_blocks):
     assert (m.pos == m.pos_e).all() and (m.n == m.n_e).all()
 
 
-def test_row_index_adaptive_buckets(spark):
-    """No fixed bucket width: the hottest key gets ~bucketRows rows per bucket; positions stay exact."""
-    old = spark.conf.get("floodspark.frames.bucketSeconds", None)
-    spark.conf.unset("floodspark.frames.bucketSeconds")
-    spark.conf.set("floodspark.frames.bucketRows", "20")
+def test_positions_in_a_burst(spark):
+    """90 % of the rows of one key within a minute, ties by the minute: positions stay exact and parts stay even."""
+    pdf = _data(3000)
+    pdf.loc[pdf.index % 10 != 0, "location"] = "hot"
+    pdf.loc[pdf.index % 10 != 0, "datetime"] = dt.datetime(2024, 1, 2)
+    d = _sdf(spark, pdf)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # else these few rows are one part
     try:
-        pdf = _data()
-        got = FR.row_index(_sdf(spark, pdf), "location", ["datetime", "seq"]).toPandas()
-        exp = _ref(pdf).apply(lambda g: g.assign(_pos=np.arange(len(g))))
-        m = got.merge(exp[["seq", "_pos"]], on="seq", suffixes=("", "_e"))
-        assert len(m) == len(pdf) and (m["_pos"] == m["_pos_e"]).all()
+        _burst(spark, pdf, d)
     finally:
-        spark.conf.set("floodspark.frames.bucketSeconds", old or "600")
-        spark.conf.unset("floodspark.frames.bucketRows")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def _burst(spark, pdf, d):
+    parts = FR.ranged(d, ["location", "datetime", "seq"]).selectExpr("shiftright(_number, 33) AS p").groupBy("p").count().toPandas()["count"]
+    assert len(parts) > 1 and parts.max() < 2 * len(pdf) / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = FR.row_index(d, "location", ["datetime", "seq"]).toPandas()
+    exp = _ref(pdf).apply(lambda g: g.assign(_pos=np.arange(len(g))))
+    m = got.merge(exp[["seq", "_pos"]], on="seq", suffixes=("", "_e"))
+    assert len(m) == len(pdf) and (m["_pos"] == m["_pos_e"]).all()
+
+
+def test_row_index_of_null_keys_and_nothing(spark):
+    d = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "location string, seq long")
+    assert sorted((r.seq, r._pos) for r in FR.row_index(d, "location", ["seq"]).collect()) == [(1, 0), (2, 1), (5, 0)]
+    assert FR.row_index(d.limit(0), "location", ["seq"]).count() == 0

@@ -48,8 +48,8 @@ def test_quantiles_exact(spark):
     pdf, df = _scores(spark, n=501)
     for q in (0.25, 0.5, 0.75):
         assert SC.quantile(df, "score", q) == pytest.approx(float(np.quantile(pdf.score, q)))
-    assert SC.kth_smallest(df, "score", 0, final_rows=10) == pdf.score.min()
-    assert SC.kth_smallest(df, "score", 250, final_rows=10, bins=4) == np.sort(pdf.score)[250]
+    assert SC.kth_smallest(df, "score", 0) == pdf.score.min()
+    assert SC.kth_smallest(df, "score", 250) == np.sort(pdf.score)[250]
 
 
 def test_stratified_split_shares(spark):

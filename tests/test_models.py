@@ -58,3 +58,33 @@ def test_best_model_is_chosen_on_validation(parts):
             assert r[column] == pytest.approx(M.binary_metrics(scored).first()["selection_score"])
     best = max(rows, key=lambda r: (r.selection_score, -r.ordinal)).model
     assert f'"best_model":"{best}"' in training_report_json(report).first()["json"]
+
+
+def test_resampling_happens_at_fit_time_only(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from floodspark.operators.resample import Resampler
+    rng = random.Random(1)
+    d = spark.createDataFrame([(i, int(i % 10 == 0), rng.gauss(3 * (i % 10 == 0), 1), rng.gauss(0, 1)) for i in range(400)], "id long, y int, a double, b double")
+    tree = MD.DecisionTreeClassifier(labelCol="y", maxDepth=3)
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), Resampler(strategy="smote"), tree]).fit(d)
+    assert model.stages[-1]._call_java("toDebugString")
+    assert model.transform(d.filter("id < 50")).count() == 50              # other rows pass unchanged
+    model.write().overwrite().save(f"{tmp_path}/m")
+    again = PipelineModel.load(f"{tmp_path}/m")
+    assert again.transform(d).count() == 400 and "synthetic" not in again.transform(d).columns
+    before, rows = MD.prepare(d, ["a", "b"], strategy="smote")
+    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    assert n == {0: 360, 1: 360} and before.transform(d).count() == 400
+
+
+def test_prediction_failures_and_small_tree(parts):
+    model = MD.fit(parts[0], FEATURES, MD.estimators()["decision_tree"])
+    rows = MD.predict(model, parts[1], FEATURES, 0.35).collect()
+    bad = {r.id for r in parts[1].filter("c IS NULL").collect()}
+    assert bad and {r.id for r in rows if r.failed} == bad
+    assert {(r.probability, r.prediction, r.threshold, r.alert_level, r.confidence) for r in rows if r.failed} == {(0.0, 0, 0.5, 0, 0.0)}
+    assert all(r.prediction == (r.probability >= 0.35) and r.confidence == pytest.approx(2 * abs(r.probability - 0.5)) for r in rows if not r.failed)
+    assert len(MD.predict(model, parts[1].drop("c"), FEATURES, 0.35).filter("failed").collect()) == 0
+    assert [MD.small_tree_for(m).getMaxDepth() for m in ("random_forest", "extra_trees", "gradient_boosting")] == [8, 8, 6]

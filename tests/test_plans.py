@@ -41,19 +41,19 @@ def test_filter_pushed_to_scan(spark):
     assert "PushedFilters: [IsNotNull(value)]" in _plan(spark, "outlier_filter")
 
 
-def test_window_path_choice(spark):
-    """Small keys: plain per-key windows (no frame column); tiny blocks: the halo frames."""
+def test_one_window_path(spark):
+    """Halo frames at every block size, with equal rows."""
     from floodspark.operators import frames as FR
     from floodspark.plans import bindings as B
     r = B.readings(spark, SF0001)
     old = spark.conf.get("floodspark.frames.blockRows")
+    rows = []
     try:
-        spark.conf.set("floodspark.frames.blockRows", "1000000")
-        plain = FR.with_row_features(r, "location", ["datetime", "seq"], {"s": FR.rolling_sum("precipitation_mm", 3)})
-        assert "_frame" not in plain._jdf.queryExecution().executedPlan().toString()
-        spark.conf.set("floodspark.frames.blockRows", "5")
-        framed = FR.with_row_features(r, "location", ["datetime", "seq"], {"s": FR.rolling_sum("precipitation_mm", 3)})
-        assert "_frame" in framed._jdf.queryExecution().executedPlan().toString()
-        assert sorted(plain.collect()) == sorted(framed.collect())
+        for size in ("1000000", "5"):
+            spark.conf.set("floodspark.frames.blockRows", size)
+            d = FR.with_row_features(r, "location", ["datetime", "seq"], {"s": FR.rolling_sum("precipitation_mm", 3)})
+            assert "_frame" in d._jdf.queryExecution().executedPlan().toString()
+            rows.append(sorted(d.collect()))
     finally:
         spark.conf.set("floodspark.frames.blockRows", old)
+    assert rows[0] == rows[1]
