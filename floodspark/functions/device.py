@@ -105,3 +105,8 @@ def cold_start(col_values: dict[str, Column] | None = None) -> dict[str, Column]
     out["precip_24h"] = F.col("precipitation_mm") * 24
     out["precip_48h"] = F.col("precipitation_mm") * 24 * 2
     return out
+
+
+def with_cold_start(df):
+    """The estimates where a frame lacks a window feature or has no value for it yet; other values stay."""
+    return df.withColumns({n: F.coalesce(F.col(n), c) if n in df.columns else c for n, c in cold_start().items()})

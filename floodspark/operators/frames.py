@@ -200,6 +200,23 @@ def fill_forward_backward(df: DataFrame, key, order: Sequence[str], cols: Sequen
     return d.drop(BLOCK, POS, *helpers)
 
 
+def last_known(df: DataFrame, key, order: Sequence[str], col: str, out: str) -> DataFrame:
+    """Per key: the last non-NULL value of ``col`` up to and with the row, NULL before the first. Two-level scan."""
+    keys = _keys(key)
+    d = _blocked(df, key, order)
+    past = Window.partitionBy(*keys, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (key, block)
+    summ = d.groupBy(*keys, BLOCK).agg(F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(POS))).alias("_l"))
+    names = [f"_key{i}" for i in range(len(keys))]
+    summ = summ.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(BLOCK).alias("_b"), F.last("_l", True).over(before).alias("_c"))
+    same = F.col(BLOCK) == F.col("_b")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    d = d.withColumn(out, F.last(col, True).over(past)).join(summ, same)
+    return d.withColumn(out, F.coalesce(F.col(out), F.col("_c"))).drop("_b", "_c", BLOCK, POS, *names)
+
+
 def floored_running_total(df: DataFrame, key, order: Sequence[str], change: str, start: Column | str,
                           floor: float, out: str, keep_position: bool = False) -> DataFrame:
     """L_i = max(floor, L_{i-1} + change_i) with L_0 = start, without a row loop.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from . import frames as FR
 
 
 def station_dim(spark) -> DataFrame:
@@ -69,3 +70,21 @@ def step_asof(df: DataFrame, value: str, steps: Sequence[tuple[int, str]] = P.PR
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
     first = sorted(steps, key=lambda s: s[0])[0][1]
     return df.withColumn(out, expr.otherwise(first))
+
+
+def asof_join(df: DataFrame, steps: DataFrame, time: str, values: Sequence[str], key: Sequence[str] | str = (), tie: str = "seq") -> DataFrame:
+    """df plus ``values`` of the last step at or before each row's ``time`` (of the same ``key``, which may be NULL).
+
+    ``steps`` has the key, ``time``, ``tie`` and the values. Of steps at one time the one with the greatest ``tie`` holds; a step's NULL
+    value holds like any other; rows before the first step get NULL; steps without a time are left out, and rows without one get NULL.
+    Rows and steps are merged in order and the last step is carried forward on the skew-safe frames, so no key is brought into
+    one task. ``tie`` must tell the rows of one time apart.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    one = [] if key else [F.lit(0).alias("_all")]
+    keys = key or ["_all"]
+    found = steps.filter(F.col(time).isNotNull()).select(*key, *one, time, F.col(tie).alias("_tie"), F.lit(0).alias("_kind"), F.struct(*values).alias("_step"))
+    rows = df.select("*", *one, F.col(tie).alias("_tie"), F.lit(1).alias("_kind"), F.lit(None).cast(found.schema["_step"].dataType).alias("_step"))
+    both = rows.unionByName(found, allowMissingColumns=True)
+    d = FR.last_known(both, keys, [time, "_kind", "_tie"], "_step", "_held").filter("_kind = 1")
+    return d.select(*df.columns, *[F.col(f"_held.{v}").alias(v) for v in values])

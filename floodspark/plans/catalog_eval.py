@@ -393,3 +393,38 @@ def q_step_asof(spark, sf):
 def q_cold_start_features(spark, sf):
     r = B.readings(spark, sf)
     return r.select("seq", *[r6(c).alias(n) for n, c in DV.cold_start().items()])
+
+
+def _full(fn, col, n):
+    return f"CASE WHEN count({col}) {O.rows(n)} = {n} THEN {fn}({col}) {O.rows(n)} END"
+
+
+def _diff(col):
+    return f"{col} - lag({col}) {O.w()}"
+
+
+WARM = {"precipitation_mm_ma_12h": _full("avg", "precipitation_mm", 12), "nivel_metros_ma_12h": _full("avg", "nivel_metros", 12),
+        "precipitation_mm_ma_24h": _full("avg", "precipitation_mm", 24), "nivel_metros_ma_24h": _full("avg", "nivel_metros", 24),
+        "precipitation_mm_std_12h": _full("stddev_samp", "precipitation_mm", 12), "nivel_metros_std_12h": _full("stddev_samp", "nivel_metros", 12),
+        "precipitation_mm_diff": _diff("precipitation_mm"), "nivel_metros_diff": _diff("nivel_metros"), "aceleracao_nivel": _diff("taxa_subida_m_h"),
+        "precip_24h": f"sum(precipitation_mm) {O.rows(24)}", "precip_48h": f"sum(precipitation_mm) {O.rows(48)}"}
+COLD = {n: f"{src} * {f}" for n, src, f in P.COLD_START} | {"precip_24h": "precipitation_mm * 24", "precip_48h": "precipitation_mm * 24 * 2"}
+
+
+@query("cold_start_filled", RD + "SELECT seq, " + ", ".join(f"round(coalesce({WARM[n]}, {COLD[n]}), 6) AS {n}" for n in WARM)
+       + ", round((pressure_hpa - 1013.25) / 50.0, 6) AS pressao_normalizada FROM readings")
+def q_cold_start_filled(spark, sf):
+    """Window features, estimated from the reading where there is no history yet."""
+    d = W.with_windows(B.readings(spark, sf), {k: v for k, v in W.feature_window_specs(B.readings(spark, sf).columns).items() if k in WARM})
+    return DV.with_cold_start(d).select("seq", *[r6(n).alias(n) for n in [*WARM, "pressao_normalizada"]])
+
+
+@query("asof_table", RD + """, s AS (SELECT location, datetime, seq, nivel_metros / 2 AS threshold FROM readings WHERE precipitation_mm IS NULL),
+u AS (SELECT location, datetime, seq, 1 AS kind, CAST(NULL AS DOUBLE) AS threshold FROM readings UNION ALL SELECT location, datetime, seq, 0, threshold FROM s)
+SELECT seq, threshold FROM (SELECT seq, kind, round(last_value(threshold IGNORE NULLS) OVER (PARTITION BY location ORDER BY datetime, kind, seq
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS threshold FROM u) WHERE kind = 1""")
+def q_asof_table(spark, sf):
+    """As-of lookup in a table of steps: each gap in a station's rain sets its warning threshold until the next."""
+    r = B.readings(spark, sf)
+    steps = r.filter("precipitation_mm IS NULL").select("location", "datetime", "seq", (F.col("nivel_metros") / 2).alias("threshold"))
+    return J.asof_join(r, steps, "datetime", ["threshold"], "location").select("seq", r6("threshold").alias("threshold"))
