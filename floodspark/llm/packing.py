@@ -27,28 +27,53 @@ from pyspark.sql import functions as F
 from .common import cut, parallelism, release
 from .text import Words, flat, slices
 
-CACHE_BYTES = 32 << 20                    # bound of a task's cache of words already tokenised
+CACHE_BYTES = 64 << 20                    # bound of a task's cache of words already tokenised
+_FOUR = [struct.Struct(f"<{n}I").pack for n in range(16)]      # ids as little-endian 32-bit bytes
 _ENTRY = 170                              # bytes of an entry besides its key's and value's own
 
 
 class Known(dict):
-    """A cache of byte strings bounded in bytes: unknown keys are worked out by ``learn``; when it is
-    full, the older half goes. It belongs to a task and ends with it."""
+    """A cache of byte strings bounded in bytes, in two generations: unknown keys are worked out by ``learn``; when
+    the young generation has half of the bound it becomes the old one, and what is asked for again moves back, so
+    frequent keys stay. It belongs to a task and ends with it."""
 
     def __init__(self, learn, bound: int = CACHE_BYTES):
         super().__init__()
-        self.learn, self.bound, self.size = learn, bound, 0
+        self.learn, self.bound, self.size, self.old = learn, bound, 0, {}
 
     def __missing__(self, key):
-        value = self.learn(key)
+        value = self.old.get(key)
+        value = self.learn(key) if value is None else value
         self.put(key, value)
         return value
 
+    def many(self, keys: list[bytes]) -> list:
+        """The values of many keys; the bound is looked at once."""
+        got = list(map(self.get, keys))
+        new, old, learn = {}, self.old.get, self.learn
+        for i, value in enumerate(got):
+            if value is None:
+                key = keys[i]
+                value = old(key)
+                new[key] = got[i] = learn(key) if value is None else value
+        self.update(new)
+        self.size += _ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+        if 2 * self.size > self.bound:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        return got
+
+    def find(self, key):
+        """What is known of the key, or None."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
     def put(self, key: bytes, value) -> None:
-        if self.size > self.bound:
-            for old in list(self)[:len(self) // 2 + 1]:
-                del self[old]
-            self.size //= 2
+        if 2 * self.size > self.bound:
+            self.old, self.size = dict(self), 0
+            self.clear()
         self[key] = value
         self.size += _ENTRY + len(key) + len(value)
 
@@ -86,13 +111,15 @@ class WordTokens:
     def _part(self, pre_token: str) -> bytes:
         raw = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(raw)] if raw else []
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _FOUR[len(ids)](*ids) if len(ids) < len(_FOUR) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, word: bytes) -> bytes:
         s = word.decode()
         m = self.plain.fullmatch(s)
-        if m and (m[1] + m[1].lower()).isalpha() and "Σ" not in s and (s.isascii() or unicodedata.is_normalized("NFC", s)):
-            return self._part(m[1].lower()) + self.marks[m[2]]
+        if m:
+            letters, marks = m.groups()
+            if s.isascii() or (letters + letters.lower()).isalpha() and "Σ" not in s and unicodedata.is_normalized("NFC", s):
+                return self._part(letters.lower()) + self.marks[marks] if marks else self._part(letters.lower())
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
     def texts(self, column: pa.Array) -> list[bytes]:
@@ -113,7 +140,7 @@ def distinct_words(w: Words, known: Known) -> tuple[list, np.ndarray]:
     """(what is known of every distinct word, which of them each word is)."""
     _, index, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
     raw = w.data.tobytes()
-    return [known[raw[x:y]] for x, y in zip(w.start[index].tolist(), w.end[index].tolist())], inverse
+    return known.many([raw[x:y] for x, y in zip(w.start[index].tolist(), w.end[index].tolist())]), inverse
 
 
 @lru_cache(maxsize=2)

@@ -100,7 +100,7 @@ class Counter:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """(tokens, score) of every word."""
-        got = list(map(self.known.get, words))
+        got = list(map(self.known.find, words))
         new = sorted((words[i].decode(), i) for i, x in enumerate(got) if x is None)
         for (_, i), value in zip(new, count_words(["\u2581" + w for w, _ in new], self.root)):
             got[i] = value

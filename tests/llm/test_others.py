@@ -226,3 +226,18 @@ def test_warc_empty_and_least_size(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "b" * 20), (4, "u", "b" * 20)], "page_id long, url string, html string")
     got = read_warc(spark, write_warc(pages, f"{tmp_path}/w", min_revisit_bytes=10))
     assert {r.page_id: (r.type, r.refers_to) for r in got.collect()} == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
+
+
+def test_cache_of_words_is_bounded_and_keeps_what_is_asked_for():
+    from floodspark.llm.packing import Known
+    learnt = Counter()
+
+    def learn(key):
+        learnt[key] += 1
+        return key * 2
+    known = Known(learn, 20_000)
+    for i in range(3000):
+        for key in (b"often", str(i).encode()):
+            assert known[key] == key * 2
+        assert len(known) + len(known.old) < 150
+    assert learnt[b"often"] == 1 and known.find(b"0") is None and known.find(b"often") == b"oftenoften"
