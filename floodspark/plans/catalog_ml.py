@@ -1,5 +1,5 @@
-"""Catalog part 4: exact neighbours, Tomek links, edited neighbours (SQL-checked by brute force),
-the SMOTE family and the models (rows-only: their invariants are tested in tests/)."""
+"""Catalog part 4: exact neighbours, Tomek links, edited neighbours and the SMOTE family (SQL-checked by
+brute force), the models (rows-only: their invariants are tested in tests/)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import uuid
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from .. import params as P
 from ..operators import balance as BL
 from ..operators import frames as FR
 from ..operators import knn as KN
@@ -45,44 +46,96 @@ def q_enn_filter(spark, sf):
     return BL.enn_drop(B.vectors(spark, sf))
 
 
-def _vec(spark, sf):
-    return B.vectors(spark, sf)
+def _hash(*cols: str, seed: int = P.SEED) -> str:
+    text = "concat_ws(':', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + f", '{seed}')"
+    return f"CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT)"
 
 
-@query("repeat_minority")
+COMPONENTS = 64
+
+
+def _wide(df):
+    """The rows as a training set: one column per feature."""
+    return df.select("id", "y", "synthetic", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(COMPONENTS)])
+
+
+WIDE = "id, y, synthetic, " + ", ".join(f"features[{i + 1}] AS f{i}" for i in range(COMPONENTS))
+
+
+def _neighbours(name: str, queries: str, points: str, k: str) -> str:
+    """CTE (id, nn_id, nn_y, nf, rank, d2): the k nearest points of every query."""
+    return f"""{name} AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY id ORDER BY d2, nn_id) AS rank
+  FROM (SELECT a.id, b.id AS nn_id, b.y AS nn_y, b.features AS nf, {D2} AS d2 FROM {queries} a JOIN {points} b ON a.id <> b.id) p) WHERE rank <= {k})"""
+
+
+def _ranked(source: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {_hash('id')}, id) - 1 AS pos FROM {source}"
+
+
+def _evenly(source: str) -> str:
+    """Seeds with their copies: the new rows spread evenly, the remainder to the first in hash order."""
+    return f"""s AS (SELECT s.*, n_new // n + CASE WHEN pos < n_new % n THEN 1 ELSE 0 END AS copies, (n_new + n - 1) // n AS most
+  FROM ({_ranked(source)}) s, (SELECT count(*) AS n FROM {source}), c)"""
+
+
+START = O.with_(O.VECTORS) + """, mino AS (SELECT * FROM vectors WHERE y = 1),
+c AS (SELECT count(*) FILTER (WHERE y = 1) AS n_min, count(*) FILTER (WHERE y <> 1) - count(*) FILTER (WHERE y = 1) AS n_new FROM vectors)"""
+K = f"(SELECT least({P.SMOTE_K}, n_min - 1) FROM c)"
+SYNTH = f"""{_neighbours('mnn', 's', 'mino', K)},
+j AS (SELECT s.id, s.features, s.pos, s.most, unnest(range(s.copies)) AS j FROM s WHERE s.copies > 0),
+pick AS (SELECT j.*, least({_hash('j.id', 'j.j')} % {K} + 1, m.kmax) AS rank, {_hash('j.id', 'j.j', seed=P.SEED + 1)} / 4503599627370496.0::DOUBLE AS gap
+  FROM j JOIN (SELECT id, max(rank) AS kmax FROM mnn GROUP BY id) m ON m.id = j.id),
+syn AS (SELECT -(p.pos * p.most + p.j) - 1 AS id, list_transform(range(1, len(p.features) + 1), lambda i: p.features[i] + p.gap * (n.nf[i] - p.features[i])) AS features,
+  1 AS y, true AS synthetic FROM pick p JOIN mnn n ON n.id = p.id AND n.rank = p.rank),
+bal AS (SELECT id, features, y, false AS synthetic FROM vectors UNION ALL SELECT * FROM syn)"""
+SMOTE_SQL = f"{START}, {_evenly('mino')}, {SYNTH}"
+TOMEK = f""", {_neighbours('n1', 'bal', 'bal', '1')}, l AS (SELECT a.id, a.nn_id, x.y, a.nn_y FROM n1 a JOIN n1 b ON a.nn_id = b.id AND b.nn_id = a.id JOIN bal x ON x.id = a.id)
+SELECT {WIDE} FROM bal WHERE id NOT IN (SELECT id FROM l WHERE y <> nn_y UNION SELECT nn_id FROM l WHERE y <> nn_y)"""
+
+
+@query("repeat_minority", f"""{START}, r AS ({_ranked('mino')}),
+draws AS (SELECT range AS draw, {_hash('range')} % (SELECT n_min FROM c) AS pos FROM range((SELECT CAST(least(greatest(n_new, 0), 3 * n_min) AS BIGINT) FROM c))),
+bal AS (SELECT id, features, y, false AS synthetic FROM vectors UNION ALL SELECT -draw - 1, r.features, r.y, true FROM draws JOIN r USING (pos))
+SELECT {WIDE} FROM bal""")
 def q_repeat_minority(spark, sf):
-    return BL.repeat_minority(_vec(spark, sf))
+    return _wide(BL.repeat_minority(B.vectors(spark, sf)))
 
 
-@query("smote")
+@query("smote", f"{SMOTE_SQL} SELECT {WIDE} FROM bal")
 def q_smote(spark, sf):
-    return BL.smote(_vec(spark, sf))
+    return _wide(BL.smote(B.vectors(spark, sf)))
 
 
-@query("adasyn")
+@query("adasyn", f"""{START}, {_neighbours('near', 'mino', 'vectors', str(P.SMOTE_K))},
+share AS (SELECT id, count(*) FILTER (WHERE nn_y <> 1) AS r FROM near GROUP BY id),
+s AS (SELECT m.*, CAST(round_even(h.r * n_new / (SELECT CAST(sum(r) AS DOUBLE) FROM share), 0) AS BIGINT) AS copies, n_new + 1 AS most
+  FROM ({_ranked('mino')}) m JOIN share h USING (id), c), {SYNTH} SELECT {WIDE} FROM bal""")
 def q_adasyn(spark, sf):
-    return BL.adasyn(_vec(spark, sf))
+    return _wide(BL.adasyn(B.vectors(spark, sf)))
 
 
-@query("smote_tomek")
+@query("smote_tomek", SMOTE_SQL + TOMEK)
 def q_smote_tomek(spark, sf):
-    return BL.smote_tomek(_vec(spark, sf))
+    return _wide(BL.smote_tomek(B.vectors(spark, sf)))
 
 
-@query("smote_enn")
+@query("smote_enn", f"""{SMOTE_SQL}, {_neighbours('n3', 'bal', 'bal', '3')}
+SELECT {WIDE} FROM bal WHERE id NOT IN (SELECT n3.id FROM n3 JOIN bal x ON x.id = n3.id WHERE x.y <> n3.nn_y)""")
 def q_smote_enn(spark, sf):
-    return BL.smote_enn(_vec(spark, sf))
+    return _wide(BL.smote_enn(B.vectors(spark, sf)))
 
 
-@query("borderline_smote")
+@query("borderline_smote", f"""{START}, {_neighbours('near', 'mino', 'vectors', '10')},
+danger AS (SELECT m.* FROM mino m JOIN (SELECT id, count(*) FILTER (WHERE nn_y <> 1) AS maj, count(*) AS n FROM near GROUP BY id) d USING (id)
+  WHERE maj * 2 >= n AND maj < n), {_evenly('danger')}, {SYNTH} SELECT {WIDE} FROM bal""")
 def q_borderline_smote(spark, sf):
-    return BL.borderline_smote(_vec(spark, sf))
+    return _wide(BL.borderline_smote(B.vectors(spark, sf)))
 
 
-@query("oversample_union")
+@query("oversample_union", SMOTE_SQL + TOMEK)
 def q_oversample_union(spark, sf):
     """The balanced training set chosen by the driver-side rule (default strategy)."""
-    return BL.balance(_vec(spark, sf), "smote_tomek")
+    return _wide(BL.balance(B.vectors(spark, sf), "smote_tomek"))
 
 
 # ---- models on the labelled feature table -------------------------------------------------------
