@@ -23,11 +23,12 @@ from pyspark.sql import types as T
 
 from .common import cut
 from .exchange import PACKED, Presence, answers_of, chunked, groups_of, merge, pack_rows, with_answers
-from .text import Words, flat, ids_of, mix, prefix, run_hash, slices, _powers
+from .text import Words, check_powers, flat, ids_of, mix, prefix, run_check, run_hash, slices, _powers, _PRIME
 
 _LINE = np.dtype([("h", "<u8"), ("check", "<u4"), ("line", "<u4"), ("doc", "<i8")])
 _KEY = np.dtype([("h", "<u8"), ("check", "<u4"), ("place", "<i4"), ("line", "<u4"), ("to_line", "<u4"), ("doc", "<i8"), ("to_doc", "<i8")])
-_SALTS = (61, 67)
+_SALT = 61
+_P = np.uint64(_PRIME)
 #: Top bit of a line number: the row has no doc_id, ``doc`` is its place among such rows and it comes after all others.
 _NO_ID = 31
 
@@ -57,9 +58,8 @@ class _Chunk:
             x, y = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
             self.parts.append((w, x, y, start, end))
             self.row.append(own + a)
-            h, check = (w.spans_hash(x, y, s) for s in _SALTS)
-            self.h.append(h)
-            self.check.append((check >> np.uint64(32)).astype(np.uint32))
+            self.h.append(w.spans_hash(x, y, _SALT))
+            self.check.append(w.spans_check(x, y))
             self.n.append(y - x)
         none = np.zeros(0, np.int64)
         self.row, self.n = (np.concatenate(v) if v else none for v in (self.row, self.n))
@@ -85,8 +85,9 @@ class _Chunk:
         best = both[_earliest(both, order, first)][number[:len(r)]]
         return (self.n == 0) | ((best["doc"] == r["doc"]) & (best["line"] == r["line"]))
 
-    def variants(self, chosen: np.ndarray):
-        """Keys of the chosen lines: (line index, place of the deleted word or -1, hash, check)."""
+    def variants(self, chosen: np.ndarray, checks: bool = True):
+        """Keys of the chosen lines: (line index, place of the deleted word or -1, hash, check); without ``checks`` all
+        checks are 0."""
         out, base = [], 0
         for w, x, y, _, _ in self.parts:
             mine = np.flatnonzero(chosen[base:base + len(x)])
@@ -98,16 +99,26 @@ class _Chunk:
             value = run_hash(pre, a, i) + (pre[b] - pre[i + 1]) * down[i + 1] * up[i - a]
             size = (b - a - 1).astype(np.uint64)
             whole = run_hash(pre, x[mine], y[mine]) + n.astype(np.uint64)
-            keys = [np.concatenate([mix(value + size, s), mix(whole, s)]) for s in _SALTS]
+            check = np.zeros(len(i) + len(mine), np.uint32)
+            if checks:
+                cut_ = _without(w.check_prefix, a, i, b) + size
+                check = np.concatenate([(cut_ % _P).astype(np.uint32), w.spans_check(x[mine], y[mine])])
             out.append((np.concatenate([np.repeat(mine, n), mine]) + base,
-                        np.concatenate([i - a, np.full(len(mine), -1)]).astype(np.int32), keys[0],
-                        (keys[1] >> np.uint64(32)).astype(np.uint32)))
+                        np.concatenate([i - a, np.full(len(mine), -1)]).astype(np.int32),
+                        np.concatenate([mix(value + size, _SALT), mix(whole, _SALT)]), check))
             base += len(x)
         if not out:
             return (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
         return tuple(np.concatenate(v) for v in zip(*out))
 
 
+def _without(pre: np.ndarray, a: np.ndarray, i: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``run_check`` of the runs [a, b) with their word i left out."""
+    up, down = check_powers(len(pre) + 1)
+    tail = (pre[b] + _P - pre[i + 1]) % _P * down[i + 1] % _P * up[i - a]
+    return (run_check(pre, a, i) + tail) % _P
+
+
 def _earliest(r: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Index of the earliest line of each group of ``groups_of``."""
     if not len(order):
@@ -156,7 +167,7 @@ def _keys(buckets: int, near_words: int):
         if "text" not in docs.column_names:
             return pack_rows(chunk, np.zeros(0, np.uint64), np.zeros(0, np.uint32), buckets)
         c = _Chunk(docs)
-        line, _, h, _ = c.variants(c.is_first(answers_of(answers, _LINE)[0]) & (c.n >= near_words))
+        line, _, h, _ = c.variants(c.is_first(answers_of(answers, _LINE)[0]) & (c.n >= near_words), checks=False)
         return Presence.rows(chunk, h, np.ones(len(h), bool), line, buckets)
     return run
 

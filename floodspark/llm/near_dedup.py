@@ -78,7 +78,7 @@ def _signatures(shingle: int):
                 n = b - a
                 size = np.bincount(doc, minlength=n)
                 who, m = _minima(doc, h)
-                seq = [w.spans_hash(w.first[:-1], w.first[1:], s).view(np.int64) for s in (11, 13)]
+                seq = [w.spans_hash(w.first[:-1], w.first[1:], 11).view(np.int64), w.spans_check(w.first[:-1], w.first[1:]).astype(np.int64)]
                 band = np.zeros((len(who), BANDS), np.uint64)
                 for j in range(ROWS):
                     band = mix(band + m[:, j::ROWS].astype(np.uint64), 17 + j)

@@ -3,8 +3,8 @@
 Reference side: the non-overlapping blocks of n/2 words of every document are indexed. Probe side:
 every rolling window of n/2 words is looked up in that index. Any window of n words contains a whole
 block of its own document, so a passage that occurs in two documents hits the index. Around the hits,
-and only there, the windows of n words are compared across documents by 64-bit hashes of their word
-sequence: each learns the smallest doc_id in which it starts. Overlapping repeated windows are joined
+and only there, the windows of n words are compared across documents by a 64-bit hash and an independent
+31-bit check of their word sequence: each learns the smallest doc_id in which it starts. Overlapping repeated windows are joined
 to maximal exact repeats, whose words are removed.
 
 Hits are not paired: a passage shared by m documents costs one entry per chunk of documents in the
@@ -55,7 +55,7 @@ def _around(w: Words, live: np.ndarray, at: np.ndarray, n: int, half: int):
     last = np.minimum(i + n - half + 1, len(w))
     near = hits[last] > hits[i]
     i, doc, h = i[near], doc[near], h[near]
-    return i, doc, h, (w.spans_hash(i, i + n, 51) >> np.uint64(33)).astype(np.uint32)
+    return i, doc, h, w.spans_check(i, i + n)
 
 
 def _compare(n: int, half: int, buckets: int):
@@ -118,7 +118,7 @@ def _remove(n: int, half: int, spans: bool):
                 lo, hi = np.searchsorted(known["h"], h), np.searchsorted(known["h"], h, "right")
                 some = np.flatnonzero(hi > lo)
                 i, doc, lo, hi = i[some], doc[some], lo[some], hi[some]
-                check = (w.spans_hash(i, i + n, 51) >> np.uint64(33)).astype(np.uint32)
+                check = w.spans_check(i, i + n)
                 cover = np.zeros(len(w) + 1, np.int64)
                 for step in range(int((hi - lo).max(initial=0))):
                     j = np.minimum(lo + step, hi - 1)

@@ -3,7 +3,9 @@
 A word is a maximal run of bytes other than space and TAB..CR (0x20, 0x09-0x0D). Those bytes never
 occur inside a multi-byte UTF-8 character, so words are found on the raw UTF-8 buffer of a column
 without decoding it. Hashes are polynomial over prefix sums modulo 2^64, so the hash of any run of
-bytes or words is one subtraction and one multiplication.
+bytes or words is one subtraction and one multiplication. Checks are polynomial modulo the prime 2^31 - 1
+with another base, from the bytes up, so that two runs with equal hashes have equal checks only by a
+second, independent chance.
 """
 
 from __future__ import annotations
@@ -38,6 +40,50 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+_PRIME = (1 << 31) - 1
+_CHECK_BASE = 0x4F6CDD1D
+_CHECK_POWERS: list[np.ndarray] = []
+
+
+def _check_rows(n: int) -> list[np.ndarray]:
+    out = []
+    for b in (_CHECK_BASE, pow(_CHECK_BASE, -1, _PRIME)):
+        x = np.ones(n, np.uint64)
+        done = 1
+        while done < n:
+            more = min(done, n - done)
+            x[done:done + more] = x[:more] * np.uint64(pow(b, done, _PRIME)) % np.uint64(_PRIME)
+            done += more
+        out.append(x.astype(np.uint32))
+    return out
+
+
+def check_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the checks' base and of its inverse modulo the prime (31 bits each)."""
+    if n > _KEPT:
+        return tuple(_check_rows(n))
+    if not _CHECK_POWERS:
+        _CHECK_POWERS.extend(_check_rows(_KEPT))
+    return _CHECK_POWERS[0][:n], _CHECK_POWERS[1][:n]
+
+
+def check_prefix(values: np.ndarray) -> np.ndarray:
+    """Prefix sums for ``run_check``; values below 2^31."""
+    terms = values.astype(np.uint64) * check_powers(len(values))[0]
+    if int(values.max(initial=0)) * _PRIME * len(values) >= 1 << 64:
+        terms %= np.uint64(_PRIME)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(terms, out=out[1:])
+    out %= np.uint64(_PRIME)
+    return out
+
+
+def run_check(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial check (below 2^31) of values[start:end] for many runs."""
+    p = np.uint64(_PRIME)
+    return (pre[end] + p - pre[start]) % p * check_powers(len(pre))[1][start] % p
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """64-bit finaliser (xor-shift-multiply)."""
     x = x + np.uint64((salt * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -121,6 +167,7 @@ class Words:
         self.end = np.flatnonzero(e) + 1
         self.first = np.searchsorted(self.start, off)
         self.hash = self._hash()
+        self._check_prefix = None
 
     def _hash(self) -> np.ndarray:
         pre = prefix(self.data.astype(np.uint64) + np.uint64(1))
@@ -148,6 +195,19 @@ class Words:
         """Hash of the word runs [a, b)."""
         return mix(run_hash(prefix(self.hash), a, b) + (b - a).astype(np.uint64), salt)
 
+    @property
+    def check_prefix(self) -> np.ndarray:
+        """Prefix sums of the words' checks, made when first asked for."""
+        if self._check_prefix is None:
+            pre = check_prefix(self.data.astype(np.uint64) + np.uint64(1))
+            word = mix(run_check(pre, self.start, self.end) + (self.end - self.start).astype(np.uint64), 91) >> np.uint64(33)
+            self._check_prefix = check_prefix(word)
+        return self._check_prefix
+
+    def spans_check(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """31-bit check of the word runs [a, b), independent of ``spans_hash`` and ``windows``."""
+        return ((run_check(self.check_prefix, a, b) + (b - a).astype(np.uint64)) % np.uint64(_PRIME)).astype(np.uint32)
+
 
 def ids_of(column) -> np.ndarray:
     """An id column as int64, NULL as NO_ID."""

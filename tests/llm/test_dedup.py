@@ -4,14 +4,16 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from floodspark.llm.components import components
 from floodspark.llm.exact_dedup import MinimalPerfectHash, exact_dedup
-from floodspark.llm.line_dedup import line_dedup
+from floodspark.llm.line_dedup import _without, line_dedup
 from floodspark.llm.near_dedup import near_duplicates
 from floodspark.llm.substring_dedup import substring_dedup
+from floodspark.llm.text import Words, check_prefix, run_check
 from llm.helpers import ODD, WORD, docs, prose
 
 INF = 2**63 - 1
@@ -106,6 +108,39 @@ def test_near_matches_brute_force(spark, seed):
     assert near_duplicates(docs(spark, [])).count() == 0
 
 
+def colliding_words():
+    """Two words with one 64-bit polynomial hash, whatever its odd base: a Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_checks_tell_apart_what_the_first_hash_does_not(spark):
+    """The hashes of the two texts are equal by construction; nothing of either is removed."""
+    a, b = colliding_words()
+    w = Words(pa.array([a, b]))
+    assert w.hash[0] == w.hash[1] and w.spans_check(np.array([0]), np.array([1])) != w.spans_check(np.array([1]), np.array([2]))
+    rest = [f"w{i}" for i in range(70)]
+    rows = [(1, " ".join(rest[:30] + [a] + rest[30:])), (2, " ".join(rest[:30] + [b] + rest[30:]))]
+    windows = {i: {tuple(t.split()[k:k + 50]) for k in range(22)} for i, t in rows}
+    covered = sum(1 for k in range(71) if any(tuple(rows[1][1].split()[s:s + 50]) in windows[1] for s in range(max(0, k - 49), min(22, k + 1))))
+    assert [(r.doc_id, r.n_removed) for r in substring_dedup(docs(spark, rows), 50).sort("doc_id").collect()] == [(1, 0), (2, covered)]
+    assert covered == 0
+    got = line_dedup(docs(spark, [(1, " ".join([a] + rest[:3])), (2, " ".join([b] + rest[:3]))])).sort("doc_id").collect()
+    assert [r.text for r in got] == [" ".join([a] + rest[:3]), " ".join([b] + rest[:3])]
+
+
+def test_run_checks_match_plain_arithmetic():
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 2**31 - 1, 500).astype(np.uint64)
+    pre = check_prefix(v)
+    a = rng.integers(0, 400, 60)
+    b = a + rng.integers(1, 100, 60)
+    i = a + (b - a) // 2
+    plain = lambda run: sum(int(x) * pow(0x4F6CDD1D, k, 2**31 - 1) for k, x in enumerate(run)) % (2**31 - 1)
+    assert run_check(pre, a, b).tolist() == [plain(v[x:y]) for x, y in zip(a, b)]
+    assert _without(pre, a, i, b).tolist() == [plain(np.delete(v[x:y], z - x)) for x, z, y in zip(a, i, b)]
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 200), (200, 150)], "a long, b long")
     got = dict(map(tuple, components(edges).collect()))
