@@ -81,9 +81,14 @@ def answers_of(t: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def groups_of(*keys: np.ndarray):
-    """(order, first position of each group in that order, group number by original position)."""
-    order = np.lexsort(keys[::-1])
-    n = len(order)
+    """(order, first position of each group in that order, group number by original position); the order
+    inside a group is any."""
+    n = len(keys[0])
+    order = np.argsort(keys[0])           # the first key mostly decides
+    s = [k[order] for k in keys]
+    same = s[0][1:] == s[0][:-1]
+    if any((same & (k[1:] != k[:-1])).any() for k in s[1:]):
+        order = np.lexsort(keys[::-1])
     new = np.zeros(n, bool)
     if n:
         new[0] = True
@@ -109,7 +114,7 @@ class Presence:
     def rows(chunk: int, h: np.ndarray, flag: np.ndarray, owner: np.ndarray, n: int) -> pa.Table:
         """h: hashes with repeats; flag: whether the entry is of the flagged kind; owner: what counts as
         one place (a document or line)."""
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, flag, owner = h[order], flag[order], owner[order]
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
         if not len(at):
@@ -122,7 +127,7 @@ class Presence:
     def decide(code: np.ndarray, own: np.ndarray):
         """Hashes with a flagged entry that occur in two places or more."""
         key = code >> np.uint32(2)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         flagged = np.bitwise_or.reduceat(code[order] & np.uint32(1), at)

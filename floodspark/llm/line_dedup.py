@@ -123,11 +123,17 @@ def _earliest(r: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray
     """Index of the earliest line of each group of ``groups_of``."""
     if not len(order):
         return order
-    number = np.cumsum(np.bincount(first, minlength=len(order))) - 1
-    line = r["line"][order]
+    size = np.diff(np.r_[first, len(order)])
+    out = order[first]
+    more = np.flatnonzero(np.repeat(size > 1, size))         # of the groups with several lines
+    number = np.repeat(np.arange(len(first)), size)[more]
+    s = order[more]
+    line, doc = r["line"][s], r["doc"][s]
     null = line >> _NO_ID
-    again = np.lexsort((line, r["doc"][order], null, number) if null.any() else (line, r["doc"][order], number))
-    return order[again[first]]
+    again = np.lexsort((line, doc, null, number) if null.any() else (line, doc, number))
+    at = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(more) else more
+    out[number[at]] = s[again[at]]
+    return out
 
 
 def _before(doc: np.ndarray, line: np.ndarray, other_doc: np.ndarray, other_line: np.ndarray) -> np.ndarray:

@@ -3,9 +3,9 @@
 A word is a maximal run of bytes other than space and TAB..CR (0x20, 0x09-0x0D). Those bytes never
 occur inside a multi-byte UTF-8 character, so words are found on the raw UTF-8 buffer of a column
 without decoding it. Hashes are polynomial over prefix sums modulo 2^64, so the hash of any run of
-bytes or words is one subtraction and one multiplication. Checks are polynomial modulo the prime 2^31 - 1
-with another base, from the bytes up, so that two runs with equal hashes have equal checks only by a
-second, independent chance.
+bytes or words is one subtraction and one multiplication. Checks mix each word's bytes eight at a time
+and are polynomial modulo the prime 2^31 - 1 over words, so that two runs with equal hashes have equal
+checks only by a second, independent chance.
 """
 
 from __future__ import annotations
@@ -69,12 +69,10 @@ def check_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def check_prefix(values: np.ndarray) -> np.ndarray:
     """Prefix sums for ``run_check``; values below 2^31."""
-    terms = values.astype(np.uint64) * check_powers(len(values))[0]
-    if int(values.max(initial=0)) * _PRIME * len(values) >= 1 << 64:
-        terms %= np.uint64(_PRIME)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(terms, out=out[1:])
-    out %= np.uint64(_PRIME)
+    terms = values.astype(np.uint64, copy=False) * check_powers(len(values))[0]
+    terms %= np.uint64(_PRIME)
+    out = np.zeros(len(values) + 1, np.uint32)
+    out[1:] = np.cumsum(terms, out=terms) % np.uint64(_PRIME)
     return out
 
 
@@ -84,6 +82,36 @@ def run_check(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return (pre[end] + p - pre[start]) % p * check_powers(len(pre))[1][start] % p
 
 
+_LONG = 64                               # bytes from which a word's check is polynomial over its bytes
+
+
+def word_checks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """31-bit check of the bytes of every word."""
+    n = end - start
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    eights = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+    def read(start, left):                # up to eight bytes
+        return eights[start] << (64 - 8 * np.minimum(left, 8)).astype(np.uint64)
+    out = read(start, n)
+    todo, at = np.flatnonzero((n > 8) & (n < _LONG)), 8
+    while len(todo):
+        so_far = out[todo] * np.uint64(_BASE)
+        so_far ^= so_far >> np.uint64(32)
+        out[todo] = so_far + read(start[todo] + at, n[todo] - at)
+        at += 8
+        todo = todo[n[todo] > at]
+    long = np.flatnonzero(n >= _LONG)
+    if len(long):
+        last = np.cumsum(n[long])
+        byte = np.arange(last[-1]) + np.repeat(start[long] - last + n[long], n[long])
+        out[long] = run_check(check_prefix(data[byte].astype(np.uint64) + np.uint64(1)), last - n[long], last)
+    out *= np.uint64(_BASE)
+    out += n.astype(np.uint64)
+    return mix(out, 92) >> np.uint64(33)
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """64-bit finaliser (xor-shift-multiply)."""
     x = x + np.uint64((salt * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -98,7 +126,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 def prefix(values: np.ndarray) -> np.ndarray:
     """Prefix sums for ``run_hash``."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * _powers(len(values))[0], out=out[1:])
+    np.cumsum(values.astype(np.uint64, copy=False) * _powers(len(values))[0], out=out[1:])
     return out
 
 
@@ -170,7 +198,9 @@ class Words:
         self._check_prefix = None
 
     def _hash(self) -> np.ndarray:
-        pre = prefix(self.data.astype(np.uint64) + np.uint64(1))
+        x = self.data.astype(np.uint64)
+        x += np.uint64(1)
+        pre = prefix(x)
         return mix(run_hash(pre, self.start, self.end) + (self.end - self.start).astype(np.uint64))
 
     def __len__(self):
@@ -199,9 +229,7 @@ class Words:
     def check_prefix(self) -> np.ndarray:
         """Prefix sums of the words' checks, made when first asked for."""
         if self._check_prefix is None:
-            pre = check_prefix(self.data.astype(np.uint64) + np.uint64(1))
-            word = mix(run_check(pre, self.start, self.end) + (self.end - self.start).astype(np.uint64), 91) >> np.uint64(33)
-            self._check_prefix = check_prefix(word)
+            self._check_prefix = check_prefix(word_checks(self.data, self.start, self.end))
         return self._check_prefix
 
     def spans_check(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

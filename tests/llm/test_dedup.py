@@ -13,7 +13,7 @@ from floodspark.llm.exact_dedup import MinimalPerfectHash, exact_dedup
 from floodspark.llm.line_dedup import _without, line_dedup
 from floodspark.llm.near_dedup import near_duplicates
 from floodspark.llm.substring_dedup import substring_dedup
-from floodspark.llm.text import Words, check_prefix, run_check
+from floodspark.llm.text import Words, check_prefix, run_check, word_checks
 from llm.helpers import ODD, WORD, docs, prose
 
 INF = 2**63 - 1
@@ -138,6 +138,11 @@ def test_run_checks_match_plain_arithmetic():
     i = a + (b - a) // 2
     plain = lambda run: sum(int(x) * pow(0x4F6CDD1D, k, 2**31 - 1) for k, x in enumerate(run)) % (2**31 - 1)
     assert run_check(pre, a, b).tolist() == [plain(v[x:y]) for x, y in zip(a, b)]
+    words = Words(pa.array([" ".join(c * n for n in (1, 7, 8, 9, 16, 17, 63, 64, 65, 3000) for c in "abé漢")]))
+    checks = word_checks(words.data, words.start, words.end)
+    assert len(set(checks.tolist())) == len(words) == 40 and int(checks.max()) < 2**31
+    alone = [word_checks(words.data[s:e].copy(), np.array([0]), np.array([e - s]))[0] for s, e in zip(words.start, words.end)]
+    assert checks.tolist() == alone                      # whatever stands beside a word
     assert _without(pre, a, i, b).tolist() == [plain(np.delete(v[x:y], z - x)) for x, z, y in zip(a, i, b)]
 
 
