@@ -1,16 +1,17 @@
 """Operator 7 - exact top-k inner-product search by no-random-access aggregation.
 
 Each component is one sorted list. For a query q, list d is read in the order of falling
-contribution q_d * x_d (from the top where q_d > 0, from the bottom where q_d < 0). Having read all
-lists down to some level, every candidate has a lower bound (what was read, plus the worst value an
-unread list can still give) and an upper bound (what was read, plus the list's present frontier).
-Reading stops for a query when all but a handful of candidates have an upper bound under the k-th
-best lower bound; the rest are resolved to their final scores.
-
-Candidates are dealt out in blocks; a block holds its own lists (as a matrix: "read" is a mask by
-level) and all queries that visit the block advance together, so a round of reading is a few matrix
-products. Queries visit blocks in groups, and every visit returns at most k rows per query, so the
-final merge handles (blocks x k) rows per query.
+contribution q_d * x_d (from the top where q_d > 0, from the bottom where q_d < 0), entry after
+entry. An entry read raises its candidate's lower bound from the worst value of that list to the
+value read; the upper bound adds, for the lists in which the candidate has not come up yet, the
+list's frontier (the last value read). Reading stops for a query when all but a handful of
+candidates have an upper bound under the k-th best lower bound; the rest are resolved to their
+final scores.
+
+Candidates are dealt out in blocks. A block sorts its lists once; the queries that visit it read
+them in steps of equal depth and together, so the bounds of a step's entries are a few matrix
+products, and a query that has stopped reads no further. Queries visit blocks in groups, and every
+visit returns at most k rows per query, so the final merge handles (blocks x k) rows per query.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import renewed
 
-#: Share of each list's value range that is read by the end of each round.
-ROUNDS = (0.35, 0.5, 0.65, 0.8)
+#: Steps in which a list is read, at most.
+STEPS = 8
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -55,53 +56,69 @@ def _top(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -score[keep]))][:k]
 
 
-def nra(queries: np.ndarray, qids: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int):
-    """Yield (query position, item positions, scores): the k best items of this block per query."""
+class Lists:
+    """A block's candidates as one ascending list per component."""
+
+    def __init__(self, items: np.ndarray, ids: np.ndarray):
+        self.items, self.ids = items, ids
+        self.order = np.argsort(items, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(items, self.order, axis=0)
+        self.cols = np.arange(items.shape[1])
+
+    def entries(self, a: int, b: int, top: bool):
+        """Candidates and values of entries a to b of every list, counted from its top or from its bottom."""
+        n = len(self.ids)
+        part = slice(n - b, n - a) if top else slice(a, b)
+        return self.order[part], self.sorted[part]
+
+
+def nra(queries: np.ndarray, qids: np.ndarray, lists: Lists, k: int):
+    """Yield (query position, candidate positions, scores, depth): the k best candidates of this block
+    per query, and how many entries of every list were read for it.
+
+    Bounds are sums of integers, exact in the float type chosen; where they could leave it, candidates
+    within the rounding error of the k-th bound stay. Final scores are integer products always."""
+    items, ids = lists.items, lists.ids
     n, dim = items.shape
-    peak = float(np.abs(items).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dim, 1)
-    kind = np.float32 if peak < 2**24 else np.float64 if peak < 2**53 else None
-    if kind is None:                                   # sums of 53 bits and more: integer arithmetic, all lists read
-        for j, q in enumerate(queries):
-            own = np.flatnonzero(ids != qids[j])
-            score = items[own] @ q
-            best = _top(ids[own], score, k)
-            yield j, own[best], score[best]
+    if not n:
         return
-    X = items.astype(kind)
-    lo, hi = X.min(axis=0, initial=0), X.max(axis=0, initial=0)
+    largest = float(np.abs(items).max(initial=0)) * float(np.abs(queries).max(initial=0))
+    peak = 4.0 * largest * max(dim, 1)
+    kind = np.float32 if peak < 2**24 else np.float64
+    slack = 0.0 if peak < 2**53 else peak * max(dim, 1) * 2.0**-50
+    lo, hi = lists.sorted[0].astype(kind), lists.sorted[-1].astype(kind)
     todo = np.arange(len(queries))
-    for share in (*ROUNDS, None):
-        if not len(todo):
-            return
-        Q = queries[todo].astype(kind)
-        up, down = np.maximum(Q, 0), np.minimum(Q, 0)
-        if share is None:                              # the lists' end: final scores
-            lower = upper = Q @ X.T
-        else:
-            a, b = hi - share * (hi - lo), lo + share * (hi - lo)      # frontiers of the two directions
-            from_top, from_bottom = X >= a, X <= b
-            read = up @ np.where(from_top, X, 0).T + down @ np.where(from_bottom, X, 0).T
-            upper = read + up @ np.where(from_top, 0, a.astype(kind)).T + down @ np.where(from_bottom, 0, b.astype(kind)).T
-            lower = read + up @ np.where(from_top, 0, lo).T + down @ np.where(from_bottom, 0, hi).T
-        later = []
-        slack = 1e-5 * max(1.0, peak)                  # frontiers are fractions: allow for rounding
+    up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
+    lower = np.repeat((up @ lo + down @ hi)[:, None], n, axis=1)
+    unread = np.ones((2, n, dim), kind)                # from the top, from the bottom
+    step = max(1, -(-n // STEPS))
+    for depth in range(0, n, step):
+        end = min(n, depth + step)
+        gain = np.zeros((2, n, dim), kind)
+        front = []
+        for side, worst in enumerate((lo, hi)):
+            rows, values = lists.entries(depth, end, side == 0)
+            gain[side][rows, lists.cols] = values - worst
+            unread[side][rows, lists.cols] = 0
+            front.append(values[0 if side == 0 else -1].astype(kind) - worst)
+        lower += up @ gain[0].T + down @ gain[1].T
+        upper = lower + (up * front[0]) @ unread[0].T + (down * front[1]) @ unread[1].T
+        going = []
         for r, j in enumerate(todo):
             low, own = lower[r], ids != qids[j]
-            if share is None:
-                rest = np.flatnonzero(own)
-            else:
-                if own.sum() > k:
-                    bar = np.partition(low[own], own.sum() - k)[own.sum() - k]
-                    rest = np.flatnonzero(own & (upper[r] >= bar - slack))
-                else:
-                    rest = np.flatnonzero(own)
-                if len(rest) > max(8 * k, n // 8):
-                    later.append(j)
-                    continue
-            score = items[rest] @ queries[j] if share is not None else upper[r][rest].astype(np.int64)
+            if own.sum() > k:
+                bar = np.partition(low[own], own.sum() - k)[own.sum() - k]
+                own &= upper[r] >= bar - slack         # outsiders cannot qualify any more
+            rest = np.flatnonzero(own)
+            if end < n and len(rest) > max(8 * k, n // 8):
+                going.append(r)
+                continue
+            score = items[rest] @ queries[j]
             best = _top(ids[rest], score, k)
-            yield j, rest[best], score[best]
-        todo = np.array(later, np.int64)
+            yield j, rest[best], score[best], end
+        if not going:
+            return
+        todo, lower, up, down = todo[going], lower[going], up[going], down[going]
 
 
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -115,8 +132,9 @@ def _cell(k: int, query_block: int):
         qid, vid = (np.array(t["vec_id"].to_pylist(), np.int64) for t in (queries, items))
         Q, X = _matrix(queries["q"], dim), _matrix(items["q"], dim)
         out = tuple([np.zeros(0, np.int64)] for _ in range(3))
+        lists = Lists(X, vid)
         for a in range(0, len(qid), query_block):
-            for j, at, score in nra(Q[a:a + query_block], qid[a:a + query_block], X, vid, k):
+            for j, at, score, _ in nra(Q[a:a + query_block], qid[a:a + query_block], lists, k):
                 out[0].append(np.full(len(at), qid[a + j]))
                 out[1].append(vid[at])
                 out[2].append(score)

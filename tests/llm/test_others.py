@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from floodspark.llm.mixing import mix_documents, mix_report, source_targets
 from floodspark.llm.packing import Plan, pack_documents, pieces, vocabulary
 from floodspark.llm.token_counts import BYTE_SCORE, token_counts, unigram
-from floodspark.llm.topk import quantised, top_k
+from floodspark.llm.topk import Lists, nra, quantised, top_k
 from floodspark.llm.warc import MAGIC, read_warc, warc_round_trip, write_warc
 from llm.helpers import ODD, WORD, docs, prose
 
@@ -166,6 +166,23 @@ def test_top_k_matches_brute_force(spark):
     assert top_k(q.limit(0), q.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [20, 2**20, 2**27])
+def test_nra_stops_before_the_ends_of_the_lists(scale):
+    """Vectors in a few directions: outsiders fall out early. The scales take float32, float64 and bounds past 53 bits."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (12, 24))
+    X = np.rint(scale * (centres[rng.integers(0, 12, 1500)] + rng.normal(0, 0.05, (1500, 24)))).astype(np.int64)
+    X[10:14] = X[9]                                                      # ties
+    ids, at = np.arange(1500)[::-1].copy(), np.arange(0, 1500, 50)
+    depths = []
+    for j, best, score, depth in nra(X[at], ids[at], Lists(X, ids), 10):
+        s = X @ X[at[j]]
+        want = sorted((i for i in range(1500) if i != at[j]), key=lambda i: (-s[i], ids[i]))[:10]
+        assert best.tolist() == want and score.tolist() == s[want].tolist()
+        depths.append(depth)
+    assert len(depths) == len(at) and max(depths) <= 1500 and np.mean(depths) < 0.7 * 1500
+
+
 def test_warc_round_trip_with_magic_in_payloads(spark):
     trick = "x\r\n\r\n" + MAGIC + "WARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(k, f"http://h/{k} \r\n", t) for k, t in enumerate([None, "", "a", "a", trick, MAGIC, trick * 3, "é" * 999, "a" * 70000, MAGIC * 500])]
