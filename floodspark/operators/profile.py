@@ -11,9 +11,15 @@ from .. import params as P
 
 
 def dataset_profile(df: DataFrame, ts: str = "datetime", key: str = "location",
-                    label: str = "teve_enchente", alert: str = "nivel_alerta") -> DataFrame:
-    """One row: rows, columns, first/last time, stations, label sum and rate, rows per alert level.
+                    label: str = "teve_enchente", alert: str = "nivel_alerta", skip: Sequence[str] = ()) -> DataFrame:
+    """One row: rows, columns, first/last time, stations, label sum and rate, rows per alert level, and the names of the
+    features (columns other than time, station, targets and ``skip``), targets and stations (sorted; a station dimension).
     One aggregation pass (partial aggregates per task, then one merge)."""
+    targets = [c for c in (label, alert) if c in df.columns]
+    features = [c for c in df.columns if c not in (ts, key, *targets, *skip)]
+
+    def names(cols):
+        return F.array(*[F.lit(c) for c in cols]).cast("array<string>")
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
             F.min(ts).alias("period_start"), F.max(ts).alias("period_end"),
             F.count_distinct(key).alias("n_locations")]
@@ -21,6 +27,8 @@ def dataset_profile(df: DataFrame, ts: str = "datetime", key: str = "location",
         aggs += [F.sum(label).cast("long").alias("n_flood"), F.avg(label).alias("flood_rate")]
     if alert in df.columns:
         aggs += [F.count_if(F.col(alert) == lv).alias(f"n_alert_{lv}") for lv in range(len(P.ALERT_NAMES))]
+    aggs += [F.lit(len(features)).alias("n_features"), names(features).alias("features"), names(targets).alias("targets"),
+             F.sort_array(F.collect_set(key)).alias("locations")]
     return df.agg(*aggs)
 
 

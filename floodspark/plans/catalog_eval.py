@@ -206,11 +206,14 @@ lab AS (SELECT r.*, CASE WHEN h.us IS NULL THEN 0 ELSE 1 END AS teve_enchente,
 SELECT count(*) AS n_rows, 13 AS n_columns, min(datetime) AS period_start, max(datetime) AS period_end,
   count(DISTINCT location) AS n_locations, CAST(sum(teve_enchente) AS BIGINT) AS n_flood, avg(teve_enchente) AS flood_rate,
   count(*) FILTER (WHERE nivel_alerta = 0) AS n_alert_0, count(*) FILTER (WHERE nivel_alerta = 1) AS n_alert_1,
-  count(*) FILTER (WHERE nivel_alerta = 2) AS n_alert_2, count(*) FILTER (WHERE nivel_alerta = 3) AS n_alert_3 FROM lab""")
+  count(*) FILTER (WHERE nivel_alerta = 2) AS n_alert_2, count(*) FILTER (WHERE nivel_alerta = 3) AS n_alert_3,
+  8 AS n_features, 'precipitation_mm,temperature_c,humidity_pct,pressure_hpa,wind_speed_kmh,soil_moisture_pct,nivel_metros,taxa_subida_m_h' AS features, 'teve_enchente,nivel_alerta' AS targets,
+  string_agg(DISTINCT location, ',' ORDER BY location) AS locations FROM lab""")
 def q_dataset_profile(spark, sf):
     from ..operators import labels as LB
     d = LB.flood_label(B.readings(spark, sf), B.reports(spark, sf)).drop("tempo_ate_enchente")
-    return PR.dataset_profile(d)
+    profile = PR.dataset_profile(d, skip=["seq"])
+    return profile.select(*[F.array_join(c, ",").alias(c) if c in ("features", "targets", "locations") else c for c in profile.columns])
 
 
 @query("median_impute", RD + """, m AS (SELECT quantile_cont(precipitation_mm, 0.5) AS mp FROM readings)

@@ -12,6 +12,7 @@ from .. import params as P
 from ..operators import balance as BL
 from ..operators import frames as FR
 from ..operators import knn as KN
+from ..operators import knn_lsh as KL
 from ..operators import labels as LB
 from ..operators import models as MD
 from ..operators import split as SP
@@ -34,6 +35,13 @@ def q_knn_join(spark, sf):
     return KN.knn(v, v, 3).select("id", "nn_id", "rank")
 
 
+@query("knn_join_lsh")
+def q_knn_join_lsh(spark, sf):
+    """The same join by bucketed random projections; wide cells, as these vectors are close to random."""
+    v = B.vectors(spark, sf)
+    return KL.knn_lsh(v, v, 3, tables=16, projections=6, width=2.0, probes=8)
+
+
 @query("tomek_links", PAIRS + """, n1 AS (SELECT id, y, nn_id, nn_y FROM r WHERE rank = 1)
 SELECT DISTINCT x.id FROM (SELECT a.id FROM n1 a JOIN n1 b ON a.nn_id = b.id AND b.nn_id = a.id WHERE a.y <> a.nn_y
   UNION ALL SELECT a.nn_id FROM n1 a JOIN n1 b ON a.nn_id = b.id AND b.nn_id = a.id WHERE a.y <> a.nn_y) x""")
