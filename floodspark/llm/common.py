@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path, ship_package
+from .text import forget
 
 #: The white space of every contract: space and TAB..CR.
 WS = r"[\x20\x09-\x0D]+"
@@ -61,8 +62,11 @@ def renewed(df):
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def release() -> None:
-    """Hand freed memory back to the system: Python workers outlive their tasks and would go on holding it."""
+def release(powers: bool = True) -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks and would go on holding it.
+    ``powers``: the kept powers of the text kernels go too (not between the groups of one task)."""
+    if powers:
+        forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

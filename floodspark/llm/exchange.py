@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, renewed
+from .common import parallelism, release, renewed
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("packed", pa.binary())])
 PACKED = "bucket int, chunk int, packed binary"
@@ -50,7 +50,7 @@ def merge(packed: DataFrame, dtype, decide) -> DataFrame:
     index of the asking entries; every chunk gets its own answers as one row."""
     dtype = np.dtype(dtype)
 
-    def run(t: pa.Table) -> pa.Table:
+    def answers(t: pa.Table) -> pa.Table:
         chunk = t["chunk"].to_numpy()
         parts = [np.frombuffer(x, dtype) for x in t["packed"].to_pylist()]
         size = np.array([len(x) for x in parts])
@@ -62,13 +62,22 @@ def merge(packed: DataFrame, dtype, decide) -> DataFrame:
         b = t["bucket"][0].as_py()
         return pa.table([pa.array([b] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
                          pa.array([r[1] for r in rows], pa.binary())], schema=_PACKED)
+
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            return answers(t)
+        finally:
+            release(powers=False)
     return packed.groupBy("bucket").applyInArrow(run, PACKED)
 
 
 def with_answers(docs: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(chunk, docs, answers)`` for every chunk, as Arrow tables."""
     def run(key, left: pa.Table, right: pa.Table):
-        return fn(key[0].as_py(), left, right)
+        try:
+            return fn(key[0].as_py(), left, right)
+        finally:
+            release(powers=False)
     return docs.groupBy("chunk").cogroup(renewed(answers).groupBy("chunk")).applyInArrow(run, schema)
 
 

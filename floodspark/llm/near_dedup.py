@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism
+from .common import cut, parallelism, released
 from .components import components
 from .text import Words, blob, flat, mix, slices
 
@@ -170,7 +170,7 @@ class _Linker:
                 .filter(estimate("x", "y") >= screen(self.percent)).select("a", "b"))
 
     def sets_of(self, nodes: DataFrame, fine: bool = False) -> DataFrame:
-        return cut(self.text_of(nodes).mapInArrow(_sets(self.shingle, fine), "node long, shingles binary" + ", fine binary" * fine))
+        return cut(self.text_of(nodes).mapInArrow(released(_sets(self.shingle, fine)), "node long, shingles binary" + ", fine binary" * fine))
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) that are linked, decided on full sets."""
@@ -180,7 +180,7 @@ class _Linker:
         sets = sets.select("node", "shingles")
         full = (p.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
                 .join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b"))
-        return cut(full.mapInArrow(_confirm(self.percent), "a long, b long").distinct())
+        return cut(full.mapInArrow(released(_confirm(self.percent)), "a long, b long").distinct())
 
 
 def _cross(percent: int):
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, block:
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = cut(d.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, n_words long, seq1 long, seq2 long, "
+    sig = cut(d.mapInArrow(released(_signatures(shingle)), "doc_id long, n_shingles long, n_words long, seq1 long, seq2 long, "
                            "bands array<long>, sketch array<long>"))
     linkable = sig.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(linkable.groupBy("seq1", "seq2").agg(F.min("doc_id").alias("node")))

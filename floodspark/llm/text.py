@@ -40,6 +40,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def forget() -> None:
+    """Drop the kept powers; the next slice makes them again."""
+    _POWERS.clear()
+    _CHECK_POWERS.clear()
+
+
 _PRIME = (1 << 31) - 1
 _CHECK_BASE = 0x4F6CDD1D
 _CHECK_POWERS: list[np.ndarray] = []
