@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .knn import BLOCK, _stack, knn, nearest_in_block
+from .knn import _FOUND, BLOCK, _stack, knn, nearest_in_block
 
 SALTS = 16
 
@@ -104,7 +104,7 @@ def knn_lsh(queries: DataFrame, points: DataFrame, k: int, features: str = "feat
     keys = ["_key", "_ps", "_qs"]
     met = (blocks(q_rows, "_qid", "_qs", "_nq", "_ps", "_np").groupBy(*keys)
            .cogroup(blocks(p_rows, "_pid", "_ps", "_np", "_qs", "_nq").groupBy(*keys))
-           .applyInPandas(nearest_in_block(need, False), "_qid long, nn_id long, d2 double"))
+           .applyInArrow(nearest_in_block(need, False), _FOUND))
     # a point met in several tables ranks once; at most need rows per query and group
     order = Window.partitionBy("_qid").orderBy("d2", "nn_id")
     best = cut(met.withColumn("_r", F.dense_rank().over(order)).filter(F.col("_r") <= need)
@@ -113,7 +113,7 @@ def knn_lsh(queries: DataFrame, points: DataFrame, k: int, features: str = "feat
     short = cut(distinct.select("_qid", "_v").join(full, ["_qid"], "left_anti"))
     if not short.isEmpty():
         rest = knn(short.select(F.col("_qid").alias("id"), F.col("_v").alias("features")),
-                   pts.select(F.col("_pid").alias("id"), F.col("_v").alias("features")), need, exclude_self=False, block=block)
+                   pts.select(F.col("_pid").alias("id"), F.col("_v").alias("features")), need, exclude_self=False)
         full = full.unionByName(rest.groupBy(F.col("id").alias("_qid")).agg(
             F.array_sort(F.collect_set(F.struct("d2", "nn_id"))).alias("_found")))
 
