@@ -166,11 +166,8 @@ def q_stream_rain_windows(spark, sf):
 SELECT device_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, round(sum(precipitation), 6) AS rain_sum, count(*) AS n
 FROM x GROUP BY device_id, window_start""")
 def q_stream_rain_windows_batch(spark, sf):
-    d = _cal(spark, sf).withColumn("event_time", F.col("ts").cast("timestamp"))
-    g = d.groupBy("device_id", F.window("event_time", "24 hours", "1 hour").alias("w")).agg(
-        F.sum("precipitation").alias("rain_sum"), F.count(F.lit(1)).alias("n"))
-    return g.select("device_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), r6("rain_sum").alias("rain_sum"), "n")
+    g = W.hourly_windows(_cal(spark, sf), "device_id", "ts", "precipitation", 24)
+    return g.select("device_id", "window_start", "window_end", r6("rain_sum").alias("rain_sum"), "n")
 
 
 @query("stream_history", TL + PW + HIST_SQL + "SELECT device_id, seq, " + ", ".join(f"round({c}, 9) AS {c}" for c in HIST_COLS) + " FROM h")
