@@ -111,3 +111,12 @@ def test_row_index_of_null_keys_and_nothing(spark):
     d = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "location string, seq long")
     assert sorted((r.seq, r._pos) for r in FR.row_index(d, "location", ["seq"]).collect()) == [(1, 0), (2, 1), (5, 0)]
     assert FR.row_index(d.limit(0), "location", ["seq"]).count() == 0
+
+
+def test_position_and_count_joins_no_rows_by_key_alone(small_blocks):
+    """The few rows per key and part bring count and totals along; rows without a key are left out."""
+    rows = [(k, i, float(i % 7)) for k in ("a", "b") for i in range(40)] + [(None, 1, 1.0)]
+    d = small_blocks.createDataFrame(rows, "location string, seq long, x double")
+    got = FR.position_and_count(d, "location", ["seq"], count="_n", totals={"least": (FR.F.min("x"), FR.F.min)})
+    assert sorted((r.location, r.seq, r.pos, r._n, r.least) for r in got.collect()) == [(k, i, i + 1, 40, 0.0) for k in ("a", "b") for i in range(40)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
