@@ -106,3 +106,16 @@ def test_empty_feed_and_rows_without_a_time(spark, rows, tmp_path):
     untimed = rows.limit(5).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
     untimed.write.parquet(f"{tmp_path}/feed2")
     assert K.run(K.mode_changes(_stream(spark, rows, f"{tmp_path}/feed2"), LATENESS), f"{tmp_path}/job2").count() == 0
+
+
+def test_a_device_is_not_one_task_and_costs_no_call(spark, rows, feed, tmp_path):
+    """Steps run on row frames, windows on hourly sums: no grouped Python, no window stored per hour."""
+    import os
+
+    job = K.history(_stream(spark, rows, feed), LATENESS)
+    plans = []
+    seen = K.Ordered(job.rows, lambda d: plans.append((out := job.step(d))._jdf.queryExecution().optimizedPlan().toString()) or out, job.columns, job.carry, job.lateness)
+    assert K.run(seen, f"{tmp_path}/history").count() > 0
+    assert len(plans) > 2 and not any("InPandas" in p or "TransformWithState" in p for p in plans)
+    out = K.run(K.rain_windows(_stream(spark, rows, feed), LATENESS), f"{tmp_path}/rain")
+    assert out.count() > 5 * spark.read.parquet(f"{tmp_path}/rain/hours").count() and not os.path.exists(f"{tmp_path}/rain/data")
