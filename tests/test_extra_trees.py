@@ -73,3 +73,21 @@ def test_passes_of_few_nodes_give_a_forest_of_the_same_kind(rows, monkeypatch):
 def test_one_class_scores_it(rows):
     model = _pipeline().fit(rows.filter("y = 0"))
     assert {r.score for r in _scored(model, rows.limit(5)).collect()} == {0.0}
+
+
+def test_a_pass_ships_and_routes_through_its_own_trees_only(rows):
+    f = _pipeline().fit(rows).stages[-1].forest
+    owner = np.arange(30)
+    for node in range(len(f.feature)):
+        if f.feature[node] >= 0:
+            owner = np.r_[owner, node * 0 + owner[node], owner[node]]
+    x = np.array(rows.select(*COLUMNS).collect(), float)
+    x[::7, 0] = np.nan
+    deep = np.flatnonzero((f.feature < 0) & np.isin(owner, [4, 9]))
+    deep = deep[np.argsort(owner[deep], kind="stable")]
+    opened = ET.Opened(f, owner, deep)
+    assert len(opened.feature) == np.isin(owner, [4, 9]).sum() < len(owner) / 5
+    whole = f.route(x, 30)
+    for (root, (a, b)), tree in zip(opened, (4, 9)):
+        place = opened.place[opened.leaves(x, root)]
+        assert np.array_equal(deep[place], whole[:, tree]) and place.min() >= a and place.max() < b
