@@ -30,6 +30,10 @@ def test_settings_are_the_full_ones(spark):
     assert [e[k].getMaxIter() for k in ("gradient_boosting", "boosted_weighted")] == [100, 100]
 
 
+def test_forest_statistics_leave_room_in_an_executor():
+    assert MD.estimators()["random_forest"].getMaxMemoryInMB() <= 256      # held once per running task
+
+
 def test_penalty_follows_the_row_count(parts):
     model = MD.fit(parts[0], FEATURES, MD.estimators()["logistic_regression"])
     assert model.stages[-1].getRegParam() == pytest.approx(1 / parts[0].count())
