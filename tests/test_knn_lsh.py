@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as E
 from floodspark.operators import balance as BL
 from floodspark.operators import knn as KN
+from floodspark.operators import knn_lsh as KL
 from floodspark.operators.knn_lsh import Projections, knn_lsh
 from floodspark.plans import bindings as B
 
@@ -99,3 +100,49 @@ def test_balancing_by_approximate_neighbours(spark, strategy):
     out = BL.balance(df, strategy, search=partial(knn_lsh, tables=6))
     made = out.filter("synthetic").toPandas()
     assert len(made) > 100 and (made.y == 1).all() and made.id.is_unique and (made.id < 0).all()
+
+
+def test_blocks_find_what_the_keys_find(spark):
+    """Both ways to bring the rows of a key together give the same neighbours; by blocks, a query hands on ``need`` rows per
+    block of points instead of as many per key."""
+    X = _clustered(900, 8, 5)
+    X[850:] = X[3]
+    df = _frame(spark, X)
+    points, queries = df.select(df.id.alias("_pid"), df.features.alias("_v")), df.select(df.id.alias("_qid"), df.features.alias("_v"))
+    proj = Projections(8, float(np.sqrt(X.var(axis=0).sum())), 6, 3, 1.0, 42)
+
+    def nearest(met):
+        out = {}
+        for r in met:
+            out.setdefault(r["_qid"], set()).add((r["d2"], r["nn_id"]))
+        return {q: sorted(v)[:4] for q, v in out.items()}
+    by_block = KL._by_block(queries, points, proj, 3, 4, 2, 3).collect()
+    assert nearest(by_block) == nearest(KL._by_key(queries, points, proj, 3, 4, 64, 42).collect())
+    assert len(by_block) <= 900 * 3 * 4
+
+
+def test_a_query_is_sent_once_per_block_of_points(spark, monkeypatch):
+    X = _clustered(300, 8)
+    monkeypatch.setattr(KL, "_by_key", lambda *a: pytest.fail("rows were sent once per key"))
+    assert knn_lsh(_frame(spark, X), _frame(spark, X), 3).count() == 900
+
+
+@pytest.mark.parametrize("width, probes", [(0.3, 1), (1.0, 3), (3.0, 4)])
+def test_each_pair_once_or_by_cells(width, probes):
+    """Nearest met points of a block against all pairs, ties and points at equal places among them; unmet ones never count."""
+    rng = np.random.default_rng(8)
+    X = np.round(_clustered(700, 6, 9), 1)
+    X[650:] = X[rng.integers(0, 650, 50)]
+    Q, pid = np.concatenate([X[:150], np.full((1, 6), 50.0)]), rng.permutation(700) * 3
+    proj = Projections(6, float(np.sqrt(X.var(axis=0).sum())), 5, 3, width, 1)
+    visited, own = proj.keys(Q, probes), proj.keys(X, 0)
+    d2 = KN.sq_dists(Q, X)
+    want = {}
+    for i in range(len(Q)):
+        met = [j for j in range(len(X)) if set(visited[i].tolist()) & set(own[j].tolist())]
+        want[i] = sorted((d2[i, j], pid[j]) for j in met)[:4]
+    for way in (KL._met_by_cells, KL._met_by_products):
+        got = {i: [] for i in want}
+        for i, j, d in zip(*way(Q, X, pid, visited, own, 4)):
+            got[i].append((d, j))
+        assert got == want
