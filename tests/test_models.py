@@ -34,6 +34,16 @@ def test_forest_statistics_leave_room_in_an_executor():
     assert MD.estimators()["random_forest"].getMaxMemoryInMB() <= 256      # held once per running task
 
 
+def test_forest_keeps_its_places_between_passes_and_its_trees(parts):
+    forest = MD.estimators()["random_forest"]
+    assert forest.getCacheNodeIds()                                        # else every pass walks every row down every tree
+    rows = MD.prepare(parts[0], FEATURES)[1].cache()
+    small = forest.copy({forest.numTrees: 12})
+    kept, walked = (small.copy({small.cacheNodeIds: c}).fit(rows) for c in (True, False))
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in walked.trees]
+    assert kept.totalNumNodes > 300
+
+
 def test_penalty_follows_the_row_count(parts):
     model = MD.fit(parts[0], FEATURES, MD.estimators()["logistic_regression"])
     assert model.stages[-1].getRegParam() == pytest.approx(1 / parts[0].count())
