@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .knn import (_CELLS, _FOUND, _PAIRS, BLOCK, _candidates, _pair_dists, _stack, default_block, knn, matrix, nearest,
+from .knn import (_CELLS, _FOUND, _PAIRS, BLOCK, Near, _pair_dists, _stack, default_block, knn, matrix, nearest,
                   nearest_in_block)
 
 SALTS = 16
@@ -116,10 +116,10 @@ def _met_by_products(Q, X, pid, visited, own, need: int) -> tuple:
     """The same where cells overlap so much that every pair is compared more cheaply once: of the ``LOOK`` x need nearest points of a query
     (and their ties) those that it meets count. A query that meets fewer than ``need`` of them goes by cells."""
     look, out, settled = LOOK * need, [], np.zeros(len(Q), bool)
-    step = max(1, _CELLS // len(X))
+    step, near = max(1, _CELLS // len(X)), Near(X, look)
     for a in range(0, len(Q), step):
         q = Q[a:a + step]
-        r, c = _candidates(q, X, None, look)
+        r, c = near.candidates(q)
         d = _pair_dists(q, X, r, c)
         o = np.lexsort((pid[c], d, r))
         r, c, d = r[o], c[o], d[o]
