@@ -91,3 +91,37 @@ def test_a_pass_ships_and_routes_through_its_own_trees_only(rows):
     for (root, (a, b)), tree in zip(opened, (4, 9)):
         place = opened.place[opened.leaves(x, root)]
         assert np.array_equal(deep[place], whole[:, tree]) and place.min() >= a and place.max() < b
+
+
+def test_cuts_of_a_pass_equal_those_drawn_node_by_node():
+    rng = np.random.default_rng(2)
+    lo = rng.normal(size=(7, 50))
+    hi = lo + np.maximum(rng.normal(size=(7, 50)), 0)                      # about half of the features are constant
+    lo[3, ::4] = hi[3, ::4] = np.nan
+    hi[:, 11] = lo[:, 11]
+    nodes = np.arange(100, 150)
+    feature, at_cut = ET._cuts(*ET._draws(3, nodes, 7, 2), np.stack([lo, hi]))
+    for i, node in enumerate(nodes):
+        draw = np.random.default_rng([3, int(node)])
+        some = draw.permutation(7)
+        some = some[hi[some, i] > lo[some, i]][:2]
+        u = draw.random(2)[:len(some)]
+        assert feature[i, :len(some)].tolist() == some.tolist() and at_cut[i, :len(some)].tolist() == (lo[some, i] + u * (hi[some, i] - lo[some, i])).tolist()
+        assert np.isinf(at_cut[i, len(some):]).all()
+
+
+def test_rows_that_arrive_early_stay_at_their_leaf(monkeypatch):
+    """A tree whose leaves are at very different depths, rows that arrive at any step."""
+    depth = 40
+    inner = 2 * np.arange(depth)
+    f = ET.Forest([-1], [0.0], [0], [1], [1])
+    for d, node in enumerate([0, *(inner[1:])]):
+        f.feature[node], f.cut[node], f.left[node] = 0, float(d), len(f.feature)
+        f = f.grown(np.ones(2, np.int64), np.ones(2, np.int64))
+    x = np.random.default_rng(1).uniform(-2, depth + 2, (1000, 2))
+    x[::50, 0] = np.nan
+    leaves = np.flatnonzero(f.feature < 0)
+    monkeypatch.setattr(ET, "_NEAR", 64)
+    opened = ET.Opened(f, np.zeros(len(f.feature), int), leaves)
+    (root, (a, b)), = opened
+    assert np.array_equal(leaves[opened.place[opened.leaves(x, root)]], f.route(x, 1)[:, 0])
