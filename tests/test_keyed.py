@@ -119,3 +119,18 @@ def test_a_device_is_not_one_task_and_costs_no_call(spark, rows, feed, tmp_path)
     assert len(plans) > 2 and not any("InPandas" in p or "TransformWithState" in p for p in plans)
     out = K.run(K.rain_windows(_stream(spark, rows, feed), LATENESS), f"{tmp_path}/rain")
     assert out.count() > 5 * spark.read.parquet(f"{tmp_path}/rain/hours").count() and not os.path.exists(f"{tmp_path}/rain/data")
+
+
+def test_rain_windows_read_a_batch_once(spark, rows, feed, tmp_path):
+    """Hourly sums, late readings and the watermark come from one pass over the readings."""
+    passes = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        passes.add(1)
+        return x
+    stream = _stream(spark, rows, feed)
+    K.run(K.rain_windows(stream.withColumn("precipitation", counted("precipitation")), LATENESS), f"{tmp_path}/rain")
+    assert passes.value == rows.filter("ts IS NOT NULL").count() + 1       # and the record that ends the feed
+    once = spark.read.parquet(f"{tmp_path}/rain/taken")
+    assert once.agg(F.sum("_n")).first()[0] == passes.value
